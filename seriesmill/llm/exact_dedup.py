@@ -97,7 +97,8 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     all-null group keeps its rows with a null keep_id.  An empty table gives no rows.
     """
     prints = written(fingerprints(df, id_col, text_col, prime, huge))
-    groups = prints.groupBy("fp", "n_bytes").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # written, so that joins read it through a plain exchange and can split the rows of a large group
+    groups = written(prints.groupBy("fp", "n_bytes").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
     shared = groups.where("group_size > 1 AND n_bytes > 0").select("fp", "n_bytes")
     suspects = prints.join(shared, ["fp", "n_bytes"]).select("doc_id", "fp", "n_bytes").distinct()
     texts = df.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(F.col(f"`{text_col}`")).alias("text"))
