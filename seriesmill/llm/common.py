@@ -78,3 +78,19 @@ def global_index(df: DataFrame, *order: Column, name: str = "position") -> DataF
     if not starts:
         return numbered.withColumn(name, F.lit(0).cast("long")).drop("__at")
     return numbered.withColumn(name, F.create_map(*starts)[part] + row).drop("__at")
+
+
+def most_frequent(counts: DataFrame, n_col: str, most: int) -> DataFrame:
+    """The rows of a table of counts from that count on at which at most ``most`` rows are left.
+
+    The bound comes from a histogram of counts (a few hundred rows at the driver), not from a global sort.
+    """
+    level = F.floor(F.log2(n_col) * 8)
+    levels = counts.groupBy(level.alias("level")).count().collect()
+    least, total = None, 0
+    for r in sorted(levels, key=lambda r: -r["level"]):
+        total += r["count"]
+        if total > most:
+            break
+        least = r["level"]
+    return counts.where(level >= least if least is not None else F.lit(False))

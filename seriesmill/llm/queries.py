@@ -7,11 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, jaccard, media, mixing, pages, toxicity
+from . import bpe, exact_dedup, jaccard, lattice, media, mixing, pages, quality, toxicity
 from .common import table
 
 #: The vocabulary of op10.
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: The vocabulary of op6.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +32,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
@@ -47,6 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_main_text": op2_main_text,
     "op3_mix": op3_mix,
     "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
+    "op6_lattice": op6_lattice,
     "op7_jaccard": op7_jaccard,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_bpe": op10_bpe,
