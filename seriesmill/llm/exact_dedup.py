@@ -118,3 +118,23 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     else:
         out = prints.join(groups, ["fp", "n_bytes"])
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def one_row_per_id(df: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with a single row left of equal (id, text) rows whose id is in ``ids`` (doc_id), if there is any."""
+    ids = written(ids.distinct())
+    if ids.isEmpty():
+        return df
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id"))
+    ids = ids.select(F.col("doc_id").alias("__id"))
+    return df.join(ids, same, "left_anti").unionByName(df.join(ids, same, "left_semi").dropDuplicates([id_col, text_col]))
+
+
+def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay, with all their columns: of equal texts the one with the largest id."""
+    found = written(exact_duplicates(df, id_col, text_col))
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    digest = F.sha2(F.encode(text_or_empty(F.col(f"`{text_col}`")), "utf-8"), 256)
+    left = df.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (digest == F.col("__sha")), "left_anti")
+    twice = found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id")
+    return one_row_per_id(left, twice, id_col, text_col)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, written
+from .exact_dedup import one_row_per_id
 from .graph import components
 
 #: Shingles with a known count, at most: 8 MB to each executor.
@@ -301,3 +302,16 @@ def classes(docs: DataFrame, words: int, percent: int, hot_entries: int = HOT_EN
         F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
         F.when(alone, F.lit(1).cast("long")).otherwise(F.col("copies")).alias("copies"),
     )
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component the one with the least id.
+
+    Rows with a null id stay; texts without words stay, as they link with nothing; of repeated rows one stays.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    found = written(classes(rows, words, percent, **settings))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    left = docs.join(gone, F.col(f"`{id_col}`") == F.col("__id"), "left_anti")
+    twice = found.where("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    return one_row_per_id(left, twice, id_col, text_col)

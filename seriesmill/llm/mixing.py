@@ -47,20 +47,15 @@ def water_level(sources: DataFrame, max_epochs: int, total: int | None = None) -
         level = new
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: DataFrame | None = None, max_epochs: int = 3, seed: str = "mix-1") -> DataFrame:
-    """One row per row of ``df``: doc_id, source, size, source_size, target, copies, taken.
-
-    ``weights``: (source, weight); by default 1, 2, 3, ... over sources by code point.  size counts words, 0 for
-    null and empty text.  A null source is a source of its own.  Empty documents take nothing; equal rows are
-    documents of their own (ties in the seeded order break by id, then size).  An empty table gives no rows.
-    """
-    sized = written(df.select(
-        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"),
-        F.regexp_count(text_or_empty(F.col(f"`{text_col}`")), F.lit(WORD)).cast("long").alias("size"),
+def _mixed(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: DataFrame | None, max_epochs: int, seed: str) -> DataFrame:
+    """``df`` with a struct ``__mix`` (size, source_size, target, copies, taken); see ``mix``."""
+    sized = df.withColumns({
+        "__size": F.regexp_count(text_or_empty(F.col(f"`{text_col}`")), F.lit(WORD)).cast("long"),
         # a key without nulls, so that null is joined like any other source
-        F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`")), F.lit("")).alias("key"),
-    ).withColumn("turn", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))).withColumn("bucket", F.substring("turn", 1, DIGITS)))
-    buckets = written(sized.groupBy("key", "source", "bucket").agg(F.sum("size").alias("bucket_size")))
+        "__key": F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`")), F.lit("")),
+        "__turn": F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))),
+    }).withColumn("__bucket", F.substring("__turn", 1, DIGITS))
+    buckets = written(sized.groupBy(F.col("__key").alias("key"), F.col(f"`{source_col}`").alias("source"), F.col("__bucket").alias("bucket")).agg(F.sum("__size").alias("bucket_size")))
     sources = buckets.groupBy("key", "source").agg(F.sum("bucket_size").alias("source_size"))
     if weights is None:
         sources = written(weights_by_rank(sources))
@@ -75,15 +70,34 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     # words of each source that stand before a bucket in the seeded order: at most 16 ** DIGITS rows a source
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     plan = buckets.select("key", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("before")).join(sources, "key")
+    plan = plan.select(F.col("key").alias("__key"), F.col("bucket").alias("__bucket"), F.struct("before", "source_size", "target", "whole").alias("__plan"))
     # the hot source is spread over its buckets, which also are the frames of the running sums
-    inside = Window.partitionBy("key", "bucket").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    half_way = F.col("before") + F.sum("size").over(inside) - F.col("size") / 2
-    extra = F.when(half_way <= F.col("target") - F.col("whole") * F.col("source_size"), 1).otherwise(0)
-    copies = F.when(F.col("size") > 0, F.least(F.col("whole") + extra, F.lit(max_epochs))).otherwise(0).cast("long")
-    return (
-        sized.join(plan, ["key", "bucket"]).withColumn("copies", copies)
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-    )
+    inside = Window.partitionBy("__key", "__bucket").orderBy("__turn", F.col(f"`{id_col}`"), "__size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size, p = F.col("__size"), F.col("__plan")
+    half_way = p["before"] + F.sum("__size").over(inside) - size / 2
+    extra = F.when(half_way <= p["target"] - p["whole"] * p["source_size"], 1).otherwise(0)
+    copies = F.when(size > 0, F.least(p["whole"] + extra, F.lit(max_epochs))).otherwise(0).cast("long")
+    rows = sized.join(plan, ["__key", "__bucket"]).withColumn("__copies", copies)
+    mixed = F.struct(size.alias("size"), p["source_size"].alias("source_size"), p["target"].alias("target"), F.col("__copies").alias("copies"), (F.col("__copies") * size).alias("taken"))
+    return rows.select(*(F.col(f"`{c}`") for c in df.columns), mixed.alias("__mix"))
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: DataFrame | None = None, max_epochs: int = 3, seed: str = "mix-1") -> DataFrame:
+    """One row per row of ``df``: doc_id, source, size, source_size, target, copies, taken.
+
+    ``weights``: (source, weight); by default 1, 2, 3, ... over sources by code point.  size counts words, 0 for
+    null and empty text.  A null source is a source of its own.  Empty documents take nothing; equal rows are
+    documents of their own (ties in the seeded order break by id, then size).  An empty table gives no rows.
+    """
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").alias("source"))
+    return _mixed(rows, "doc_id", "text", "source", weights, max_epochs, seed).select("doc_id", "source", "__mix.*")
+
+
+def repeat(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: DataFrame | None = None, max_epochs: int = 3, seed: str = "mix-1") -> DataFrame:
+    """The mix itself: every row of ``df`` as many times as ``mix`` says, with the columns of ``df``."""
+    rows = _mixed(df, id_col, text_col, source_col, weights, max_epochs, seed)
+    copies = rows.where("__mix.copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix.copies"))))
+    return copies.select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 ORACLE = r"""

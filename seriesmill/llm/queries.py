@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, jaccard, lattice, media, mixing, pages, quality, toxicity
+from . import bpe, exact_dedup, jaccard, lattice, media, mixing, pages, pseudonyms, quality, toxicity
 from .common import table
 
 #: The vocabulary of op10.
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
 #: The vocabulary of op6.
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -48,8 +49,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
+    return bpe.round_trip(table(spark, sf_dir, "documents"), BPE_RANKS, PATTERN)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_lattice": op6_lattice,
     "op7_jaccard": op7_jaccard,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_pseudonyms": op9_pseudonyms,
     "op10_bpe": op10_bpe,
 }
 

@@ -16,8 +16,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -246,20 +247,31 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
         free[1:] &= w[1:] >= 0
 
 
+def score_column(lexicon: Lexicon, text: Column) -> Column:
+    """The score of a text column; the other columns of a table pass it by.  Null and empty texts have no match."""
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        matcher = state.get("matcher") or state.setdefault("matcher", Matcher(lexicon))
+        return pd.Series([matcher.score(t or "") for t in texts], dtype="float64")
+
+    state: dict = {}
+    return scored(text)
+
+
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score of every row, over its whole text.
 
-    Null and empty texts have no match and score as such; repeated rows score alike.  No shuffle.  The lexicon
-    travels with the function; ``learn`` bounds its size.
+    Null and empty texts have no match and score as such; repeated rows score alike; an empty table gives none.
+    No shuffle.  The lexicon travels with the function; ``learn`` bounds its size.
     """
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), score_column(lexicon, F.col(f"`{text_col}`")).alias("score"))
 
-    def rows(batch: pa.RecordBatch) -> Iterator[dict]:
-        matcher = state.get("matcher") or state.setdefault("matcher", Matcher(lexicon))
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        yield {"doc_id": batch.column(0), "score": [matcher.score(t) for t in texts]}
 
-    state: dict = {}
-    return map_rows(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), rows, "doc_id long, score double")
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text", **learning) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    lexicon = learn(docs, labels, **learning)
+    return docs.withColumn("__score", score_column(lexicon, F.col(f"`{text_col}`"))).where(F.col("__score") < threshold).drop("__score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **learning) -> DataFrame:
