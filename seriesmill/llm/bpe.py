@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import map_rows
 
 #: Entries of a worker's memo of encoded pre-tokens; it starts anew when full.
-MEMO = 300_000
+MEMO = 800_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -153,7 +153,7 @@ class Codec:
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        new = list(dict.fromkeys(w for words in split for w in words if w not in memo))
+        new = sorted(set().union(*split).difference(memo))
         for word, ids in zip(new, self.replay.encode([w.encode() for w in new]), strict=True):
             memo[word] = ",".join(map(str, ids))
         for words in split:
@@ -163,6 +163,10 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(","))) if ids else b""
 
 
+#: The last codec of a worker, whose memo serves its later tasks.
+_KEPT: dict[tuple, Codec] = {}
+
+
 def _share(spark: SparkSession, ranks_path: str, pattern: str):
     """The vocabulary, read by the driver and sent to the executors; a file of fixed size, checked here."""
     ranks = read_ranks(ranks_path)
@@ -173,13 +177,13 @@ def _share(spark: SparkSession, ranks_path: str, pattern: str):
 
 def _with_codec(df: DataFrame, ranks_path: str, pattern: str, fn, schema: str) -> DataFrame:
     sent = _share(df.sparkSession, ranks_path, pattern)
-    state: dict = {}  # pickled empty with the function; filled once for each task
+    name = (ranks_path, pattern, df.sparkSession.sparkContext.applicationId, sent._jbroadcast.id())
 
     def rows(batch: pa.RecordBatch) -> Iterator[dict]:
-        codec = state.get("codec")
-        if codec is None:
-            codec = state["codec"] = Codec(*sent.value)
-        yield from fn(codec, batch)
+        if name not in _KEPT:
+            _KEPT.clear()
+            _KEPT[name] = Codec(*sent.value)
+        yield from fn(_KEPT[name], batch)
 
     return map_rows(df, rows, schema)
 
