@@ -2,9 +2,10 @@
 
 The product of the sparse document-by-shingle matrix with its transpose holds the overlap of every pair.  It is
 never formed whole.  (1) Equal sets are one row.  (2) Of each row only a prefix is indexed: with its shingles in
-a fixed order, rare ones first, two rows whose overlap reaches the bound that follows from their sizes share one
-of the first n - ceil(t * n) + 1.  (3) Columns with one entry go.  (4) In columns of few entries the pairs that
-pass the size bound are listed, made distinct and counted against the whole rows.  (5) Columns of many entries
+a fixed order, rare ones first, two rows whose overlap reaches the bound that follows from their sizes share k
+of the first n - ceil(t * n) + k.  (3) Columns with one entry go.  (4) In columns of few entries the pairs that
+pass the size bound are listed and their overlaps added up; pairs with k or more of them are counted against the
+whole rows.  (5) Columns of many entries
 (clusters of near copies) are cut into blocks; a block pair is multiplied within one task, row by row, which
 keeps links only where they join two components, so that a cluster of m rows sends back fewer than m links
 and most of its rows need no product at all.  Components are exact: every linked pair is linked in the result,
@@ -127,8 +128,14 @@ def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
                 yield np.empty(0, np.int64)
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-n * percent // 100) + 1
+#: Shared shingles of their prefixes that a pair must have to be looked at (fewer for rows that can't share so many).
+SHARED = 4
+
+
+def prefix_length(n: int, percent: int, shared: int = SHARED) -> int:
+    """Of two rows that link, the first so many shingles have min(shared, least overlap) in common."""
+    overlap = -(-n * percent // 100)
+    return n - overlap + min(shared, overlap)
 
 
 def _digest(shingles: np.ndarray) -> bytes:
@@ -252,8 +259,10 @@ def classes(docs: DataFrame, words: int, percent: int, hot_entries: int = HOT_EN
 
     few = entries.where(F.col("entries") <= listed)
     a, b = few.select("token", F.col("node").alias("a"), F.col("n").alias("na")), few.select("token", F.col("node").alias("b"), F.col("n").alias("nb"))
-    sized = (F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    pairs = written(a.join(b, "token").where(sized).select("a", "b").distinct())
+    smaller, larger = F.least("na", "nb"), F.greatest("na", "nb")
+    met = a.join(b, "token").where((F.col("a") < F.col("b")) & (smaller * 100 >= larger * percent))
+    bound = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100))
+    pairs = written(met.groupBy("a", "b").agg(F.count("*").alias("both"), F.first(smaller).alias("n")).where(F.col("both") >= bound).select("a", "b"))
     many = entries.where(F.col("entries") > listed)
 
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(many.select("node")).distinct()
@@ -269,7 +278,7 @@ def classes(docs: DataFrame, words: int, percent: int, hot_entries: int = HOT_EN
         yield {"node": nodes, "shingles": sets}
 
     texts = docs.join(needed, docs["doc_id"] == needed["node"]).select("node", "text", "fp")
-    sets = written(map_rows(texts, whole, "node long, shingles binary").dropDuplicates(["node"]))
+    sets = written(map_rows(texts, whole, "node long, shingles binary"))  # a repeated row gives a repeated set, which links alike
 
     def counted(batch: pa.RecordBatch) -> Iterator[dict]:
         out: dict[str, list] = {"a": [], "b": []}
