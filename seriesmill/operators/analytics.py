@@ -28,11 +28,16 @@ def _numbered(samples: DataFrame) -> DataFrame:
     return samples.withColumn("i", F.row_number().over(Window.partitionBy("series_id").orderBy("ts", "seq")) - 1)
 
 
+def _r2():
+    """Share of the variance that a line explains, from covariance c and variances v and w; 1 if values don't vary."""
+    return F.when(F.col("v") == 0, 1.0).otherwise(F.try_divide(F.col("c") * F.col("c"), F.col("v") * F.col("w")))
+
+
 def trend(samples: DataFrame, flat: float = 0.001) -> DataFrame:
     """slope, intercept, r2 (1 if values don't vary) of the line over places 0, 1, ..., and its direction."""
-    out = _numbered(samples).groupBy("series_id").agg(*_names(F.regr_slope("value", "i").alias("slope"), F.regr_intercept("value", "i").alias("intercept"), F.corr("value", "i").alias("r"), F.var_pop("value").alias("v")))
+    out = _numbered(samples).groupBy("series_id").agg(*_names(F.regr_slope("value", "i").alias("slope"), F.regr_intercept("value", "i").alias("intercept"), F.covar_pop("value", "i").alias("c"), F.var_pop("i").alias("w"), F.var_pop("value").alias("v")))
     slope = F.coalesce("slope", F.lit(0.0))
-    r2 = F.when(F.col("v") == 0, 1.0).otherwise(F.col("r") * F.col("r"))
+    r2 = _r2()
     direction = F.when(slope > flat, "up").when(slope < -flat, "down").otherwise("stable")
     return out.select("series_id", "metric", "labels", slope.alias("slope"), "intercept", r2.alias("r2"), direction.alias("direction"))
 
@@ -86,11 +91,11 @@ def shape_features(samples: DataFrame) -> DataFrame:
     crossing = F.when(((F.col("before") >= 0) & (F.col("value") < 0)) | ((F.col("before") < 0) & (F.col("value") >= 0)), 1.0).otherwise(0.0)
     mean = F.avg("value").over(Window.partitionBy("series_id"))
     out = rows.withColumn("mean", mean).groupBy("series_id").agg(*_names(
-        F.regr_slope("value", "i").alias("slope"), (F.max_by("value", "i") - F.min_by("value", "i")).alias("trend"), F.corr("value", "i").alias("r"), F.var_pop("value").alias("v"),
+        F.regr_slope("value", "i").alias("slope"), (F.max_by("value", "i") - F.min_by("value", "i")).alias("trend"), F.covar_pop("value", "i").alias("c"), F.var_pop("i").alias("w"), F.var_pop("value").alias("v"),
         F.sum(crossing).alias("crossings"), F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("value") - F.col("mean"))).alias("mad"), F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"), F.max(F.abs("value")).alias("peak"),
     ))
     return out.select(
-        "series_id", "metric", "labels", F.coalesce("slope", F.lit(0.0)).alias("slope"), "trend", F.when(F.col("v") == 0, 1.0).otherwise(F.col("r") * F.col("r")).alias("r2"),
+        "series_id", "metric", "labels", F.coalesce("slope", F.lit(0.0)).alias("slope"), "trend", _r2().alias("r2"),
         F.when(F.col("n") > 1, F.col("crossings") / (F.col("n") - 1)).otherwise(0.0).alias("zero_crossing_rate"), "mad", "rms",
         F.when(F.col("rms") > 0, F.try_divide("peak", "rms")).otherwise(0.0).alias("crest"), F.when(F.col("mad") > 0, F.try_divide("rms", "mad")).otherwise(0.0).alias("shape"),
     )

@@ -137,12 +137,21 @@ def holt_winters(samples: DataFrame, smoothing: float = 0.3, trend: float = 0.1)
 
 
 def smoothing_residuals(samples: DataFrame, smoothing: float = 0.3, trend: float = 0.1) -> DataFrame:
-    """Each value minus the double exponential forecast made before it; the first value stays."""
-    forecast = holt_winters(samples, smoothing, trend).select("series_id", F.col("ts").alias("__ts"), F.col("value").alias("__forecast"))
-    ahead = samples.withColumn("__before", F.lag("ts").over(_by_time())).withColumn("__first", F.first("value").over(_by_time()))
-    joined = ahead.join(forecast, ["series_id"], "left").where("__ts = __before or __before is null")
-    second = F.col("__first")  # the forecast of the second sample is the first one, plus the starting trend
-    return joined.dropDuplicates(["series_id", "ts", "seq"]).withColumn("value", F.when(F.col("__before").isNull(), F.col("value")).otherwise(F.col("value") - F.coalesce("__forecast", second))).select(COLUMNS)
+    """Each value from the third on minus its double exponential forecast; the first two stay as they are.
+
+    The first forecast is the line through the first two values; level and trend follow from there.
+    """
+    a, b = float(smoothing), float(trend)
+    state = "cast(array() as array<struct<r:double,level:double,trend:double>>)"
+    start = "named_struct('r', s[1].value, 'level', s[0].value, 'trend', s[1].value - s[0].value)"
+    step = (
+        f"concat(acc, transform(array({a}D * y.value + {1 - a}D * (p.level + p.trend)), "
+        f"l -> named_struct('r', y.value - (p.level + p.trend), 'level', l, 'trend', {b}D * (l - p.level) + {1 - b}D * p.trend)))"
+    )
+    folded = f"aggregate(slice(s, 3, size(s)), concat({state}, array({start})), (acc, y) -> transform(array(acc[size(acc) - 1]), p -> {step})[0], acc -> transform(acc, e -> e.r))"
+    residuals = F.expr(f"if(size(s) < 2, transform(s, e -> e.value), concat(array(s[0].value), {folded}))")
+    each = _packed(samples).withColumn("v", residuals).select("series_id", "metric", "labels", F.explode(F.arrays_zip("s", "v")).alias("e"))
+    return each.select("series_id", "metric", "labels", F.col("e.s.ts").alias("ts"), F.col("e.v").alias("value"), F.col("e.s.seq").alias("seq"))
 
 
 def linear_residuals(samples: DataFrame) -> DataFrame:

@@ -59,14 +59,19 @@ def parse_batches(bodies: DataFrame, column: str = "value") -> tuple[DataFrame,
     return samples(each.where(ok), F.col("metric"), F.col("rest"), F.col("s.timestamp"), F.col("number")), each.where(~ok).select("body", "labels", "s")
 
 
-def parse_export(documents: DataFrame, column: str = "value") -> DataFrame:
-    """Samples of export documents."""
-    each = documents.select(F.explode(F.from_json(column, EXPORT)["time_series"]).alias("t")).select("t.metadata", F.posexplode("t.samples").alias("k", "s"))
+def _exported(documents: DataFrame) -> DataFrame:
+    each = documents.select(F.explode("time_series").alias("t")).select("t.metadata", F.posexplode("t.samples").alias("k", "s"))
     return samples(each, F.col("metadata.metric_name"), F.coalesce("metadata.labels", F.expr("cast(map() as map<string,string>)")), F.col("s.timestamp"), F.col("s.value"), F.col("k"))
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    return parse_export(spark.read.text(path, wholetext=True))
+def parse_export(documents: DataFrame, column: str = "value") -> DataFrame:
+    """Samples of export documents, one in each row."""
+    return _exported(documents.select(F.from_json(column, EXPORT).alias("d")).select("d.time_series"))
+
+
+def read_json(spark: SparkSession, path: str, pretty: bool = False) -> DataFrame:
+    """Samples of files with an export document on each line, or one ``pretty`` document in each file."""
+    return _exported(spark.read.schema(EXPORT).json(path, multiLine=pretty))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -130,7 +130,7 @@ def parse_writes(bodies: DataFrame, column: str = "body") -> tuple[DataFrame, Da
                         metric = labels.pop("__name__", "")
                         for t, v in points:
                             add(metric, list(labels.items()), t, v, None, None)
-                except (ValueError, IndexError, struct.error, pa.ArrowException, UnicodeDecodeError, AttributeError) as e:
+                except (ValueError, IndexError, OSError, struct.error, pa.ArrowException, AttributeError) as e:
                     add(None, None, None, None, body, str(e)[:200])
             yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in _TYPES.items()], names=list(_TYPES))
 

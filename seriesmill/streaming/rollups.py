@@ -42,7 +42,8 @@ def rollup_stream(samples: DataFrame, level: str = "L1", late: str = "10 minutes
 def alert_stream(evaluations: DataFrame, rule: Rule, late: str = "10 minutes") -> DataFrame:
     """(series_id, ts, value, state, active_at) of a stream of evaluations, the state kept for each series.
 
-    Within a batch a series' evaluations are taken in time order; a silent series is forgotten after EXPIRE_S.
+    Within a batch a series' evaluations are taken in time order.  Those behind the watermark are left out; a series
+    is forgotten when the watermark is EXPIRE_S past its last evaluation.
     """
     op, bound = rule.condition.op, rule.condition.threshold
     hold = int(rule.hold_s * 1000)
@@ -67,11 +68,11 @@ def alert_stream(evaluations: DataFrame, rule: Rule, late: str = "10 minutes") -
                 since = None
             last = int(ts)
         state.update((since, last))
-        state.setTimeoutDuration(EXPIRE_S * 1000)
+        state.setTimeoutTimestamp(max(last + EXPIRE_S * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["series_id", "ts", "value", "state", "active_at"]).astype({"series_id": "int64", "ts": "int64", "value": "float64", "active_at": "int64"})
 
-    timed = evaluations.select("series_id", "ts", "seq", "value")
-    return timed.groupBy("series_id").applyInPandasWithState(step, "series_id long, ts long, value double, state string, active_at long", "since long, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = evaluations.select("series_id", "ts", "seq", "value", F.timestamp_millis("ts").alias("time")).withWatermark("time", late)
+    return timed.groupBy("series_id").applyInPandasWithState(step, "series_id long, ts long, value double, state string, active_at long", "since long, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
