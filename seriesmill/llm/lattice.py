@@ -5,7 +5,7 @@ estimated on the training fold: all its words, counted over the whole corpus, ar
 tokenizer, and the pieces counted with their words.  A text is the pieces of its words (each word begins
 with the space mark) and one end; its probability sums over all segmentations, by a forward recursion in log
 space.  Pieces hold the space mark at their beginning only, so the lattice of a text falls apart into those of
-its words, which are scored once per worker and remembered in a bounded memo.
+its words: every distinct word of the corpus is scored once, in a table of words with their counts.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ from .common import map_rows, most_frequent, written
 from .labelled import fold_of
 
 SPACE = "▁"
-#: Words whose counts are sent to executors, at most; counts of others meet their tokens in a join.
-HEAD = 100_000
-#: Different words that a task counts or remembers at a time.
+#: Words whose counts and scores are sent to executors, at most; those of others meet their tokens in a join.
+HEAD = 200_000
+#: Different words that a task counts at a time.
 HELD = 400_000
 
 
@@ -43,47 +43,65 @@ class Pieces:
     end: float
 
     def __post_init__(self):
-        object.__setattr__(self, "longest", max(map(len, self.logp), default=1))
+        # what a walk along the lattice looks up: the beginnings of pieces, with their score where one ends
+        steps: dict[str, float | None] = {}
+        for piece in self.logp:
+            for k in range(1, len(piece)):
+                steps.setdefault(piece[:k], None)
+        object.__setattr__(self, "steps", steps | self.logp)
 
     def word(self, word: str) -> float:
         """Natural log of the probability of a word, over all its segmentations."""
         text = SPACE + word
         n = len(text)
-        forward: list[float] = [0.0] * (n + 1)
-        logp, longest, exp, log = self.logp, self.longest, math.exp, math.log
-        for j in range(1, n + 1):
-            terms = []
-            for i in range(max(0, j - longest), j):
-                p = logp.get(text[i:j])
-                if p is not None:
-                    terms.append(forward[i] + p)
-            if text[j - 1] not in logp:
-                terms.append(forward[j - 1] + sum(self.bytes_[b] for b in text[j - 1].encode("utf-8", "surrogatepass")))
-            top = max(terms)
-            forward[j] = top + log(sum([exp(t - top) for t in terms])) if len(terms) > 1 else top
-        return forward[n]
-
-
-def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over all texts; each task adds up its own words first, HELD different ones at a time."""
+        steps, single, exp, log = self.steps, self.logp, math.exp, math.log
+        terms: list[list[float]] = [[] for _ in range(n + 1)]
+        forward = 0.0
+        for i in range(n):
+            if i:
+                into = terms[i]
+                top = max(into)
+                forward = top if len(into) == 1 else top + log(sum([exp(t - top) for t in into]))
+            for j in range(i + 1, n + 1):
+                p = steps.get(text[i:j], 0.0)
+                if p is None:
+                    continue
+                if p == 0.0:  # no piece begins like this
+                    break
+                terms[j].append(forward + p)
+            if text[i] not in single:
+                terms[i + 1].append(forward + sum(self.bytes_[b] for b in text[i].encode("utf-8", "surrogatepass")))
+        top = max(terms[n])
+        return top + log(sum([exp(t - top) for t in terms[n]]))
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """(word, n) of all texts; n counts rows that aren't held out.  Columns: text, held_out.
+
+    Each task adds up its own words first, HELD different ones at a time.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter: Counter = Counter()
+        seen: Counter = Counter()
+        known: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(counter), pa.binary()).cast(pa.string()), pa.array(list(counter.values()), pa.int64())], names=["word", "n"])
-            counter.clear()
+            for word in seen:
+                known.setdefault(word, 0)
+            batch = pa.RecordBatch.from_arrays([pa.array(list(known), pa.binary()).cast(pa.string()), pa.array(list(known.values()), pa.int64())], names=["word", "n"])
+            seen.clear()
+            known.clear()
             return batch
 
         for batch in batches:
-            for text in batch.column(0):
-                counter.update(words_of(text.as_py()))
-                if len(counter) > HELD:
+            for text, held in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                (seen if held else known).update(words_of(text.as_py()))
+                if len(known) + len(seen) > HELD:
                     yield out()
-        if counter:
+        if known or seen:
             yield out()
 
-    return docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text", "held_out").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def estimate_pieces(counts: DataFrame, n_ends: int, model: bytes, smoothing: float = 0.1) -> Pieces:
@@ -122,41 +140,38 @@ def score(docs: DataFrame, model_path: str, held_fold: int = 1, folds: int = 5,
     if len(model) > 64 << 20:
         raise ValueError(f"{model_path} has {len(model)} bytes; a vocabulary of at most 64 MB is sent to executors")
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), (fold_of(F.col(f"`{id_col}`"), folds) == held_fold).alias("held_out"))
-    training = docs.where(~F.col("held_out"))
-    counts = written(count_words(training))
-    ends = training.count()
-    size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    counts = written(count_words(docs))
+    ends = docs.where(~F.col("held_out")).count()
+    size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     total, types = size["n"] + ends, size["v"] + (ends > 0)
     denominator = total + 0.5 * (types + 1)
-    pieces = estimate_pieces(counts, ends, model)
-    known = {r["word"].encode(): r["n"] for r in most_frequent(counts, "n", head).collect()}  # ``head`` rows at most
-    sent = docs.sparkSession.sparkContext.broadcast((pieces, known))
+    pieces = estimate_pieces(counts.where("n > 0"), ends, model)
+
+    def weighed(batch: pa.RecordBatch) -> Iterator[dict]:
+        yield {"word": batch.column(0), "n": batch.column(1), "logp": [pieces.word(w) for w in batch.column(0).to_pylist()]}
+
+    words = written(map_rows(counts, weighed, "word string, n long, logp double"))
+    known = {r["word"].encode(): (r["n"], r["logp"]) for r in most_frequent(words.where("n > 0"), "n", head).collect()}  # ``head`` rows at most
+    sent = docs.sparkSession.sparkContext.broadcast(known)
     base_end = math.log10((ends + 0.5) / denominator)
-    memo: dict[bytes, float] = {}
 
     def scored(batch: pa.RecordBatch) -> Iterator[dict]:
-        pieces, known = sent.value
-        log10 = math.log(10)
+        known = sent.value
         names = ("n_tokens", "n_known", "base_score", "score", "rest", "rest_n")
         out: dict[str, list] = {name: [] for name in names}
         for text in batch.column(1):
-            words = Counter(words_of(text.as_py()))
-            base, sure, total, rest, rest_n = base_end, int(ends > 0), pieces.end, [], []
-            if len(memo) > HELD:
-                memo.clear()
-            for word, n in words.items():
-                p = memo.get(word)
-                if p is None:
-                    p = memo[word] = pieces.word(word.decode())
-                total += n * p
-                c = known.get(word)
-                if c is None:
+            counted = Counter(words_of(text.as_py()))
+            base, sure, logp, rest, rest_n = base_end, int(ends > 0), pieces.end, [], []
+            for word, n in counted.items():
+                found = known.get(word)
+                if found is None:
                     rest.append(word.decode())
                     rest_n.append(n)
                 else:
-                    base += n * math.log10((c + 0.5) / denominator)
+                    base += n * math.log10((found[0] + 0.5) / denominator)
+                    logp += n * found[1]
                     sure += n
-            for name, value in zip(names, (sum(words.values()) + 1, sure, base, total / log10, rest, rest_n), strict=True):
+            for name, value in zip(names, (sum(counted.values()) + 1, sure, base, logp / math.log(10), rest, rest_n), strict=True):
                 out[name].append(value)
         yield {"doc_id": batch.column(0), "held_out": batch.column(2)} | out
 
@@ -164,11 +179,11 @@ def score(docs: DataFrame, model_path: str, held_fold: int = 1, folds: int = 5,
     # written, so that a row keeps its number when it is read twice
     rows = written(map_rows(docs, scored, schema).withColumn("row", F.monotonically_increasing_id()))
     rare = rows.select("row", F.explode(F.arrays_zip("rest", "rest_n")).alias("r")).select("row", F.col("r.rest").alias("word"), F.col("r.rest_n").alias("k"))
-    c = F.coalesce(F.col("n"), F.lit(0))
-    met = rare.join(counts, "word", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("more_known"), F.sum(F.col("k") * F.log10((c + 0.5) / F.lit(denominator))).alias("more_base")
-    )
+    met = rare.join(words, "word").groupBy("row").agg(
+        F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("more_known"), F.sum(F.col("k") * F.log10((F.col("n") + 0.5) / F.lit(denominator))).alias("more_base"),
+        F.sum(F.col("k") * F.col("logp")).alias("more_logp"),
+    )
     return rows.join(met, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more_logp", F.lit(0.0)) / F.lit(math.log(10))).alias("score"),
     )
