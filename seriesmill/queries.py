@@ -545,10 +545,19 @@ def _(spark, d):
     return out.select(F.col("labels")["event_type"].alias("event_type"), *(rounded(c, name=c) for c in ("mean", "variance", "skewness", "kurtosis", "median", "q1", "q3", "range")), "count")
 
 
-@query("y6_frequency_features")
+@query(
+    "y6_frequency_features",
+    f"""WITH {BASE}, n AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, seq) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM s),
+        u AS (SELECT DISTINCT user_id, n FROM n), k AS (SELECT user_id, unnest(range(0, n // 2)) AS k FROM u WHERE n >= 32),
+        p AS (SELECT user_id, k, sum(value * cos(2 * pi() * ((k * i) % n) / n)) ^ 2 + sum(value * sin(2 * pi() * ((k * i) % n) / n)) ^ 2 AS p FROM k JOIN n USING (user_id) GROUP BY 1, 2),
+        t AS (SELECT *, sum(p) OVER (PARTITION BY user_id) AS total FROM p), c AS (SELECT *, sum(k * p / total) OVER (PARTITION BY user_id) AS c FROM t),
+        f AS (SELECT user_id, arg_max(k, (p, k))::DOUBLE AS dominant, round(max(c), 6) AS centroid, round(sum((k - c) ^ 2 * p / total), 6) AS spread, round(-sum(CASE WHEN p > 0 THEN p / total * ln(p / total) ELSE 0 END), 6) AS entropy, round(max(total), 2) AS power FROM c GROUP BY 1)
+        SELECT user_id, dominant, centroid, spread, entropy, power FROM u LEFT JOIN f USING (user_id)""",
+)
 def _(spark, d):
-    out = analytics.frequency_features(model.events(spark, d, ("user_id",)))
-    return out.select("series_id", *(rounded(c, name=c) for c in ("dominant", "centroid", "spread", "entropy")), rounded("power", 2, "power"))
+    rows = model.events(spark, d, ("user_id",))
+    out = analytics.frequency_features(rows).join(metadata.series(rows).select("series_id", F.col("labels")["user_id"].alias("user_id")), "series_id")
+    return out.select("user_id", *(rounded(c, name=c) for c in ("dominant", "centroid", "spread", "entropy")), rounded("power", 2, "power"))
 
 
 @query(
@@ -562,6 +571,33 @@ def _(spark, d):
     return out.select(F.col("labels")["event_type"].alias("event_type"), rounded("slope", 9, "slope"), *(rounded(c, name=c) for c in ("trend", "r2", "zero_crossing_rate", "mad", "rms", "crest", "shape")))
 
 
+@query("y8_features", f"WITH {BASE} SELECT event_type, user_id, count(*) AS count, round(avg(value), 6) AS mean, round(sqrt(avg(value * value)), 6) AS rms FROM s GROUP BY 1, 2 HAVING count(*) >= 10")
+def _(spark, d):
+    out = analytics.features(both(spark, d)).join(metadata.series(both(spark, d)).select("series_id", "labels"), "series_id")
+    return out.select(*(F.col("labels")[n].alias(n) for n in ("event_type", "user_id")), F.col("time.count").alias("count"), rounded("time.mean", name="mean"), rounded("shape.rms", name="rms"))
+
+
+@query("y4_summary", f"WITH {BASE}, n AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, seq) - 1 AS i FROM s) SELECT event_type, user_id, count(*) AS count, round(median(value), 6) AS median, round(coalesce(regr_slope(value, i), 0), 6) AS slope FROM n GROUP BY 1, 2 HAVING count(*) >= 10")
+def _(spark, d):
+    out = analytics.summary(both(spark, d))
+    return out.select(*(F.col("labels")[n].alias(n) for n in ("event_type", "user_id")), "count", rounded("median", name="median"), rounded("slope", name="slope"))
+
+
+@query("d6_level_by_policy", "SELECT unnest(['auto', 'aggressive', 'rate']) AS policy, unnest(['L2', 'L3', 'L1']) AS level")
+def _(spark, d):
+    span = (START, START + 100 * rollup.HOUR)
+    levels = (rollup.level_by_policy(*span), rollup.level_by_policy(*span, "aggressive"), rollup.level_by_policy(*span, "auto", "rate"))
+    return spark.createDataFrame(list(zip(("auto", "aggressive", "rate"), levels, strict=True)), "policy string, level string")
+
+
+@query("r15_smoothing_residuals", f"WITH {BASE} SELECT event_type, user_id, ts, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, seq) AS k FROM s) WHERE k <= 2")
+def _(spark, d):
+    from pyspark.sql.window import Window
+
+    turn = F.row_number().over(Window.partitionBy("series_id").orderBy("ts", "seq"))
+    return flat(ot.smoothing_residuals(both(spark, d)).withColumn("k", turn).where("k <= 2"), "event_type", "user_id")
+
+
 # --- formats: written and read again
 @query("i2_exposition_round_trip", f"WITH {BASE} SELECT event_type, user_id, ts, round(value, 6) AS value FROM s")
 def _(spark, d):
