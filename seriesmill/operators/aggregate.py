@@ -47,12 +47,11 @@ def _keyed(samples: DataFrame, by: list[str] | None, without: list[str] | None)
     # without keeps the metric name unless it is listed; by keeps it only if it is
     keep_name = "__name__" in by if by else without is not None and "__name__" not in without
     metric = F.col("metric") if keep_name else F.lit("")
-    labels = group_labels(by, without)
-    return samples.select(metric.alias("metric"), labels.alias("labels"), label_text(labels).alias("key"), "ts", "value")
+    return samples.select(metric.alias("metric"), group_labels(by, without).alias("labels"), "ts", "value")
 
 
 def _as_samples(df: DataFrame) -> DataFrame:
-    return df.select(F.xxhash64("metric", "key").alias("series_id"), "metric", "labels", "ts", "value", F.lit(0).cast("long").alias("seq"))
+    return df.select(F.xxhash64("metric", label_text()).alias("series_id"), "metric", "labels", "ts", "value", F.lit(0).cast("long").alias("seq"))
 
 
 def aggregate(samples: DataFrame, op: str, by: list[str] | None = None, without: list[str] | None = None, collapse_time: bool = False, start: int | None = None, arg: float | None = None) -> DataFrame:
@@ -72,9 +71,9 @@ def aggregate(samples: DataFrame, op: str, by: list[str] | None = None, without:
         raise ValueError(f"unknown aggregation {op!r}")
     keyed = _keyed(samples, by, without)
     if collapse_time:
-        out = keyed.groupBy("metric", "key").agg(what.alias("value"), F.first("labels").alias("labels")).withColumn("ts", F.lit(start).cast("long"))
+        out = keyed.groupBy("metric", "labels").agg(what.alias("value")).withColumn("ts", F.lit(start).cast("long"))
     else:
-        out = keyed.groupBy("metric", "key", "ts").agg(what.alias("value"), F.first("labels").alias("labels"))
+        out = keyed.groupBy("metric", "labels", "ts").agg(what.alias("value"))
     return _as_samples(out)
 
 
@@ -107,8 +106,8 @@ def value_text(value: Column | str = "value") -> Column:
 def count_values(samples: DataFrame, label: str, by: list[str] | None = None, without: list[str] | None = None, start: int | None = None) -> DataFrame:
     """How often each value occurs, over all times; the value's text becomes a label."""
     keyed = samples.select(group_labels(by, without).alias("labels"), value_text().alias("text"))
-    keyed = keyed.select(F.map_concat(F.map_filter("labels", lambda k, _: k != label), F.create_map(F.lit(label), "text")).alias("labels")).withColumn("key", label_text())
-    out = keyed.groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("value"), F.first("labels").alias("labels"))
+    keyed = keyed.select(F.map_concat(F.map_filter("labels", lambda k, _: k != label), F.create_map(F.lit(label), "text")).alias("labels"))
+    out = keyed.groupBy("labels").agg(F.count(F.lit(1)).cast("double").alias("value"))
     return _as_samples(out.withColumn("metric", F.lit("")).withColumn("ts", F.lit(start).cast("long")))
 
 

@@ -34,7 +34,8 @@ def previous(samples: DataFrame, slice_ms: int | None = None) -> DataFrame:
 
 def _per_series(samples: DataFrame, ts: Column, value: Column, *more: Column, keep: Column | None = None) -> DataFrame:
     """One sample for each series; ``keep`` drops series."""
-    out = samples.groupBy("series_id").agg(F.first("metric").alias("metric"), F.first("labels").alias("labels"), ts.alias("ts"), value.alias("value"), *more)
+    # metric and labels are keys, as fixed-size aggregates beside them can then be hashed
+    out = samples.groupBy("series_id", "metric", "labels").agg(ts.alias("ts"), value.alias("value"), *more)
     out = out if keep is None else out.where(keep)
     return out.select("series_id", "metric", "labels", F.col("ts").cast("long").alias("ts"), F.col("value").cast("double").alias("value"), F.lit(0).cast("long").alias("seq"))
 
@@ -217,5 +218,5 @@ def on_grid(samples: DataFrame, op: str, start: int, end: int, step: int, range_
     last = F.least(F.lit((end - start) // step), F.ceil((F.col("ts") + range_ms - start) / step) - 1)
     inside = samples.where((F.col("ts") > start - range_ms) & (F.col("ts") <= end)).withColumn("__first", first.cast("long")).withColumn("__last", last.cast("long"))
     points = inside.where("__first <= __last").withColumn("__k", F.explode(F.sequence("__first", "__last"))).withColumn("__t", F.col("__k") * step + start)
-    out = points.groupBy("series_id", "__t").agg(F.first("metric").alias("metric"), F.first("labels").alias("labels"), OVER_TIME[op](q).alias("value"))
+    out = points.groupBy("series_id", "metric", "labels", "__t").agg(OVER_TIME[op](q).alias("value"))
     return out.select("series_id", "metric", "labels", F.col("__t").cast("long").alias("ts"), F.col("value").cast("double").alias("value"), F.lit(0).cast("long").alias("seq"))

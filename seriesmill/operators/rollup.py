@@ -54,7 +54,7 @@ def downsample(samples: DataFrame, level: str = "L1", resolution: int | None = N
     resolution = LEVELS[level][0] if resolution is None else resolution
     if not resolution:
         return samples
-    out = samples.withColumn("ts", bucket("ts", resolution)).groupBy("series_id", "ts").agg(F.first("metric").alias("metric"), F.first("labels").alias("labels"), F.avg("value").alias("value"))
+    out = samples.withColumn("ts", bucket("ts", resolution)).groupBy("series_id", "metric", "labels", "ts").agg(F.avg("value").alias("value"))
     return out.select("series_id", "metric", "labels", "ts", "value", F.lit(0).cast("long").alias("seq"))
 
 

@@ -9,6 +9,7 @@ anything is planned.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -42,9 +43,30 @@ class QueryError(ValueError):
 Value = DataFrame | float
 
 
-def evaluate(query: str | Expr, samples: DataFrame, start: int, end: int | None = None, **options) -> DataFrame:
-    """Samples of a query over [start, end] (or at an instant)."""
+def bounds(e: Expr, start: int, end: int, lookback_ms: int = 0) -> tuple[int, int] | None:
+    """The least time range that holds every sample an expression reads over [start, end]; None if it reads none."""
+    if isinstance(e, Selector):
+        if e.at is not None:
+            start = end = {"start": start, "end": end}.get(e.at, e.at)
+        return start - (e.range_ms or lookback_ms) - e.offset_ms, end - e.offset_ms
+    if isinstance(e, Subquery):
+        last = (end if e.at is None else {"start": start, "end": end}.get(e.at, e.at)) - e.offset_ms
+        return bounds(e.expr, last - e.range_ms, last, lookback_ms)
+    inner = {Binary: ("left", "right"), Aggregation: ("expr", "param"), Unary: ("expr",)}.get(type(e), ())
+    parts = [getattr(e, name) for name in inner] if inner else list(getattr(e, "args", ()))
+    found = [b for p in parts if p is not None and (b := bounds(p, start, end, lookback_ms))]
+    return (min(a for a, _ in found), max(b for _, b in found)) if found else None
+
+
+def evaluate(query: str | Expr, samples: DataFrame | Callable[[int, int], DataFrame], start: int, end: int | None = None, **options) -> DataFrame:
+    """Samples of a query over [start, end] (or at an instant).
+
+    ``samples`` may be a function of a time range, such as a store's scan: it is asked for what the query reads.
+    """
     tree = parse(query) if isinstance(query, str) else query
+    if callable(samples):
+        last = start if end is None else end
+        samples = samples(*(bounds(tree, start, last, options.get("lookback_ms", 0)) or (start, last)))
     out = _value(tree, Context(samples, start, start if end is None else end, **options))
     if isinstance(out, float):
         return fn.without_labels(samples.sparkSession.range(1).select(F.lit(out).alias("value")), start)
@@ -218,7 +240,7 @@ def _vector(e: Expr, c: Context, what: str) -> DataFrame:
 class Engine:
     """Queries over one frame of samples, with results kept by text, bounds and data version."""
 
-    def __init__(self, samples: DataFrame, entries: int = 100, **options):
+    def __init__(self, samples: DataFrame | Callable[[int, int], DataFrame], entries: int = 100, **options):
         self.samples, self.entries, self.options = samples, entries, options
         self.version = 0
         self._kept: dict[tuple, DataFrame] = {}

@@ -50,12 +50,12 @@ def flat(df: DataFrame, *labels: str, value: Column | None = None) -> DataFrame:
     return df.select(*(F.col("labels").getItem(n).alias(n) for n in labels), "ts", rounded() if value is None else value)
 
 
-def both(spark: SparkSession, d: str) -> DataFrame:
-    return model.events(spark, d)
+def both(spark: SparkSession, d: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    return model.events(spark, d, start=start, end=end)
 
 
-def by_type(spark: SparkSession, d: str) -> DataFrame:
-    return model.events(spark, d, ("event_type",))
+def by_type(spark: SparkSession, d: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    return model.events(spark, d, ("event_type",), start, end)
 
 
 def daily(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +66,7 @@ def expression(name: str, expr: str, sql: str, *labels: str, source: Query = bot
     """A query given as an expression."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return flat(evaluate(expr, source(spark, d), start, end, **options), *labels, value=rounded(digits=digits))
+        return flat(evaluate(expr, lambda a, b: source(spark, d, a, b), start, end, **options), *labels, value=rounded(digits=digits))
 
     query(name, sql)(run)
 
