@@ -192,7 +192,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_en
         precise = r["clean"] <= 0.02 * r["toxic"] and r["toxic"] >= 6
         # a beginning stands for its words if there are several and none makes up most of it
         if precise and len(forms) >= 3 and max(words[w]["toxic"] for w in forms) < 0.6 * r["toxic"] and not any(term.startswith(s) for s in stems):
-            stems[term] = float(r["weight"])
+            # as long as it stands for (nearly) the same documents, the longer beginning is the safer one
+            longer = [t for t in begins if t.startswith(term) and begins[t]["toxic"] >= 0.98 * r["toxic"]]
+            term = max(longer, key=lambda t: (len(t), t))
+            stems[term] = float(begins[term]["weight"])
     lexicon = Lexicon({w: float(r["weight"]) for w, r in words.items()}, stems)
 
     # phrases that hold a match in clean documents and in no toxic one are exceptions
