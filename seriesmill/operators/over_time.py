@@ -6,6 +6,9 @@ cut into slices of time, whose ends are joined through a table of one row per sl
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -113,28 +116,38 @@ def predict_linear(samples: DataFrame, seconds: float = 60.0, end: int | None =
     return _per_series(_line(samples), F.max("ts") if end is None else F.lit(end), ahead, F.max("x").alias("span"), keep=F.col("span") > 0)
 
 
-def _packed(samples: DataFrame) -> DataFrame:
-    """One row for each series with its samples as a sorted array, for recursive functions; one series, one task."""
-    packed = F.sort_array(F.collect_list(F.struct("ts", "seq", "value")))
-    return samples.groupBy("series_id").agg(F.first("metric").alias("metric"), F.first("labels").alias("labels"), packed.alias("s"))
+def _recursive(samples: DataFrame, step: Callable[[list[float]], tuple[int, list[float]]]) -> DataFrame:
+    """A recursive function of each series' values in time order; ``step`` gives the place of its first result, and them.
+
+    One series is one group of one task, and work grows with its length alone.  Labels are joined again afterwards.
+    """
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["ts", "seq"])
+        first, values = step(rows["value"].tolist())
+        rows = rows.iloc[first : first + len(values)]
+        return pd.DataFrame({"series_id": rows["series_id"], "ts": rows["ts"], "value": pd.Series(values, rows.index, dtype="float64"), "seq": rows["seq"]})
+
+    names = samples.groupBy("series_id").agg(F.first("metric").alias("metric"), F.first("labels").alias("labels"))
+    out = samples.select("series_id", "ts", "value", "seq").groupBy("series_id").applyInPandas(one, "series_id long, ts long, value double, seq long")
+    return out.join(names, "series_id").select(COLUMNS)
 
 
 def holt_winters(samples: DataFrame, smoothing: float = 0.3, trend: float = 0.1) -> DataFrame:
     """Double exponential smoothing; each sample from the second on becomes level plus trend after it."""
-    a, b = float(smoothing), float(trend)
-    state = "cast(array() as array<struct<level:double,trend:double>>)"
-    step = (
-        f"concat(acc, transform(array({a}D * y.value + {1 - a}D * (p.level + p.trend)), "
-        f"l -> named_struct('level', l, 'trend', {b}D * (l - p.level) + {1 - b}D * p.trend)))"
-    )
-    # the state is the list of levels; its last entry feeds the next step
-    folded = (
-        f"aggregate(slice(s, 2, size(s)), {state}, (acc, y) -> "
-        f"transform(array(if(size(acc) = 0, named_struct('level', s[0].value, 'trend', s[1].value - s[0].value), acc[size(acc) - 1])), p -> {step})[0])"
-    )
-    rows = _packed(samples).where(F.size("s") >= 2).withColumn("h", F.expr(folded))
-    each = F.explode(F.expr("transform(h, (e, i) -> named_struct('ts', s[i + 1].ts, 'value', e.level + e.trend))"))
-    return rows.select("series_id", "metric", "labels", each.alias("e")).select("series_id", "metric", "labels", "e.ts", "e.value", F.lit(0).cast("long").alias("seq"))
+
+    def step(values: list[float]) -> tuple[int, list[float]]:
+        out = []
+        if len(values) > 1:
+            level, slope = values[0], values[1] - values[0]
+            for v in values[1:]:
+                before = level
+                level = smoothing * v + (1 - smoothing) * (level + slope)
+                slope = trend * (level - before) + (1 - trend) * slope
+                out.append(level + slope)
+        return 1, out
+
+    return _recursive(samples, step)
 
 
 def smoothing_residuals(samples: DataFrame, smoothing: float = 0.3, trend: float = 0.1) -> DataFrame:
@@ -142,17 +155,19 @@ def smoothing_residuals(samples: DataFrame, smoothing: float = 0.3, trend: float
 
     The first forecast is the line through the first two values; level and trend follow from there.
     """
-    a, b = float(smoothing), float(trend)
-    state = "cast(array() as array<struct<r:double,level:double,trend:double>>)"
-    start = "named_struct('r', s[1].value, 'level', s[0].value, 'trend', s[1].value - s[0].value)"
-    step = (
-        f"concat(acc, transform(array({a}D * y.value + {1 - a}D * (p.level + p.trend)), "
-        f"l -> named_struct('r', y.value - (p.level + p.trend), 'level', l, 'trend', {b}D * (l - p.level) + {1 - b}D * p.trend)))"
-    )
-    folded = f"aggregate(slice(s, 3, size(s)), concat({state}, array({start})), (acc, y) -> transform(array(acc[size(acc) - 1]), p -> {step})[0], acc -> transform(acc, e -> e.r))"
-    residuals = F.expr(f"if(size(s) < 2, transform(s, e -> e.value), concat(array(s[0].value), {folded}))")
-    each = _packed(samples).withColumn("v", residuals).select("series_id", "metric", "labels", F.explode(F.arrays_zip("s", "v")).alias("e"))
-    return each.select("series_id", "metric", "labels", F.col("e.s.ts").alias("ts"), F.col("e.v").alias("value"), F.col("e.s.seq").alias("seq"))
+
+    def step(values: list[float]) -> tuple[int, list[float]]:
+        out = values[:2]
+        if len(values) > 2:
+            level, slope = values[0], values[1] - values[0]
+            for v in values[2:]:
+                out.append(v - (level + slope))
+                before = level
+                level = smoothing * v + (1 - smoothing) * (level + slope)
+                slope = trend * (level - before) + (1 - trend) * slope
+        return 0, out
+
+    return _recursive(samples, step)
 
 
 def linear_residuals(samples: DataFrame) -> DataFrame:
@@ -162,11 +177,14 @@ def linear_residuals(samples: DataFrame) -> DataFrame:
 
 
 def undo_linear_residuals(residuals: DataFrame) -> DataFrame:
-    """The values whose linear_residuals these are."""
-    step = "if(size(acc) < 2, concat(acc, array(y.value)), concat(acc, array(y.value + 2 * acc[size(acc) - 1] - acc[size(acc) - 2])))"
-    rows = _packed(residuals).withColumn("v", F.expr(f"aggregate(s, cast(array() as array<double>), (acc, y) -> {step})"))
-    each = rows.select("series_id", "metric", "labels", F.explode(F.arrays_zip("s", "v")).alias("e"))
-    return each.select("series_id", "metric", "labels", F.col("e.s.ts").alias("ts"), F.col("e.v").alias("value"), F.col("e.s.seq").alias("seq"))
+    """The values whose linear_residuals these are: residuals are second differences, so values are sums of sums."""
+    so_far = _by_time().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = F.row_number().over(_by_time())
+    first = F.first("value").over(so_far)
+    # differences of values: the second residual less the first, then running sums of the others
+    rows = residuals.withColumn("__k", place).withColumn("__first", first).withColumn("__step", F.when(F.col("__k") == 1, 0.0).when(F.col("__k") == 2, F.col("value") - first).otherwise(F.col("value")))
+    rows = rows.withColumn("__slope", F.sum("__step").over(so_far))
+    return rows.withColumn("value", F.col("__first") + F.sum("__slope").over(so_far)).select(COLUMNS)
 
 
 def absent_over_time(all_series: DataFrame, samples: DataFrame, end: int) -> DataFrame:
