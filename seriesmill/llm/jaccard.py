@@ -324,3 +324,27 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     left = docs.join(gone, F.col(f"`{id_col}`") == F.col("__id"), "left_anti")
     twice = found.where("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
     return one_row_per_id(left, twice, id_col, text_col)
+
+
+#: classes(documents, 3, 90) by joining all shingles.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))
+                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS x FROM w
+), e AS (
+  SELECT doc_id, len(x) AS n, unnest(x) AS x FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p WHERE 100 * shared >= 90 * (na + nb - shared)
+), r AS (
+  SELECT doc_id AS node, doc_id AS reached FROM s
+  UNION
+  SELECT node, CASE WHEN reached = a THEN b ELSE a END FROM r JOIN l ON reached = a OR reached = b
+), c AS (
+  SELECT node, min(reached) AS component_id FROM r GROUP BY node
+)
+SELECT doc_id, len(x)::BIGINT AS n_shingles, component_id FROM s JOIN c ON doc_id = node
+"""
