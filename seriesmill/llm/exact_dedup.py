@@ -100,7 +100,8 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # written, so that joins read it through a plain exchange and can split the rows of a large group
     groups = written(prints.groupBy("fp", "n_bytes").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
     shared = groups.where("group_size > 1 AND n_bytes > 0").select("fp", "n_bytes")
-    suspects = prints.join(shared, ["fp", "n_bytes"]).select("doc_id", "fp", "n_bytes").distinct()
+    # dealt by id before the distinct, which else would keep the rows of a large group together
+    suspects = prints.join(shared, ["fp", "n_bytes"]).select("doc_id", "fp", "n_bytes").repartition("doc_id").distinct()
     texts = df.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(F.col(f"`{text_col}`")).alias("text"))
     texts = texts.join(suspects, texts["doc_id"].eqNullSafe(suspects["doc_id"]) & (F.octet_length("text") == suspects["n_bytes"])).select(texts["doc_id"], "text", "fp", "n_bytes")
     # streaming comparison: for each place in a group's texts, one pass keeps the least and the greatest chunk
