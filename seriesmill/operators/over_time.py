@@ -6,9 +6,9 @@ cut into slices of time, whose ends are joined through a table of one row per sl
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -116,36 +116,44 @@ def predict_linear(samples: DataFrame, seconds: float = 60.0, end: int | None =
     return _per_series(_line(samples), F.max("ts") if end is None else F.lit(end), ahead, F.max("x").alias("span"), keep=F.col("span") > 0)
 
 
-def _recursive(samples: DataFrame, step: Callable[[list[float]], tuple[int, list[float]]]) -> DataFrame:
-    """A recursive function of each series' values in time order; ``step`` gives the place of its first result, and them.
+def _recursive(samples: DataFrame, step: Callable[[tuple | None, float], tuple[tuple, float | None]]) -> DataFrame:
+    """A recursive function of each series' values in time order: ``step`` of state and value gives state and result.
 
-    One series is one group of one task, and work grows with its length alone.  Labels are joined again afterwards.
+    Series are sorted within partitions and streamed, so that neither many short series nor a long one cost more
+    than their rows; the state goes on from batch to batch.  Labels are joined again afterwards.
     """
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "seq"])
-        first, values = step(rows["value"].tolist())
-        rows = rows.iloc[first : first + len(values)]
-        return pd.DataFrame({"series_id": rows["series_id"], "ts": rows["ts"], "value": pd.Series(values, rows.index, dtype="float64"), "seq": rows["seq"]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        series, state = None, None
+        for batch in batches:
+            results = []
+            for id_, value in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if id_ != series:
+                    series, state = id_, None
+                state, result = step(state, value)
+                results.append(result)
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(results, pa.float64()), batch.column(3)], names=["series_id", "ts", "value", "seq"])
+            yield out.filter(out.column(2).is_valid())
 
     names = samples.groupBy("series_id").agg(F.first("metric").alias("metric"), F.first("labels").alias("labels"))
-    out = samples.select("series_id", "ts", "value", "seq").groupBy("series_id").applyInPandas(one, "series_id long, ts long, value double, seq long")
-    return out.join(names, "series_id").select(COLUMNS)
+    rows = samples.select("series_id", "ts", "value", "seq").repartition("series_id").sortWithinPartitions("series_id", "ts", "seq")
+    return rows.mapInArrow(run, "series_id long, ts long, value double, seq long").join(names, "series_id").select(COLUMNS)
+
+
+def _smoothed(smoothing: float, trend: float, level: float, slope: float, value: float) -> tuple[float, float]:
+    new = smoothing * value + (1 - smoothing) * (level + slope)
+    return new, trend * (new - level) + (1 - trend) * slope
 
 
 def holt_winters(samples: DataFrame, smoothing: float = 0.3, trend: float = 0.1) -> DataFrame:
     """Double exponential smoothing; each sample from the second on becomes level plus trend after it."""
 
-    def step(values: list[float]) -> tuple[int, list[float]]:
-        out = []
-        if len(values) > 1:
-            level, slope = values[0], values[1] - values[0]
-            for v in values[1:]:
-                before = level
-                level = smoothing * v + (1 - smoothing) * (level + slope)
-                slope = trend * (level - before) + (1 - trend) * slope
-                out.append(level + slope)
-        return 1, out
+    def step(state: tuple | None, value: float) -> tuple[tuple, float | None]:
+        if state is None:
+            return (value,), None
+        level, slope = state if len(state) == 2 else (state[0], value - state[0])
+        level, slope = _smoothed(smoothing, trend, level, slope, value)
+        return (level, slope), level + slope
 
     return _recursive(samples, step)
 
@@ -156,16 +164,12 @@ def smoothing_residuals(samples: DataFrame, smoothing: float = 0.3, trend: float
     The first forecast is the line through the first two values; level and trend follow from there.
     """
 
-    def step(values: list[float]) -> tuple[int, list[float]]:
-        out = values[:2]
-        if len(values) > 2:
-            level, slope = values[0], values[1] - values[0]
-            for v in values[2:]:
-                out.append(v - (level + slope))
-                before = level
-                level = smoothing * v + (1 - smoothing) * (level + slope)
-                slope = trend * (level - before) + (1 - trend) * slope
-        return 0, out
+    def step(state: tuple | None, value: float) -> tuple[tuple, float | None]:
+        if state is None:
+            return (value,), value
+        if len(state) == 1:
+            return (state[0], value - state[0]), value
+        return _smoothed(smoothing, trend, *state, value), value - (state[0] + state[1])
 
     return _recursive(samples, step)
 
