@@ -598,6 +598,19 @@ def _(spark, d):
     return flat(ot.smoothing_residuals(both(spark, d)).withColumn("k", turn).where("k <= 2"), "event_type", "user_id")
 
 
+@query(
+    "r15_smoothing_residuals_whole",
+    f"""WITH RECURSIVE {BASE}, n AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, seq) AS k FROM s),
+        h AS (SELECT a.event_type, a.user_id, 2::BIGINT AS k, b.ts, b.value AS residual, a.value AS level, b.value - a.value AS trend FROM n a JOIN n b ON a.event_type = b.event_type AND a.user_id = b.user_id AND a.k = 1 AND b.k = 2
+              UNION ALL
+              SELECT event_type, user_id, k, ts, value - (level + trend), l, 0.1::DOUBLE * (l - level) + 0.9::DOUBLE * trend FROM (
+                SELECT h.event_type, h.user_id, n.k, n.ts, n.value, 0.3::DOUBLE * n.value + 0.7::DOUBLE * (h.level + h.trend) AS l, h.level, h.trend FROM h JOIN n ON n.event_type = h.event_type AND n.user_id = h.user_id AND n.k = h.k + 1))
+        SELECT event_type, user_id, ts, round(residual, 6) AS value FROM h UNION ALL SELECT event_type, user_id, ts, round(value, 6) FROM n WHERE k = 1""",
+)
+def _(spark, d):
+    return flat(ot.smoothing_residuals(both(spark, d)), "event_type", "user_id")
+
+
 # --- formats: written and read again
 @query("i2_exposition_round_trip", f"WITH {BASE} SELECT event_type, user_id, ts, round(value, 6) AS value FROM s")
 def _(spark, d):

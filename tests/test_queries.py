@@ -33,6 +33,9 @@ def plain(value):
 SOME = ["flagship_daily_sum", "f4_match_regex", "j4_group_left", "g8_topk", "g10_quantile", "r1_rate_sliced", "r10_holt_winters", "m13_histogram_quantile", "u2_or", "d8_rollup_of_rollup", "t3_alert_states", "y3_periodicity", "y6_frequency_features", "i5_json_puts"]
 
 
+WHOLE = ["r15_smoothing_residuals_whole"]
+
+
 @pytest.mark.parametrize("name", SOME)
 def test_against_sql(spark, duck, name):
     df = queries.QUERIES[name](spark, str(DATA))
@@ -44,5 +47,15 @@ def test_against_sql(spark, duck, name):
     assert sorted(names) == columns and got == want
 
 
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_table_against_sql(spark, duck, name):
+    test_against_sql(spark, duck, name)
+
+
+def test_every_residual_is_returned(spark, duck):
+    rows = queries.QUERIES["r15_smoothing_residuals_whole"](spark, str(DATA)).count()
+    assert rows == duck.execute("SELECT count(*) FROM events").fetchone()[0] > len(duck.execute(queries.ORACLES["r15_smoothing_residuals"]).fetchall())
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
