@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +72,13 @@ def expression(name: str, expr: str, sql: str, *labels: str, source: Query = bot
     query(name, sql)(run)
 
 
+def per_sample(name: str, expr: str, sql: str, *labels: str) -> None:
+    """A query of A..B, as its SQL is; and over all samples as NAME_whole, whose SQL lacks the condition on time."""
+    expression(name, expr, sql, *labels, start=A, end=B)
+    everywhere = sql.removesuffix(f"ts BETWEEN {A} AND {B}").removesuffix(" WHERE ").removesuffix(" AND ")
+    expression(f"{name}_whole", expr, everywhere, *labels)
+
+
 # --- flagship: the daily mean of each series, summed by type
 expression(
     "flagship_daily_sum", "sum by (event_type) (events_value)",
@@ -112,7 +120,7 @@ for _name, _matcher, _where in (
     ("f5_match_not_regex", 'event_type!~"click|v.*"', "NOT regexp_full_match(event_type, 'click|v.*')"),
     ("f6_matchers", 'event_type=~"[cp].*", user_id!="3", job=""', "regexp_full_match(event_type, '[cp].*') AND user_id <> '3'"),
 ):
-    expression(_name, f"events_value{{{_matcher}}}", f"WITH {BASE} SELECT event_type, user_id, ts, round(value, 6) AS value FROM s WHERE {_where} AND ts BETWEEN {A} AND {B}", "event_type", "user_id", start=A, end=B)
+    per_sample(_name, f"events_value{{{_matcher}}}", f"WITH {BASE} SELECT event_type, user_id, ts, round(value, 6) AS value FROM s WHERE {_where} AND ts BETWEEN {A} AND {B}", "event_type", "user_id")
 
 expression("f7_matrix", 'count_over_time(events_value{event_type="click"}[36h])', f"WITH {BASE} SELECT event_type, user_id, {B}::BIGINT AS ts, round(count(*)::DOUBLE, 6) AS value FROM s WHERE event_type = 'click' AND ts > {B} - 129600000 AND ts <= {B} GROUP BY 1, 2", "event_type", "user_id", start=B, end=B)
 expression("f8_offset", "events_value offset 1d", f"WITH {BASE} SELECT event_type, user_id, ts, round(value, 6) AS value FROM s WHERE ts BETWEEN {A - DAY} AND {B - DAY}", "event_type", "user_id", start=A, end=B)
@@ -192,11 +200,11 @@ def _(spark, d):
     return flat(binary.vector_vector(rows, total, "/", on=["user_id"], group="left"), "event_type", "user_id")
 
 
-expression("j5_vector_scalar", 'events_value{event_type="view"} * 2 + 1', f"WITH {BASE} SELECT user_id, ts, round(value * 2 + 1, 6) AS value FROM s WHERE event_type = 'view' AND ts BETWEEN {A} AND {B}", "user_id", start=A, end=B)
-expression("j9_power", 'events_value{event_type="view"} ^ 2', f"WITH {BASE} SELECT user_id, ts, round(value ^ 2, 6) AS value FROM s WHERE event_type = 'view' AND ts BETWEEN {A} AND {B}", "user_id", start=A, end=B)
-expression("j10_filter", "events_value > 75", f"WITH {BASE} SELECT event_type, user_id, ts, round(value, 6) AS value FROM s WHERE value > 75 AND ts BETWEEN {A} AND {B}", "event_type", "user_id", start=A, end=B)
-expression("j10_bool", "events_value > bool 75", f"WITH {BASE} SELECT event_type, user_id, ts, CASE WHEN value > 75 THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM s WHERE ts BETWEEN {A} AND {B}", "event_type", "user_id", start=A, end=B)
-expression("j11_negate", "-events_value", f"WITH {BASE} SELECT event_type, user_id, ts, round(-value, 6) AS value FROM s WHERE ts BETWEEN {A} AND {B}", "event_type", "user_id", start=A, end=B)
+per_sample("j5_vector_scalar", 'events_value{event_type="view"} * 2 + 1', f"WITH {BASE} SELECT user_id, ts, round(value * 2 + 1, 6) AS value FROM s WHERE event_type = 'view' AND ts BETWEEN {A} AND {B}", "user_id")
+per_sample("j9_power", 'events_value{event_type="view"} ^ 2', f"WITH {BASE} SELECT user_id, ts, round(value ^ 2, 6) AS value FROM s WHERE event_type = 'view' AND ts BETWEEN {A} AND {B}", "user_id")
+per_sample("j10_filter", "events_value > 75", f"WITH {BASE} SELECT event_type, user_id, ts, round(value, 6) AS value FROM s WHERE value > 75 AND ts BETWEEN {A} AND {B}", "event_type", "user_id")
+per_sample("j10_bool", "events_value > bool 75", f"WITH {BASE} SELECT event_type, user_id, ts, CASE WHEN value > 75 THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM s WHERE ts BETWEEN {A} AND {B}", "event_type", "user_id")
+per_sample("j11_negate", "-events_value", f"WITH {BASE} SELECT event_type, user_id, ts, round(-value, 6) AS value FROM s WHERE ts BETWEEN {A} AND {B}", "event_type", "user_id")
 
 
 @query("j12_array_arithmetic", "SELECT vec_id, round(list_sum(list_transform(list_zip(embedding, embedding[2:]), lambda z: CASE WHEN z[2] IS NULL THEN 0 ELSE z[1]::DOUBLE * z[2]::DOUBLE END)), 6) AS value FROM embeddings")
@@ -336,7 +344,7 @@ def _(spark, d):
 
 # --- functions of values
 def _math(name: str, call: str, sql: str) -> None:
-    expression(name, call, f"WITH {BASE} SELECT event_type, user_id, ts, round({sql}, 6) AS value FROM s WHERE ts BETWEEN {A} AND {B}", "event_type", "user_id", start=A, end=B)
+    per_sample(name, call, f"WITH {BASE} SELECT event_type, user_id, ts, round({sql}, 6) AS value FROM s WHERE ts BETWEEN {A} AND {B}", "event_type", "user_id")
 
 
 for _name, _call, _sql in (
@@ -384,12 +392,12 @@ def _(spark, d):
 
 
 expression("m15_absent", 'absent(events_value{event_type="none"})', f"SELECT {A}::BIGINT AS ts, 1.0::DOUBLE AS value", start=A, end=B)
-expression("label_replace", 'label_replace(events_value, "kind", "$1-x", "event_type", "(c.*|v).*")', f"WITH {BASE} SELECT CASE WHEN regexp_full_match(event_type, '(c.*|v).*') THEN regexp_extract(event_type, '^(c.*|v).*$', 1) || '-x' END AS kind, event_type, user_id, ts, round(value, 6) AS value FROM s WHERE ts BETWEEN {A} AND {B}", "kind", "event_type", "user_id", start=A, end=B)
-expression("label_join", 'label_join(events_value, "both", "/", "event_type", "user_id")', f"WITH {BASE} SELECT event_type || '/' || user_id AS both, ts, round(value, 6) AS value FROM s WHERE ts BETWEEN {A} AND {B}", "both", start=A, end=B)
+per_sample("label_replace", 'label_replace(events_value, "kind", "$1-x", "event_type", "(c.*|v).*")', f"WITH {BASE} SELECT CASE WHEN regexp_full_match(event_type, '(c.*|v).*') THEN regexp_extract(event_type, '^(c.*|v).*$', 1) || '-x' END AS kind, event_type, user_id, ts, round(value, 6) AS value FROM s WHERE ts BETWEEN {A} AND {B}", "kind", "event_type", "user_id")
+per_sample("label_join", 'label_join(events_value, "both", "/", "event_type", "user_id")', f"WITH {BASE} SELECT event_type || '/' || user_id AS both, ts, round(value, 6) AS value FROM s WHERE ts BETWEEN {A} AND {B}", "both")
 expression("date_time", "vector(time())", f"SELECT {A}::BIGINT AS ts, {A // 1000}::DOUBLE AS value", start=A, end=A)
-expression("date_timestamp", "timestamp(events_value)", f"WITH {BASE} SELECT event_type, user_id, ts, round(ts / 1000.0::DOUBLE, 6) AS value FROM s WHERE ts BETWEEN {A} AND {B}", "event_type", "user_id", start=A, end=B)
+per_sample("date_timestamp", "timestamp(events_value)", f"WITH {BASE} SELECT event_type, user_id, ts, round(ts / 1000.0::DOUBLE, 6) AS value FROM s WHERE ts BETWEEN {A} AND {B}", "event_type", "user_id")
 for _name, _sql in {"day_of_month": "day(t)", "day_of_week": "dayofweek(t)", "day_of_year": "dayofyear(t)", "days_in_month": "day(last_day(t))", "hour": "hour(t)", "minute": "minute(t)", "month": "month(t)", "year": "year(t)"}.items():
-    expression(f"date_{_name}", f"{_name}(timestamp(events_value))", f"WITH {BASE} SELECT event_type, user_id, ts, ({_sql})::DOUBLE AS value FROM (SELECT *, make_timestamp((ts // 1000) * 1000000) AS t FROM s) WHERE ts BETWEEN {A} AND {B}", "event_type", "user_id", start=A, end=B)
+    per_sample(f"date_{_name}", f"{_name}(timestamp(events_value))", f"WITH {BASE} SELECT event_type, user_id, ts, ({_sql})::DOUBLE AS value FROM (SELECT *, make_timestamp((ts // 1000) * 1000000) AS t FROM s) WHERE ts BETWEEN {A} AND {B}", "event_type", "user_id")
 
 
 # --- sets
@@ -398,7 +406,14 @@ def users(spark, d) -> tuple[DataFrame, DataFrame]:
     return sel.time_range(rows, START, START + 4 * DAY), sel.time_range(rows, START + 3 * DAY, START + 9 * DAY)
 
 
+def all_users(spark, d) -> tuple[DataFrame, DataFrame]:
+    """All days and users, dealt to two sides that share most users: ids that end in 1 are on the right only, in 2 on the left only."""
+    rows = rollup.downsample(model.events(spark, d, ("user_id",)), "L4")
+    return sel.match(rows, Matcher("user_id", "!~", ".*1")), sel.match(rows, Matcher("user_id", "!~", ".*2"))
+
+
 SETS = f"{BASE}, u AS (SELECT user_id, ts - ts % {DAY} AS ts, avg(value) AS value FROM s GROUP BY ALL), l AS (SELECT * FROM u WHERE ts <= {START + 4 * DAY}), r AS (SELECT * FROM u WHERE ts BETWEEN {START + 3 * DAY} AND {START + 9 * DAY})"
+SETS_WHOLE = f"{BASE}, u AS (SELECT user_id, ts - ts % {DAY} AS ts, avg(value) AS value FROM s GROUP BY ALL), l AS (SELECT * FROM u WHERE user_id NOT LIKE '%1'), r AS (SELECT * FROM u WHERE user_id NOT LIKE '%2')"
 for _name, _fn, _sql in (
     ("u1_and", binary.and_, "SELECT * FROM l WHERE user_id IN (SELECT user_id FROM r)"),
     ("u2_or", binary.or_, "SELECT * FROM l UNION ALL SELECT * FROM r WHERE user_id NOT IN (SELECT user_id FROM l)"),
@@ -406,10 +421,11 @@ for _name, _fn, _sql in (
     ("u6_merge", binary.merge, "SELECT * FROM l UNION SELECT * FROM r"),
 ):
 
-    def _sets(spark, d, op=_fn):
-        return flat(op(*users(spark, d)), "user_id")
+    def _sets(spark, d, op=_fn, sides=users):
+        return flat(op(*sides(spark, d)), "user_id")
 
     query(_name, f"WITH {SETS} SELECT user_id, ts, round(value, 6) AS value FROM ({_sql})")(_sets)
+    query(f"{_name}_whole", f"WITH {SETS_WHOLE} SELECT user_id, ts, round(value, 6) AS value FROM ({_sql})")(partial(_sets, sides=all_users))
 
 
 @query("u1_and_by_time", f"WITH {SETS} SELECT user_id, ts, round(value, 6) AS value FROM l WHERE (user_id, ts) IN (SELECT (user_id, ts) FROM r)")
@@ -417,6 +433,11 @@ def _(spark, d):
     return flat(binary.and_(*users(spark, d), by_time=True), "user_id")
 
 
+@query("u1_and_by_time_whole", f"WITH {SETS_WHOLE} SELECT user_id, ts, round(value, 6) AS value FROM l WHERE (user_id, ts) IN (SELECT (user_id, ts) FROM r)")
+def _(spark, d):
+    return flat(binary.and_(*all_users(spark, d), by_time=True), "user_id")
+
+
 # --- what there is
 @query("l4_label_names", "SELECT unnest(['__name__', 'event_type', 'user_id']) AS name")
 def _(spark, d):
@@ -656,3 +677,9 @@ def _(spark, d):
 def _(spark, d):
     fn.register_function("square_plus", lambda v, n: v * v + n)
     return flat(evaluate("square_plus(events_value, 1)", both(spark, d), A, B), "event_type", "user_id")
+
+
+@query("custom_function_whole", f"WITH {BASE} SELECT event_type, user_id, ts, round(value * value + 1, 6) AS value FROM s")
+def _(spark, d):
+    fn.register_function("square_plus", lambda v, n: v * v + n)
+    return flat(evaluate("square_plus(events_value, 1)", both(spark, d), START, END), "event_type", "user_id")
