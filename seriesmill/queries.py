@@ -7,6 +7,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import model
 from .functions import scalar as fn
@@ -382,13 +383,28 @@ def _(spark, d):
     return flat(histogram.nearest_rank(both(spark, d)), "event_type", "user_id")
 
 
+def sorted_series(spark: SparkSession, d: str) -> DataFrame:
+    """Every series by its first value, greatest first, with its place.
+
+    Numbered by one count per partition of the sorted rows; series of equal value are ordered by their labels.
+    """
+    first = both(spark, d).groupBy("series_id").agg(F.first("metric").alias("metric"), F.first("labels").alias("labels"), F.min_by("value", model.order()).alias("value"), F.lit(0).cast("long").alias("ts"), F.lit(0).cast("long").alias("seq"))
+    rows = flat(fn.sort(first, descending=True), "event_type", "user_id", value=F.col("value"))
+    numbered = rows.rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + 1)).toDF("event_type string, user_id string, ts long, value double, at long")
+    # fn.sort orders equal values by series id
+    among = Window.partitionBy("value")
+    place = F.min("at").over(among) + F.row_number().over(among.orderBy("event_type", "user_id")) - 1
+    return numbered.select("event_type", "user_id", rounded(), place.cast("long").alias("place"))
+
+
 @query("m14_sort", f"WITH {BASE} SELECT event_type, user_id, round(arg_min(value, (ts, seq)), 6) AS value, row_number() OVER (ORDER BY arg_min(value, (ts, seq)) DESC, event_type, user_id) AS place FROM s GROUP BY 1, 2 QUALIFY place <= 20")
 def _(spark, d):
-    first = both(spark, d).groupBy("series_id").agg(F.first("metric").alias("metric"), F.first("labels").alias("labels"), F.min_by("value", model.order()).alias("value"), F.lit(0).cast("long").alias("ts"), F.lit(0).cast("long").alias("seq"))
-    from pyspark.sql.window import Window
+    return sorted_series(spark, d).where("place <= 20")
 
-    ranked = flat(first, "event_type", "user_id").withColumn("place", F.row_number().over(Window.orderBy(F.desc("value"), "event_type", "user_id")).cast("long"))
-    return ranked.where("place <= 20").drop("ts")
+
+@query("m14_sort_whole", f"WITH {BASE} SELECT event_type, user_id, round(arg_min(value, (ts, seq)), 6) AS value, row_number() OVER (ORDER BY arg_min(value, (ts, seq)) DESC, event_type, user_id) AS place FROM s GROUP BY 1, 2")
+def _(spark, d):
+    return sorted_series(spark, d)
 
 
 expression("m15_absent", 'absent(events_value{event_type="none"})', f"SELECT {A}::BIGINT AS ts, 1.0::DOUBLE AS value", start=A, end=B)

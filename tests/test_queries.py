@@ -33,7 +33,7 @@ def plain(value):
 SOME = ["flagship_daily_sum", "f4_match_regex", "j4_group_left", "g8_topk", "g10_quantile", "r1_rate_sliced", "r10_holt_winters", "m13_histogram_quantile", "u2_or", "d8_rollup_of_rollup", "t3_alert_states", "y3_periodicity", "y6_frequency_features", "i5_json_puts"]
 
 
-WHOLE = ["r15_smoothing_residuals_whole", "f6_matchers_whole", "m1_abs_whole", "label_join_whole", "date_hour_whole", "u3_unless_whole", "u6_merge_whole", "custom_function_whole"]
+WHOLE = ["r15_smoothing_residuals_whole", "f6_matchers_whole", "m1_abs_whole", "label_join_whole", "date_hour_whole", "u3_unless_whole", "u6_merge_whole", "custom_function_whole", "m14_sort_whole"]
 
 
 @pytest.mark.parametrize("name", SOME)
@@ -57,6 +57,14 @@ def test_every_residual_is_returned(spark, duck):
     assert rows == duck.execute("SELECT count(*) FROM events").fetchone()[0] > len(duck.execute(queries.ORACLES["r15_smoothing_residuals"]).fetchall())
 
 
+def test_every_series_has_its_place(spark, monkeypatch):
+    called = []
+    sort = queries.fn.sort
+    monkeypatch.setattr(queries.fn, "sort", lambda *a, **b: called.append(1) or sort(*a, **b))
+    places = sorted(r.place for r in queries.QUERIES["m14_sort_whole"](spark, str(DATA)).collect())
+    assert called and len(places) > 20 and places == list(range(1, len(places) + 1))
+
+
 def test_whole_queries_have_no_time_condition():
     whole = [n for n in queries.QUERIES if n.endswith("_whole")]
     assert len(whole) > 48 and not any(f"{queries.A} AND {queries.B}" in queries.ORACLES[n] for n in whole)
