@@ -64,6 +64,20 @@ def test_requests(request_, expr):
     parse(expr)
 
 
+@pytest.mark.parametrize(
+    ("request_", "expr"),
+    [
+        ("cpu usage for the last 5 minutes", "cpu_usage[5m]"), ("average memory usage by host", "avg by (host) (memory_usage)"), ("max disk usage in the last 1 hour", "max_over_time(disk_usage[1h])"),
+        ("rate of requests per second", "rate(requests[1s])"), ("sum of network traffic by datacenter", "sum by (datacenter) (network_traffic)"), ("min temperature in the last 24 hours", "min_over_time(temperature[24h])"),
+        ("count of errors in the last 30 minutes", "count_over_time(errors[30m])"), ("cpu usage greater than 80%", "cpu_usage > 80"), ("memory usage less than 50%", "memory_usage < 50"),
+        ("rate of requests per minute for the last 1 hour", "rate(requests[1h]) * 60000"),
+    ],
+)
+def test_sentences_of_the_reference(request_, expr):
+    assert to_query(request_) == expr
+    parse(expr)
+
+
 def test_unknown_requests():
     with pytest.raises(ValueError):
         to_query("make me a sandwich, please do")
