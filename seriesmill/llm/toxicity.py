@@ -20,7 +20,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import map_rows, written
 from .labelled import MAX_TRAIN, fold_of, training_rows
@@ -35,6 +34,9 @@ HOMOGLYPHS = {
 #: Signs set for letters inside words; 1 and | also stand for l.
 SUBSTITUTES = {"0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
 
+#: The share of all distinct words of two texts that near copies have in common.
+COPY = 0.8
+
 _GLYPHS = str.maketrans(HOMOGLYPHS)
 _AS_I = str.maketrans(SUBSTITUTES)
 _AS_L = str.maketrans(SUBSTITUTES | {"1": "l", "|": "l", "!": "l"})
@@ -153,15 +155,39 @@ def _word_counts(train: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
 
 
 def _without_copies(train: DataFrame) -> DataFrame:
-    """One row for each label and set of three least word hashes: near copies of a text are one witness, not many."""
+    """Rows without near copies, so that those of a text are one witness, not many.
+
+    Rows that agree in label and three least word hashes are compared in the order of their ids: one that shares
+    COPY of all distinct words with a row kept before is a near copy.
+    """
 
     def rows(batch: pa.RecordBatch) -> Iterator[dict]:
         texts = batch.column(1).to_pylist()
         yield {"doc_id": batch.column(0), "text": texts, "label": batch.column(2), "sig": [str(sorted(zlib.crc32(w.encode()) for w in set(fold(t)))[:3]) for t in texts]}
 
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, kept = None, []
+        for batch in batches:
+            new = []
+            for key, label, text in zip(batch.column("sig").to_pylist(), batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if (key, label) != group:
+                    group, kept = (key, label), []
+                words = set(fold(text))
+                new.append(not any(_near(words, k) for k in kept))
+                if new[-1]:
+                    kept.append(words)
+            yield batch.select(["doc_id", "text", "label"]).filter(pa.array(new, pa.bool_()))
+
     signed = map_rows(train.select("doc_id", "text", "label"), rows, "doc_id long, text string, label int, sig string")
-    first = Window.partitionBy("sig", "label").orderBy("doc_id")
-    return signed.withColumn("turn", F.row_number().over(first)).where("turn = 1").select("doc_id", "text", "label")
+    ordered = signed.repartition("sig", "label").sortWithinPartitions("sig", "label", "doc_id", "text")
+    return ordered.mapInArrow(compared, "doc_id long, text string, label int")
+
+
+def _near(a: set[str], b: set[str]) -> bool:
+    if min(len(a), len(b)) < COPY * max(len(a), len(b)):
+        return False
+    both = len(a & b)
+    return both >= COPY * (len(a) + len(b) - both)
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_entries: int = 3000, exceptions: tuple[str, ...] = (), lengths: tuple[int, ...] = (4, 5, 6)) -> Lexicon:

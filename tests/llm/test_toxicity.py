@@ -48,6 +48,15 @@ def test_learning(spark):
     assert (rows[400].predicted, rows[401].predicted, rows[404].predicted) == (0, 0, 1)
 
 
+def test_only_near_copies_are_dropped(spark):
+    words = sorted((a + b + c for a in "bdfgklm" for b in "aeiou" for c in "nprstvz"), key=lambda w: zlib.crc32(w.encode()))
+    least, rest = words[:3], words[3:]
+    texts = [least + rest[:40], least + rest[1:40], least + rest[100:140], least + rest[:40], least + rest[102:140], ["other"], []]
+    train = spark.createDataFrame([*((k, " ".join(t), int(k == 3)) for k, t in enumerate(texts)), (7, "", 0)], "doc_id long, text string, label int")
+    # 1 is nearly 0 and 4 nearly 2; 3 is 0 with another label; 2 shares with 0 no more than the three least words
+    assert sorted(r.doc_id for r in toxicity._without_copies(train).collect()) == [0, 2, 3, 5, 6]
+
+
 def test_held_out_labels_are_not_read(spark):
     docs, labels = labelled(spark, 100)
     turned = labels.selectExpr("doc_id", "CASE WHEN crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 0 THEN 1 - toxic ELSE toxic END AS toxic")
