@@ -15,15 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, written
 from .labelled import fold_of, training_rows
 
 #: Words of a passage; the last one may have up to twice as many less one.
 PASSAGE = 64
 #: Passages encoded at a time.
 AT_ONCE = 20_000
-#: Documents learned from, at most.
+#: Documents learned from, at most, and passages that these have in all.
 MAX_TRAIN = 12_000
+MAX_PASSAGES = 400_000
 
 _SIGNS = (".", ",", "!", "?", "|", "#", "%", "*", "&", "$", "@", "=", "/", "_", "\n", "{", "<")
 
@@ -150,18 +151,17 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, width: int = 24, gate: int =
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_passages: int = 64, **fitting) -> Model:
-    """Learn from labels.quality of documents outside fold 0.
+def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_passages: int = MAX_PASSAGES, **fitting) -> Model:
+    """Learn from labels.quality of documents outside fold 0, from all passages of each.
 
-    ``max_train`` bounds the documents used and ``max_passages`` the passages of one that take part in training
-    (evenly spread); so features of a bounded size reach the driver.  Scoring uses every passage.
+    ``max_train`` bounds the documents used and ``max_passages`` the passages of all of them; so features of a
+    bounded size reach the driver.  A document with which there would be more passages is left out as a whole.
     """
 
     def rows(batch: pa.RecordBatch) -> Iterator[dict]:
         ids, ys, flat, n = [], [], [], []
         for key, text, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             b = bag(text)
-            b = b[np.unique(np.linspace(0, len(b) - 1, min(len(b), max_passages)).astype(int))]
             ids.append(key)
             ys.append(y)
             n.append(len(b))
@@ -169,7 +169,14 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_pa
         yield {"doc_id": ids, "label": ys, "n": n, "bag": flat}
 
     train = training_rows(docs, labels, "quality", max_train).select("doc_id", "text", "label")
-    found = map_rows(train, rows, "doc_id long, label int, n int, bag binary").toPandas().sort_values(["doc_id", "label", "bag"])
+    bagged = written(map_rows(train, rows, "doc_id long, label int, n int, bag binary"))
+    room, left_out = max_passages, []
+    for r in bagged.groupBy("doc_id").agg(F.sum("n").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # max_train rows
+        if r["n"] <= room:
+            room -= r["n"]
+        else:
+            left_out.append(r["doc_id"])
+    found = (bagged.where(~F.col("doc_id").isin(left_out)) if left_out else bagged).toPandas().sort_values(["doc_id", "label", "bag"])
     if not len(found):
         width = WIDTH
         return Model(np.zeros(width), np.ones(width), {"W": np.zeros((width, 1)), "b": np.zeros(1), "V": np.zeros((1, 1)), "U": np.zeros((1, 1)), "a": np.zeros(1), "c": np.zeros(1), "d": np.float64(0)})

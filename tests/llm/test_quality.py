@@ -54,3 +54,14 @@ def test_one_bad_passage_tells(spark):
     assert {r.score for r in quality.classify(docs, labels.where("false")).collect()} == {0.5}
     model = quality.learn(docs, labels)
     assert abs(model.attention(rows[0][1]).sum() - 1) < 1e-9
+
+
+def test_all_passages_of_a_document_are_learned_from(spark, monkeypatch):
+    sizes = {1: 100, 2: 3, 3: 70, 4: 1, 5: 200}
+    assert all(zlib.crc32(str(i).encode()) % 5 for i in sizes)
+    docs = spark.createDataFrame([(i, " ".join(["word"] * quality.PASSAGE * n)) for i, n in sizes.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in sizes], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "fit", lambda bags, ys: [len(b) for b in bags])
+    assert quality.learn(docs, labels) == list(sizes.values())
+    some = quality.learn(docs, labels, max_passages=180)
+    assert sum(some) <= 180 and set(some) < set(sizes.values())
