@@ -1,8 +1,9 @@
 """Media columns: payloads as 8-bit WAV, short-time Fourier transforms and spectral-peak pair fingerprints.
 
-A WAV is written and read by the standard wave module.  The spectrum of each frame is searched for its
-strongest bins; a peak is paired with those of the next frames, and each pair (bin, bin, distance) stored with
-the frame it begins at: two parallel arrays, times and codes, that can be matched by time offset.
+A WAV is written and read by the standard wave module.  The spectrum of each frame is searched for the
+strongest bin of either half; both are paired with both of each of the next frames, and each pair (bin, bin,
+distance) stored with the frame it begins at: two parallel arrays, times and codes, that can be matched by time
+offset.
 """
 
 from __future__ import annotations
@@ -72,19 +73,16 @@ def spectrum_peaks(samples: bytes) -> np.ndarray:
 
 
 def pair_fingerprints(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Times (frame numbers) and codes of the peak pairs, in time order."""
+    """Times (frame numbers) and codes of the peak pairs, in time order: both peaks of a frame with both of each next one."""
     peaks = spectrum_peaks(samples)
-    times, codes = [], []
+    codes = np.full((len(peaks), 4 * REACH), -1, np.int32)
     for gap in range(1, REACH + 1):
-        if len(peaks) > gap:
-            anchor, other = peaks[:-gap], peaks[gap:]
-            times.append(np.arange(len(anchor), dtype=np.int32))
-            codes.append((anchor[:, 0] << 16) | (other[:, 1] << 8) | gap)
-    if not times:
-        return np.empty(0, np.int32), np.empty(0, np.int32)
-    t, c = np.concatenate(times), np.concatenate(codes).astype(np.int32)
-    order = np.lexsort((c, t))
-    return t[order], c[order]
+        for k, (a, b) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
+            # the bins tell the halves
+            codes[:-gap, 4 * (gap - 1) + k] = (peaks[:-gap, a] << 16) | (peaks[gap:, b] << 8) | gap
+    codes.sort(axis=1)
+    there = codes >= 0
+    return np.repeat(np.arange(len(peaks), dtype=np.int32), there.sum(axis=1)), codes[there]
 
 
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

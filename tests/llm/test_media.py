@@ -36,6 +36,15 @@ def test_shifted_audio_keeps_its_codes():
     assert set(zip((t + 5).tolist(), c.tolist())) <= set(zip(moved_t.tolist(), moved_c.tolist()))
 
 
+def test_all_pairs_of_halves():
+    for n in range(1, 8):
+        data = np.random.default_rng(n).integers(0, 256, media.STEP * (n + 1), dtype=np.uint8).tobytes()
+        peaks = media.spectrum_peaks(data).tolist()
+        want = sorted((i, a << 16 | b << 8 | gap) for i in range(n) for gap in range(1, media.REACH + 1) if i + gap < n for a in peaks[i] for b in peaks[i + gap])
+        t, c = media.pair_fingerprints(data)
+        assert list(zip(t.tolist(), c.tolist())) == want
+
+
 @pytest.mark.parametrize("at_once", [1, 7])
 def test_blocks_change_nothing(monkeypatch, at_once):
     data = bytes(range(256)) * 30
