@@ -1,10 +1,11 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The distinct pre-tokens of a batch form one small corpus.  An inverted index leads from each token pair
-(named by the rank of its merge) to the positions where it stands; merges are replayed in rank order over
-all positions at once, and each merge touches only the two neighbouring pairs.  Results are those of a
-word-by-word encoder, because words don't interact and every word sees its merges in rank order.
-Encoded pre-tokens are kept in a bounded per-worker memo, so a frequent word is merged once.
+The distinct pre-tokens of a run of texts form one small corpus.  An inverted index leads from each token pair
+(named by the rank of its merge) to the positions where it stands.  Merges are replayed from the index in rank
+order, over all words together, and each merge touches only its two neighbouring pairs.  Words don't interact, so
+rank order is kept where it matters, within each word: a turn takes from the index every word's entries of lowest
+rank.  Results are those of a word-by-word encoder.  Encoded pre-tokens are kept in a memo of bounded bytes, so a
+frequent word is merged once.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_rows
 
-#: Entries of a worker's memo of encoded pre-tokens; it starts anew when full.
-MEMO = 800_000
+#: Bytes, about, of a worker's memo of encoded pre-tokens; it starts anew when full.
+MEMO = 48 << 20
+#: Bytes, about, that an entry takes besides its word and ids.
+ENTRY = 200
+#: Characters of the texts whose pre-tokens are in memory at a time (a longer text is alone).
+RUN = 1 << 20
+#: Words of more bytes are replayed one merge at a time, so that a very long one costs n log n.
+SHORT = 48
+#: The rank of a pair that has no merge.
+NONE = np.iinfo(np.int32).max
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -37,91 +47,106 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
+        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
         if self.single.min() < 0:
             raise ValueError("the vocabulary lacks a single byte")
-        #: Rank of the merge of two bytes, or -1.
-        self.first = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], dtype=np.int64)
-        self.pairs: dict[tuple[int, int], int] = {}
-
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each word."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        #: Rank of the merge of two bytes.
+        self.first = np.array([[ranks.get(bytes([a, b]), NONE) for b in range(256)] for a in range(256)], dtype=np.int32)
+        # all pairs of tokens that merge, in order of (left, right), with the rank of each
+        pairs = sorted((left << 32 | right, rank) for token, rank in ranks.items() for left, right in self._halves(token))
+        self.pairs = np.array([k for k, _ in pairs] + [np.iinfo(np.int64).max], np.int64)
+        self.merges = np.array([rank for _, rank in pairs] + [NONE], np.int32)
+
+    def _halves(self, token: bytes) -> Iterator[tuple[int, int]]:
+        for k in range(1, len(token)):
+            if token[:k] in self.ranks and token[k:] in self.ranks:
+                yield self.ranks[token[:k]], self.ranks[token[k:]]
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the merge of each two tokens, or NONE."""
+        keys = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.pairs, keys)
+        return np.where(self.pairs[at] == keys, self.merges[at], NONE)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Token ids of each word, as int32 bytes."""
+        out = self._together([w if len(w) <= SHORT else b"" for w in words])
+        for k, word in enumerate(words):
+            if word and not out[k]:
+                out[k] = np.array(self._alone(word), np.int32).tobytes()
+        return out
+
+    def _together(self, words: list[bytes]) -> list[bytes]:
+        """Replay over all words; nothing for a word in which a merge gives rise to one of lower rank."""
         text = np.frombuffer(b"".join(words), np.uint8)
-        ends = np.cumsum(lengths)
-        starts = ends - lengths
-        size = len(text)
-        last = np.zeros(size + 1, bool)  # of a word
-        last[ends[lengths > 0] - 1] = True
-        token = self.single[text].tolist()
-        after = np.where(last[:size], -1, np.arange(1, size + 1)).tolist()
-        before = np.where(np.roll(last[:size], 1), -1, np.arange(-1, size - 1)).tolist()
-
-        # the inverted index: rank of a pair's merge -> positions of its left token
-        found = np.where(last[: size - 1], -1, self.first[text[:-1], text[1:]]) if size else np.array([], np.int64)
-        at = np.nonzero(found >= 0)[0]
-        at = at[np.argsort(found[at], kind="stable")]
-        heap, cuts = np.unique(found[at], return_index=True)
-        index = {rank: part.tolist() for rank, part in zip(heap.tolist(), np.split(at, cuts[1:]), strict=False)}
-        heap = heap.tolist()  # sorted, so already a heap
-
-        pairs, ranks, tokens = self.pairs, self.ranks, self.tokens
-        if len(pairs) > 1_000_000:
-            pairs.clear()
-        while heap:
-            rank = heappop(heap)
-            todo = index.pop(rank, None)
-            if todo is None:
-                continue
-            todo.sort()  # within each word the leftmost comes first
-            merged = tokens[rank]
-            for k, left in enumerate(todo):
-                right = after[left]
-                if right < 0 or token[left] < 0:
-                    continue
-                a, b = token[left], token[right]
-                if tokens[a] + tokens[b] != merged:  # a neighbour has changed since
-                    continue
-                token[left], token[right] = rank, -1
-                after[left] = beyond = after[right]
-                earlier = False
-                if beyond >= 0:
-                    before[beyond] = left
-                    new = pairs.get((rank, token[beyond]))
-                    if new is None:
-                        new = pairs[rank, token[beyond]] = ranks.get(merged + tokens[token[beyond]], -1)
-                    if new >= 0:
-                        if new in index:
-                            index[new].append(left)
-                        else:
-                            index[new] = [left]
-                            heappush(heap, new)
-                        earlier = new <= rank
-                ahead = before[left]
-                if ahead >= 0:
-                    new = pairs.get((token[ahead], rank))
-                    if new is None:
-                        new = pairs[token[ahead], rank] = ranks.get(tokens[token[ahead]] + merged, -1)
-                    if new >= 0:
-                        if new in index:
-                            index[new].append(ahead)
-                        else:
-                            index[new] = [ahead]
-                            heappush(heap, new)
-                        earlier = earlier or new <= rank
-                if earlier and k + 1 < len(todo):  # a merge of no higher rank arose: it goes first
-                    if rank in index:
-                        index[rank] += todo[k + 1 :]
-                    else:
-                        index[rank] = todo[k + 1 :]
-                        heappush(heap, rank)
+        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        token = self.single[text]
+        rank = np.full(len(text), NONE, np.int32)  # of the pair that begins at each position
+        inside = np.nonzero(word[1:] == word[:-1])[0]
+        rank[inside] = self.first[text[inside], text[inside + 1]]
+        ended: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(token):
+            starts = np.nonzero(np.diff(word, prepend=-1))[0]
+            lowest = np.minimum.reduceat(rank, starts)
+            sizes = np.diff(starts, append=len(token))
+            open_ = np.repeat(lowest < NONE, sizes)
+            if not open_.all():
+                ended.append((word[~open_], token[~open_]))
+                word, token, rank = word[open_], token[open_], rank[open_]
+                sizes, lowest = sizes[lowest < NONE], lowest[lowest < NONE]
+                if not len(token):
                     break
-
-        left = np.array(token, dtype=np.int64)
-        kept = left >= 0
-        ids = left[kept].tolist()
-        bounds = np.concatenate(([0], np.cumsum(kept)))
-        return [ids[i:j] for i, j in zip(bounds[starts].tolist(), bounds[ends].tolist(), strict=True)]
+            # the index entries of each word's lowest rank; of overlapping ones the first, third, ...
+            at = np.nonzero(rank == np.repeat(lowest, sizes))[0]
+            row = np.arange(len(at))
+            begins = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, row, 0))
+            at = at[(row - begins) % 2 == 0]
+            new = rank[at]
+            # what stands to the right of a merged pair before the next one merges
+            then = np.minimum(at + 2, len(token) - 1)
+            right = np.where((at + 2 < len(token)) & (word[then] == word[at]), self.rank_of(new, token[then]), NONE)
+            token[at] = new
+            keep = np.ones(len(token), bool)
+            keep[at + 1] = False
+            word, token, rank = word[keep], token[keep], rank[keep]
+            at = at - np.arange(len(at))
+            # only pairs with the new token have another rank now
+            after = np.minimum(at + 1, len(token) - 1)
+            rank[at] = np.where((after > at) & (word[after] == word[at]), self.rank_of(token[at], token[after]), NONE)
+            ahead = np.maximum(at - 1, 0)
+            left = np.where((ahead < at) & (word[ahead] == word[at]), self.rank_of(token[ahead], token[at]), NONE)
+            rank[ahead[ahead < at]] = np.where(word[ahead] == word[at], left, rank[ahead])[ahead < at]
+            lower = np.minimum(np.minimum(right, left), rank[at]) < new
+            if lower.any():
+                keep = ~np.isin(word, word[at[lower]])
+                word, token, rank = word[keep], token[keep], rank[keep]
+        word, token = (np.concatenate([e[k] for e in ended]) if ended else np.empty(0, np.int32) for k in (0, 1))
+        bounds = np.concatenate(([0], np.cumsum(np.bincount(word, minlength=len(words))))) * 4
+        flat = token[np.argsort(word, kind="stable")].astype(np.int32).tobytes()
+        return [flat[i:j] for i, j in zip(bounds.tolist(), bounds[1:].tolist())]
+
+    def _alone(self, word: bytes) -> list[int]:
+        """One word by the same index, merge by merge; a merge of lower rank that arises goes first."""
+        ranks, tokens = self.ranks, self.tokens
+        token = self.single[np.frombuffer(word, np.uint8)].tolist()
+        after = [*range(1, len(token)), -1]
+        before = list(range(-1, len(token) - 1))
+        heap = [(int(r), k) for k, r in enumerate(self.first[list(word[:-1]), list(word[1:])]) if r < NONE]
+        heap.sort()
+        while heap:
+            rank, at = heappop(heap)
+            beyond = after[at]
+            if token[at] < 0 or beyond < 0 or tokens[token[at]] + tokens[token[beyond]] != tokens[rank]:
+                continue  # a neighbour has changed since
+            token[at], token[beyond] = rank, -1
+            after[at] = beyond = after[beyond]
+            if beyond >= 0:
+                before[beyond] = at
+                if (new := ranks.get(tokens[rank] + tokens[token[beyond]])) is not None:
+                    heappush(heap, (new, at))
+            if (ahead := before[at]) >= 0 and (new := ranks.get(tokens[token[ahead]] + tokens[rank])) is not None:
+                heappush(heap, (new, ahead))
+        return [t for t in token if t >= 0]
 
 
 def latin_pattern(pattern: str) -> str | None:
@@ -153,6 +178,34 @@ def latin_pattern(pattern: str) -> str | None:
     return "".join(out)
 
 
+class Spelling:
+    """Texts of token ids by gathering from one array of bytes; the ids are 0 and up, not much more than the texts."""
+
+    def __init__(self, texts: dict[int, bytes]):
+        self.lengths = np.zeros(max(texts) + 1, np.int64)
+        for k, text in texts.items():
+            self.lengths[k] = len(text)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.letters = np.frombuffer(b"".join(texts[k] for k in sorted(texts)), np.uint8)
+
+    def join(self, ids: np.ndarray, at_once: int = 1 << 18) -> bytes:
+        if len(ids) > at_once:
+            return b"".join(self.join(ids[k : k + at_once]) for k in range(0, len(ids), at_once))
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        if not len(ids):
+            return b""
+        return self.letters[np.arange(ends[-1]) + np.repeat(self.starts[ids] - ends + lengths, lengths)].tobytes()
+
+
+def _is_text(token: bytes) -> bool:
+    try:
+        token.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 class Codec:
     """Encodes and decodes texts with a vocabulary; one per worker."""
 
@@ -163,8 +216,12 @@ class Codec:
         self.split_any = regex.compile(pattern).findall
         latin = latin_pattern(pattern)
         self.split_latin = re.compile(latin).findall if latin else self.split_any
-        self.memo: dict[str, str] = {}
-        self.bytes_of = {str(rank): token for token, rank in ranks.items()}
+        #: Words that are tokens need no merges.
+        self.whole = {token.decode(): np.int32(rank).tobytes() for token, rank in ranks.items() if _is_text(token)}
+        self.memo: dict[str, bytes] = dict(self.whole)
+        self.held = 0
+        self.token_bytes = Spelling(self.replay.tokens)
+        self.decimals = Spelling({rank: b"%d," % rank for rank in self.replay.tokens})
 
     def split(self, text: str) -> list[str]:
         try:
@@ -173,8 +230,8 @@ class Codec:
             return self.split_any(text)
         return self.split_latin(text)
 
-    def encode_batch(self, texts: list[str]) -> Iterator[str]:
-        """The ids of each text, decimal, joined by commas.
+    def encode_batch(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text.
 
         Texts are taken in runs of bounded size, so that the split words of one run are in memory at a time.
         """
@@ -183,26 +240,30 @@ class Codec:
         for text in texts:
             run.append(self.split(text))
             size += len(text)
-            if size > 4_000_000:
+            if size > RUN:
                 yield from self._run(run)
                 run, size = [], 0
         yield from self._run(run)
 
-    def _run(self, split: list[list[str]]) -> Iterator[str]:
+    def _run(self, split: list[list[str]]) -> Iterator[np.ndarray]:
+        if self.held > MEMO:
+            self.memo, self.held = dict(self.whole), 0
         memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        new = sorted(set().union(*split).difference(memo))
-        data = [w.encode() for w in new]
-        whole = self.replay.ranks  # a word that is a token needs no merges
-        merged = iter(self.replay.encode([d for d in data if d not in whole]))
-        for word, d in zip(new, data, strict=True):
-            memo[word] = str(whole[d]) if d in whole else ",".join(map(str, next(merged)))
+        new = set()
+        for words in split:
+            new.update(filterfalse(memo.__contains__, words))
+        data = list(map(str.encode, new))
+        memo.update(zip(new, self.replay.encode(data), strict=True))
+        self.held += ENTRY * len(data) + 2 * sum(map(len, data))
         for words in split:
-            yield ",".join(map(memo.__getitem__, words))
+            yield np.frombuffer(b"".join(map(memo.__getitem__, words)), np.int32)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return self.token_bytes.join(ids)
 
-    def decode(self, ids: str) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.split(","))) if ids else b""
+    def written_out(self, ids: np.ndarray) -> bytes:
+        """The ids, decimal, joined by commas."""
+        return self.decimals.join(ids)[:-1]
 
 
 #: The last codec of a worker, whose memo serves its later tasks.
@@ -237,7 +298,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         texts = [t or "" for t in batch.column(1).to_pylist()]
         keys = batch.column(0)
         for k, ids in enumerate(codec.encode_batch(texts)):
-            yield {"doc_id": keys.slice(k, 1), "ids": [[int(x) for x in ids.split(",")] if ids else []]}
+            yield {"doc_id": keys.slice(k, 1), "ids": [ids.tolist()]}
 
     return _with_codec(df.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text"), ranks_path, pattern, rows, "doc_id long, ids array<int>")
 
@@ -247,7 +308,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
     def rows(codec: Codec, batch: pa.RecordBatch) -> Iterator[dict]:
         for key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            yield {"doc_id": [key], "decoded": [codec.decode(",".join(map(str, ids or [])))]}
+            yield {"doc_id": [key], "decoded": [codec.decode(np.array(ids or [], np.int64))]}
 
     return _with_codec(df.selectExpr(f"`{id_col}` AS doc_id", f"`{ids_col}` AS ids"), ranks_path, pattern, rows, "doc_id long, decoded binary")
 
@@ -263,8 +324,8 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
         texts = [t or "" for t in batch.column(1).to_pylist()]
         n, ids_hash, decoded_hash = [], [], []
         for ids in codec.encode_batch(texts):
-            n.append(ids.count(",") + 1 if ids else 0)
-            ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
+            n.append(len(ids))
+            ids_hash.append(hashlib.sha256(codec.written_out(ids)).hexdigest())
             decoded_hash.append(hashlib.sha256(codec.decode(ids)).hexdigest())
         yield {"doc_id": batch.column(0), "n_tokens": n, "ids_sha256": ids_hash, "decoded_sha256": decoded_hash}
 

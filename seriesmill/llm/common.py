@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A word of the contracts: anything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a batch that are turned into Python objects at a time.
+SLICE = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; one of our own only where none is set."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named, the checkpoint folder set by the program; without either, a temporary folder if driver and
+    executors are one process (master local), and else an error: executors don't see each other's own folders.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
+        if not context.isLocal():
+            raise ValueError("name a folder that the driver and all executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="seriesmill-"))
     return context.getCheckpointDir().get()
 
@@ -51,10 +59,21 @@ def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def slices(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of at most ``most`` bytes, or of one row."""
+    if batch.num_rows < 2 or batch.nbytes <= most:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from slices(batch.slice(0, half), most)
+    yield from slices(batch.slice(half), most)
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, list]]], schema: str) -> DataFrame:
     """mapInArrow over column batches: ``fn`` takes a batch and yields dictionaries of columns.
 
-    Spark bounds each incoming batch (rows and bytes), so a worker holds one batch and what ``fn`` makes of it.
+    Spark bounds each incoming batch (rows and bytes); ``fn`` gets it in slices of about SLICE bytes, as Python
+    objects made of a slice take several times its size.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -63,7 +82,7 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for columns in fn(batch):
+            for columns in (c for part in slices(batch) for c in fn(part)):
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, written
+from .common import map_rows, slices, written
 from .exact_dedup import one_row_per_id
 from .graph import components
 
@@ -142,7 +142,7 @@ def _digest(shingles: np.ndarray) -> bytes:
     return blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def frequent_shingles(docs: DataFrame, words: int, most: int = HOT_ENTRIES, repeats: int = 3, held: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(docs: DataFrame, words: int, most: int = HOT_ENTRIES, repeats: int = 3, held: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that repeat in different texts of a task, with the sum of those counts: sorted hashes, counts.
 
     ``held``: shingles that a task holds before it counts them.  If more than ``most`` repeat, the count from
@@ -155,7 +155,7 @@ def frequent_shingles(docs: DataFrame, words: int, most: int = HOT_ENTRIES, repe
             return pa.RecordBatch.from_arrays([pa.array(values[n >= repeats]), pa.array(n[n >= repeats].astype(np.int64))], names=["token", "n"])
 
         sets, seen, size = [], set(), 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for s in shingle_sets(batch.column(0).to_pylist(), words):
                 if len(s) and (d := _digest(s)) not in seen:
                     seen.add(d)
@@ -249,6 +249,7 @@ def classes(docs: DataFrame, words: int, percent: int, hot_entries: int = HOT_EN
         yield {"doc_id": batch.column(0), "n": sizes, "fp": prints, "prefix": prefixes}
 
     base = written(map_rows(docs, indexed, "doc_id long, n long, fp binary, prefix array<long>"))
+    hot.destroy()
     rows = written(
         base.where("n > 0").groupBy("fp").agg(F.min_by(F.struct("n", "prefix"), "doc_id").alias("r"), F.min("doc_id").alias("node"), F.count("*").alias("copies"))
         .select("fp", "node", "copies", "r.n", "r.prefix")

@@ -178,6 +178,7 @@ def score(docs: DataFrame, model_path: str, held_fold: int = 1, folds: int = 5,
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<string>, rest_n array<long>"
     # written, so that a row keeps its number when it is read twice
     rows = written(map_rows(docs, scored, schema).withColumn("row", F.monotonically_increasing_id()))
+    sent.destroy()
     rare = rows.select("row", F.explode(F.arrays_zip("rest", "rest_n")).alias("r")).select("row", F.col("r.rest").alias("word"), F.col("r.rest_n").alias("k"))
     met = rare.join(words, "word").groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("more_known"), F.sum(F.col("k") * F.log10((F.col("n") + 0.5) / F.lit(denominator))).alias("more_base"),

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -29,7 +30,8 @@ def test_like_the_library(ranks, reference, odd):
     codec = bpe.Codec(ranks, PATTERN)
     texts = [*random_texts(600), *(t or "" for t in odd), "a" * 4000, "the" * 2000, " " * 500, "<|endoftext|>"]
     for text, ids in zip(texts, codec.encode_batch(texts), strict=True):
-        assert ids == ",".join(map(str, reference.encode_ordinary(text))) and codec.decode(ids) == text.encode()
+        want = reference.encode_ordinary(text)
+        assert ids.tolist() == want and codec.written_out(ids).decode() == ",".join(map(str, want)) and codec.decode(ids) == text.encode()
 
 
 def test_any_ranks():
@@ -45,7 +47,19 @@ def test_any_ranks():
         ranks = {bytes([b]): b for b in range(256)} | {t: 256 + k for k, t in enumerate(multi)}
         encoding = tiktoken.Encoding("t", pat_str=r"[^ ]+", mergeable_ranks=ranks, special_tokens={})
         words = ["".join(random.choice("abc") for _ in range(random.randrange(1, 15))) for _ in range(20)]
-        assert bpe.MergeReplay(ranks).encode([w.encode() for w in words]) == [encoding.encode_ordinary(w) for w in words]
+        replay = bpe.MergeReplay(ranks)
+        want = [encoding.encode_ordinary(w) for w in words]
+        assert [np.frombuffer(ids, np.int32).tolist() for ids in replay.encode([w.encode() for w in words])] == want
+        assert [replay._alone(w.encode()) for w in words] == want
+
+
+def test_full_memo(ranks, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 1000)
+    monkeypatch.setattr(bpe, "RUN", 50)
+    codec = bpe.Codec(ranks, PATTERN)
+    texts = random_texts(200)
+    assert [ids.tolist() for ids in codec.encode_batch(texts)] == [reference.encode_ordinary(t) for t in texts]
+    assert codec.held < 20_000
 
 
 def test_table(spark, docs, odd, reference):
