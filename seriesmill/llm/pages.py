@@ -2,62 +2,74 @@
 
 Pages are ordered by host and URL path; a page is compared with the neighbour of its host whose path shares more
 leading segments.  The text lines (blocks) of both are aligned by their longest common subsequence, and shared
-lines are deleted: what a site repeats from page to page is its frame.  Mark-up that names its purpose decides
-before that: lines in menus, headers, footers, sidebars, notices, adverts, forms and reader comments go, and
-lines of an <article> or <main> stay even if a neighbour has them too, because articles quote shared passages.
-A page whose lines are all shared (a copy of its neighbour) keeps them.
+lines are deleted: what a site repeats from page to page is its frame.
+
+Mark-up says which lines are in question.  Elements that name their purpose (menus, headers, footers, sidebars,
+forms), adverts and reader comments are frame, whatever the neighbour has.  So are lines beside the article under a
+class or id that is such a name.  A line of an <article> or <main> with no such class or id is the page's own, even
+if the neighbour's article has it too, because articles quote shared passages.  All other lines are decided by
+the comparison: those beside the article, or of a page without one, and those in an article whose class or id is
+the only evidence against them.  A page without an article whose lines are all shared (a copy of its neighbour)
+keeps them.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import blake2b
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import global_index, map_rows, written
 
-#: What of a page's mark-up a line stands in.
-FRAME, OPEN, CONTENT = 0, 1, 2
+#: What a page's mark-up says of a line: frame by its element; frame by its class or id, outside an article; nothing, or only
+#: a class or id inside an article; article.
+FRAME, NAMED, ASKED, CONTENT = 0, 1, 2, 3
+#: Bits of a table that is kept to read an alignment back; larger ones are halved first.
+TABLE_BITS = 1 << 28
 
-_RAW = frozenset("script style noscript template iframe textarea title svg xmp noembed noframes object math".split())
+_RAW = frozenset("script style noscript template iframe textarea title svg xmp noembed noframes annotation annotation-xml".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _FRAME_TAGS = frozenset("nav footer aside form head menu dialog button select label fieldset".split())
 _CONTENT_TAGS = frozenset(("article", "main"))
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var img wbr br".split())
+_MATH = "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics"
+_INLINE = frozenset(f"{_MATH} a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var img wbr br".split())
 _FRAME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+#: Class names and ids, as wholes.
 _FRAME_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside footer foot header masthead banner "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments reply replies "
-    "disqus respond pagination pager toolbar widget search hidden".split()
+    "sponsor promo promotion nav navbar navigation main-nav site-nav menu main-menu menubar breadcrumb breadcrumbs "
+    "sidebar side-bar footer site-footer page-footer header site-header page-header masthead banner cookie cookies cookie-banner cookie-notice cookie-consent consent gdpr notice notices alert popup modal "
+    "overlay newsletter newsletter-signup subscribe subscription signup login share sharing share-buttons social social-share social-links related related-posts related-articles recommended pagination "
+    "pager toolbar widget search search-form search-box hidden".split()
 )
-_COMMENT_NAMES = frozenset("comment comments reply replies disqus respond".split())
+_ADVERT_NAMES = frozenset("ad ads adv advert adverts advertisement ad-banner ad-container ad-slot sponsored".split())
+_COMMENT_NAMES = frozenset("comment comments comment-list comments-area comments-section comment-section reply replies disqus disqus_thread respond".split())
 _TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))""", re.S)
 _LOOSE_TAG = re.compile(r"<(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def _kind(name: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element is part of the frame, and whether it holds reader comments."""
-    frame, comments = name in _FRAME_TAGS or name == "header", False
+def _evidence(name: str, attrs: str) -> tuple[bool, bool, bool, bool]:
+    """Whether an element is part of the frame by itself, by its class or id, an advert, and reader comments."""
+    frame, named, advert, comments = name in _FRAME_TAGS or name == "header", False, False, False
     if attrs and not attrs.isspace():
         for key, *values in _ATTR.findall(attrs):
             key, value = key.lower(), unescape("".join(values)).lower()
             if key in ("class", "id"):
-                names = set(re.split(r"[^a-z]+", value))
-                comments = comments or not names.isdisjoint(_COMMENT_NAMES)
-                frame = frame or not names.isdisjoint(_FRAME_NAMES)
+                names = value.split()
+                comments = comments or not _COMMENT_NAMES.isdisjoint(names)
+                advert = advert or not _ADVERT_NAMES.isdisjoint(names)
+                named = named or advert or not _FRAME_NAMES.isdisjoint(names)
             elif key == "role":
                 frame = frame or value.strip() in _FRAME_ROLES
             elif key == "hidden" or key == "aria-hidden" and value.strip() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 frame = True
-    return frame or comments, comments
+    return frame, named, advert, comments
 
 
 def lines_of(html: str | None) -> list[tuple[int, str]]:
@@ -65,8 +77,8 @@ def lines_of(html: str | None) -> list[tuple[int, str]]:
     html = html or ""
     out: list[tuple[int, str]] = []
     parts: list[str] = []
-    stack: list[tuple[str, int, bool]] = []  # name, kind before it, in comments before it
-    kind, comments = OPEN, False
+    stack: list[tuple[str, int, bool, bool]] = []  # name; kind, in an article, in comments before it
+    kind, article, comments = ASKED, False, False
 
     def end_block() -> None:
         if parts:
@@ -112,7 +124,7 @@ def lines_of(html: str | None) -> list[tuple[int, str]]:
                 if stack[k][0] == name:
                     if inline and stack[k][1] != kind:
                         end_block()
-                    kind, comments = stack[k][1:]
+                    kind, article, comments = stack[k][1:]
                     del stack[k:]
                     break
             continue
@@ -121,26 +133,26 @@ def lines_of(html: str | None) -> list[tuple[int, str]]:
         if name == "p" or name == "li":  # they close a paragraph left open
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p" or stack[k][0] == name:
-                    kind, comments = stack[k][1:]
+                    kind, article, comments = stack[k][1:]
                     del stack[k:]
                     break
                 if stack[k][0] not in ("a", "span"):
                     break
-        frame, own_comments = _kind(name, m.group("attrs"))
-        if name == "header" and kind == CONTENT and not own_comments:
+        frame, named, advert, own_comments = _evidence(name, m.group("attrs"))
+        if name == "header" and article and not own_comments:
             frame = False
-        new = kind
-        if name in _CONTENT_TAGS and not frame and not comments:
-            new = CONTENT  # also in a frame element that was never closed
-        elif frame and name not in ("body", "html"):
+        new, inside = kind, article
+        if name in _CONTENT_TAGS and not (frame or named or comments or own_comments):
+            new, inside = CONTENT, True  # also in a frame element that was never closed
+        elif (frame or own_comments or advert and article) and name not in ("body", "html"):
             new = FRAME
+        elif named and kind != FRAME and name not in ("body", "html"):
+            new = ASKED if article else NAMED
         if inline and new != kind:
             end_block()
-        stack.append((name, kind, comments))
-        kind, comments = new, comments or own_comments
+        stack.append((name, kind, article, comments))
+        kind, article, comments = new, inside, comments or own_comments
     end_block()
-    if any(k == CONTENT for k, _ in out):  # then what is beside it is frame
-        out = [(k if k == CONTENT else FRAME, t) for k, t in out]
     return out
 
 
@@ -148,34 +160,72 @@ def line_hash(line: str) -> int:
     return int.from_bytes(blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def common_lines(a: list[int], b: list[int]) -> set[int]:
-    """Places in ``a`` of a longest common subsequence of both."""
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """For each beginning of ``a``, the numbers j, as zero bits, at which b[j] makes its common subsequence with b longer."""
+    where: dict[int, int] = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v = full
+    for x in a:
+        u = v & where.get(x, 0)
+        v = (v + u | v - u) & full
+        yield v
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` and each beginning of ``b``."""
+    for v in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def common_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places in ``a`` and ``b`` of a longest common subsequence, in order.
+
+    Rows of the table of lengths are bits of one number each, so the time is len(a) * len(b) / 64 whatever repeats,
+    and memory is bounded by halving ``a`` until a table fits.
+    """
     head = 0
     while head < len(a) and head < len(b) and a[head] == b[head]:
         head += 1
     tail = 0
     while tail < len(a) - head and tail < len(b) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    shared = {*range(head), *range(len(a) - tail, len(a))}
-    where: dict[int, list[int]] = {}
-    for j in range(len(b) - tail - 1, head - 1, -1):
-        where.setdefault(b[j], []).append(j)
-    # the longest increasing run of matching places, each end linked to the one before it
-    ends: list[int] = []
-    last: list[tuple] = []
-    for i in range(head, len(a) - tail):
-        for j in where.get(a[i], ()):
-            k = bisect_left(ends, j)
-            link = (i, last[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                last.append(link)
-            else:
-                ends[k], last[k] = j, link
-    link = last[-1] if last else None
-    while link:
-        shared.add(link[0])
-        link = link[1]
+    both = set(a[head : len(a) - tail]) & set(b[head : len(b) - tail])
+    x = [i for i in range(head, len(a) - tail) if a[i] in both]
+    y = [j for j in range(head, len(b) - tail) if b[j] in both]
+    middle = [(x[i], y[j]) for i, j in _aligned([a[i] for i in x], [b[j] for j in y])]
+    ends = [(len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
+    return [(k, k) for k in range(head)] + middle + ends
+
+
+def _aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    if not a or not b:
+        return []
+    if len(a) > 1 and len(a) * len(b) > TABLE_BITS:
+        half = len(a) // 2
+        cut = int(np.argmax(_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]))
+        return _aligned(a[:half], b[:cut]) + [(i + half, j + cut) for i, j in _aligned(a[half:], b[cut:])]
+    rows = list(_rows(a, b))
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> j - 1 & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or rows[i - 1] >> j - 1 & 1:
+            j -= 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def deleted_lines(kinds: list[int], lines: list[int], near_kinds: list[int], near_lines: list[int]) -> list[int]:
+    """Places of the lines that the comparison with a neighbour deletes."""
+    shared = [i for i, _ in common_lines(lines, near_lines) if kinds[i] in (NAMED, ASKED)]
+    if CONTENT not in kinds and len([i for i in shared if kinds[i] == ASKED]) == kinds.count(ASKED):
+        return []  # a copy
     return shared
 
 
@@ -193,7 +243,7 @@ def _nearness(a: str, b: str) -> int:
 
 
 def shared_lines(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id") -> DataFrame:
-    """(key, shared array<long>): for each different page, the hashes of its open lines that its neighbour shares.
+    """(key, shared array<int>): for each different page, the places of its lines that the comparison deletes.
 
     Only hashes of lines are sorted and joined.  Pages get their places in a global order of host, path and id,
     so that a host with a large share of all pages is spread over many tasks, and neighbours meet by place.
@@ -204,33 +254,30 @@ def shared_lines(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     key = _key(id_col, url_col, html_col)
 
     def hashed(batch: pa.RecordBatch) -> Iterator[dict]:
-        lines, is_open = [], []
+        lines, kinds = [], []
         for html in batch.column(3).to_pylist():
             own = lines_of(html)
             lines.append([line_hash(t) for _, t in own])
-            is_open.append([k == OPEN for k, _ in own])
-        yield {"key": batch.column(0), "host": batch.column(1), "path": batch.column(2), "lines": lines, "is_open": is_open}
+            kinds.append([k for k, _ in own])
+        yield {"key": batch.column(0), "host": batch.column(1), "path": batch.column(2), "lines": lines, "kinds": kinds}
 
-    rows = map_rows(pages.select(key.alias("key"), host.alias("host"), path.alias("path"), F.col(f"`{html_col}`").alias("html")), hashed, "key long, host string, path string, lines array<long>, is_open array<boolean>")
+    rows = map_rows(pages.select(key.alias("key"), host.alias("host"), path.alias("path"), F.col(f"`{html_col}`").alias("html")), hashed, "key long, host string, path string, lines array<long>, kinds array<tinyint>")
     placed = global_index(rows.dropDuplicates(["key"]), F.col("host"), F.col("path"), F.col("key"), name="place")
-    # only pages with open lines have something to decide
-    asking = placed.where(F.exists("is_open", lambda x: x))
-    beside = placed.select(F.col("place").alias("p"), F.struct("host", "path", "lines").alias("q"))
+    # only pages with lines in question have something to decide
+    asking = placed.where(F.exists("kinds", lambda x: (x == NAMED) | (x == ASKED)))
+    beside = placed.select(F.col("place").alias("p"), F.struct("host", "path", "lines", "kinds").alias("q"))
     met = asking.select("*", F.explode(F.array(F.col("place") - 1, F.col("place") + 1)).alias("p")).join(beside, "p").where("q.host = host")
-    met = met.groupBy("key", "path", "lines", "is_open").agg(F.collect_list(F.struct("p", "q.path", "q.lines")).alias("near"))  # two at most
+    met = met.groupBy("key").agg(F.first("path").alias("path"), F.first("lines").alias("lines"), F.first("kinds").alias("kinds"), F.collect_list(F.struct("p", "q.path", "q.lines", "q.kinds")).alias("near"))  # two at most
 
     def compared(batch: pa.RecordBatch) -> Iterator[dict]:
         keys, out = [], []
-        for key, path, lines, is_open, near in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for key, path, lines, kinds, near in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             best = max(sorted(near, key=lambda q: q["p"]), key=lambda q: (q["lines"] != lines, _nearness(path, q["path"])))
-            shared = common_lines(lines, best["lines"])
-            asked = [i for i, o in enumerate(is_open) if o]
-            if not all(i in shared for i in asked):
-                keys.append(key)
-                out.append(sorted({lines[i] for i in asked if i in shared}))
+            keys.append(key)
+            out.append(deleted_lines(kinds, lines, best["kinds"], best["lines"]))
         yield {"key": keys, "shared": out}
 
-    return map_rows(met.select("key", "path", "lines", "is_open", "near"), compared, "key long, shared array<long>").where(F.size("shared") > 0)
+    return map_rows(met.select("key", "path", "lines", "kinds", "near"), compared, "key long, shared array<int>").where(F.size("shared") > 0)
 
 
 def _key(id_col: str, url_col: str, html_col: str):
@@ -238,10 +285,11 @@ def _key(id_col: str, url_col: str, html_col: str):
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of every row of ``pages``.
+    """page_id, url, text, n_chars, n_lines, n_shared, n_frame of every row of ``pages``.
 
     text: the blocks that stay, each with its white space (also between inline elements, br included) turned into
-    single spaces, joined by a newline; empty for null or empty html.  Null urls are pages of one host without a
+    single spaces, joined by a newline; empty for null or empty html.  n_lines counts all blocks; n_shared those
+    that the comparison deleted, n_frame those that only mark-up did.  Null urls are pages of one host without a
     name.  Repeated rows count as one page for the comparison and get the same text.  An empty table gives none.
     """
     deleted = written(shared_lines(pages, url_col, html_col, id_col))
@@ -250,10 +298,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     rows = rows.join(deleted, "key", "left").select("page_id", "url", "html", "shared")
 
     def kept(batch: pa.RecordBatch) -> Iterator[dict]:
-        texts = []
+        texts, counts = [], []
         for html, shared in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            gone = set(shared or ())
-            texts.append("\n".join(t for k, t in lines_of(html) if k == CONTENT or k == OPEN and not (gone and line_hash(t) in gone)))
-        yield {"page_id": batch.column(0), "url": batch.column(1), "text": texts, "n_chars": [len(t) for t in texts]}
-
-    return map_rows(rows, kept, "page_id long, url string, text string, n_chars long")
+            gone, lines = set(shared or ()), lines_of(html)
+            stay = [t for i, (k, t) in enumerate(lines) if k >= ASKED and i not in gone]
+            texts.append("\n".join(stay))
+            counts.append((len(lines), len(gone), len(lines) - len(gone) - len(stay)))
+        n_lines, n_shared, n_frame = ([c[k] for c in counts] for k in range(3))
+        yield {"page_id": batch.column(0), "url": batch.column(1), "text": texts, "n_chars": [len(t) for t in texts], "n_lines": n_lines, "n_shared": n_shared, "n_frame": n_frame}
+
+    return map_rows(rows, kept, "page_id long, url string, text string, n_chars long, n_lines long, n_shared long, n_frame long")
