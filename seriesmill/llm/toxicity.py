@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, written
+from .common import map_rows, slices, written
 from .labelled import MAX_TRAIN, fold_of, training_rows
 
 #: Letters of other alphabets that look like Latin ones.
@@ -116,8 +116,13 @@ class Matcher:
                         free.append((start, end))
                     else:
                         found[start] = max(weight, found.get(start, 0.0))
-        for a, b in free:
-            for start in [s for s in found if a <= s < b]:
+        free.sort()
+        reach, k = -1, 0  # how far the phrases that begin up to here reach
+        for start in sorted(found) if free else ():
+            while k < len(free) and free[k][0] <= start:
+                reach = max(reach, free[k][1])
+                k += 1
+            if start < reach:
                 del found[start]
         return text, found
 
@@ -135,17 +140,14 @@ class Matcher:
 
 
 def _word_counts(train: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
-    """(term, kind, label, n, forms): documents with a word (kind 0) or a word beginning (kind 1).
-
-    forms: with beginnings, one row for each distinct word, so that the number of words can be counted.
-    """
+    """(term, kind, toxic, clean): documents of either label with a word (kind 0) or a beginning of words (kind: its length)."""
 
     def rows(batch: pa.RecordBatch) -> Iterator[dict]:
         count: Counter = Counter()
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = set(fold(text))
-            count.update((w, 0, label) for w in words if len(w) < 40)
-            count.update({(w[:n], n, label) for w in words if len(w) < 40 for n in lengths if len(w) > n})
+            count.update((w, 0, label) for w in words)
+            count.update({(w[:n], n, label) for w in words for n in lengths if len(w) > n})
         yield {"term": [k[0] for k in count], "kind": [k[1] for k in count], "label": [k[2] for k in count], "n": list(count.values())}
 
     counted = map_rows(train.select("text", "label"), rows, "term string, kind int, label int, n long")
@@ -167,7 +169,7 @@ def _without_copies(train: DataFrame) -> DataFrame:
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, kept = None, []
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             new = []
             for key, label, text in zip(batch.column("sig").to_pylist(), batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if (key, label) != group:
@@ -298,12 +300,16 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text", **learning) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    """The rows of ``docs`` that score below ``threshold``, with all their columns; see ``classify`` for odd rows."""
     lexicon = learn(docs, labels, **learning)
     return docs.withColumn("__score", score_column(lexicon, F.col(f"`{text_col}`"))).where(F.col("__score") < threshold).drop("__score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **learning) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``."""
+    """doc_id, held_out, score, predicted for every row of ``docs``.
+
+    Null and empty texts have no match and get the score of a text without one; rows with a null id are held out;
+    repeated rows score alike; without labels of both classes all rows get the base rate; an empty table gives none.
+    """
     scored = score(docs, learn(docs, labels, **learning))
     return scored.select("doc_id", (fold_of("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -1,4 +1,6 @@
 import random
+import re
+import time
 import zlib
 
 import pytest
@@ -57,6 +59,52 @@ def test_only_near_copies_are_dropped(spark):
     assert sorted(r.doc_id for r in toxicity._without_copies(train).collect()) == [0, 2, 3, 5, 6]
 
 
+def plain_matches(lexicon, words):
+    """Where counted matches begin, each word and phrase looked for by itself."""
+    text = f" {' '.join(words)} "
+    free = [(m.start(), m.start() + len(p) + 1) for p in lexicon.exceptions for m in re.finditer(f"(?= {re.escape(p)} )", text)]
+    found = {}
+    for m in re.finditer(" (?=([^ ]+))", text):
+        w, at = m.group(1), m.start()
+        weights = [v for k, v in lexicon.words.items() if k == w] + [v for k, v in lexicon.stems.items() if w.startswith(k)]
+        if weights and not any(a <= at < b for a, b in free):
+            found[at] = max(weights)
+    return found
+
+
+def test_against_plain_search():
+    random.seed(8)
+    for _ in range(300):
+        vocabulary = ["".join(random.choice("ab") for _ in range(random.randrange(1, 4))) for _ in range(8)]
+        lexicon = Lexicon({w: random.random() for w in vocabulary[:3]}, {w: random.random() for w in vocabulary[3:5]}, tuple({f"{random.choice(vocabulary)} {random.choice(vocabulary)}" for _ in range(3)}))
+        words = random.choices(vocabulary, k=random.randrange(30))
+        assert Matcher(lexicon).matches(words)[1] == plain_matches(lexicon, words)
+
+
+def test_many_matches_and_exceptions_take_linear_time():
+    m = Matcher(Lexicon({"trash": 3.0}, {}, ("trash can",)))
+    began = time.monotonic()
+    assert m.matches(["trash", "can"] * 300_000)[1] == {}
+    assert time.monotonic() - began < 10
+
+
+def test_long_words_are_learned(spark):
+    word = "zonk" * 13
+    rows = [(k, f"{word} a" if k % 3 == 0 else f"b{k % 7} a", int(k % 3 == 0)) for k in range(300)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    # texts that are copies of each other count once, so each is made different
+    docs = docs.selectExpr("doc_id", "concat(text, ' ', repeat(concat('w', doc_id, ' '), 3), 'x', doc_id, ' y', doc_id) AS text")
+    assert word in toxicity.learn(docs, labels).words
+    assert all(r.predicted == int(r.doc_id % 3 == 0) for r in toxicity.classify(docs, labels).collect())
+
+
+def test_odd_texts(spark, docs, odd):
+    table = docs([*odd, "same", "same"], ids=[*range(len(odd)), 77, 77])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(odd))], "doc_id long, toxic int")
+    got = sorted((r.doc_id, r.score) for r in toxicity.classify(table, labels).collect())
+    assert len(got) == len(odd) + 2 and all(0 <= s <= 1 for _, s in got) and got[-1] == got[-2] and got[0][1] == got[1][1]
+
+
 def test_held_out_labels_are_not_read(spark):
     docs, labels = labelled(spark, 100)
     turned = labels.selectExpr("doc_id", "CASE WHEN crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 0 THEN 1 - toxic ELSE toxic END AS toxic")
@@ -67,4 +115,8 @@ def test_without_labels(spark):
     docs, labels = labelled(spark, 20)
     assert len(toxicity.learn(docs, labels.where("toxic = 0"))) == 0
     assert toxicity.classify(docs.where("false"), labels.where("false")).count() == 0
-    assert toxicity.keep_clean(docs, labels.where("false")).count() in (0, docs.count())
+    # one class only: every row gets the share of that class
+    assert {r.predicted for r in toxicity.classify(docs, labels.where("toxic = 0")).collect()} == {0}
+    assert toxicity.keep_clean(docs, labels.where("toxic = 0")).count() == docs.count()
+    assert toxicity.keep_clean(docs, labels.where("toxic = 1")).count() == 0
+    assert {r.score for r in toxicity.score(docs, toxicity.learn(docs, labels.where("false"))).collect()} == {0.5}
