@@ -1,9 +1,9 @@
 """Media columns: payloads as 8-bit WAV, short-time Fourier transforms and spectral-peak pair fingerprints.
 
-A WAV is written and read by the standard wave module.  The spectrum of each frame is searched for the
-strongest bin of either half; both are paired with both of each of the next frames, and each pair (bin, bin,
-distance) stored with the frame it begins at: two parallel arrays, times and codes, that can be matched by time
-offset.
+A WAV is written and read by the standard wave module.  Each frame's mean is taken off before the window, so that the
+constant doesn't leak into the low bins.  Peaks are bins stronger than both neighbours and than the frame's mean power;
+the strongest ones of a frame are paired with those of each of the next frames, and each pair (bin, bin, distance)
+is stored with the frame it begins at: two parallel arrays, times and codes, that can be matched by time offset.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ BLOCK = 192
 #: Samples of a frame, and from one frame to the next; the payload is always a whole number of steps.
 FRAME, STEP = 192, 96
 RATE = 8000
+#: Peaks of a frame, at most.
+PEAKS = 2
 #: Frames after a peak's own whose peaks it is paired with.
 REACH = 3
 #: Frames transformed at a time.
@@ -57,29 +59,34 @@ def read_wav(media: bytes) -> bytes:
 
 
 def spectrum_peaks(samples: bytes) -> np.ndarray:
-    """Per frame the strongest bin of the lower and of the upper half of its spectrum (the constant left out)."""
+    """The bins of each frame's strongest peaks, strongest first (the lower bin of equal ones); -1 where there are fewer."""
     wave_in = np.frombuffer(samples, np.uint8)
     frames = max(0, (len(wave_in) - FRAME) // STEP + 1)
-    half = FRAME // 4
-    peaks = np.empty((frames, 2), np.int32)
+    peaks = np.full((frames, PEAKS), -1, np.int32)
     view = np.lib.stride_tricks.sliding_window_view(wave_in, FRAME)[::STEP] if frames else None
     for at in range(0, frames, FRAMES_AT_ONCE):
-        part = view[at : at + FRAMES_AT_ONCE].astype(np.float32) - np.float32(128)
+        part = view[at : at + FRAMES_AT_ONCE].astype(np.float32)
+        part -= part.mean(axis=1, keepdims=True)
         spectrum = np.fft.rfft(part * _WINDOW, axis=1)
-        power = np.round(spectrum.real**2 + spectrum.imag**2, 1)
-        peaks[at : at + FRAMES_AT_ONCE, 0] = power[:, 1:half].argmax(axis=1) + 1
-        peaks[at : at + FRAMES_AT_ONCE, 1] = power[:, half:].argmax(axis=1) + half
+        power = np.round(spectrum.real**2 + spectrum.imag**2)
+        inner = power[:, 1:-1]
+        inner = np.where((inner > power[:, :-2]) & (inner >= power[:, 2:]) & (inner > power.mean(axis=1, keepdims=True)), inner, 0)
+        rows = np.arange(len(inner))
+        for k in range(PEAKS):
+            best = inner.argmax(axis=1)
+            peaks[at : at + FRAMES_AT_ONCE, k] = np.where(inner[rows, best] > 0, best + 1, -1)
+            inner[rows, best] = 0
     return peaks
 
 
 def pair_fingerprints(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Times (frame numbers) and codes of the peak pairs, in time order: both peaks of a frame with both of each next one."""
+    """Times (frame numbers) and codes of the peak pairs, in order of time and code: all peaks of a frame with all of each next one."""
     peaks = spectrum_peaks(samples)
-    codes = np.full((len(peaks), 4 * REACH), -1, np.int32)
+    codes = np.full((len(peaks), REACH, PEAKS, PEAKS), -1, np.int32)
     for gap in range(1, REACH + 1):
-        for k, (a, b) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
-            # the bins tell the halves
-            codes[:-gap, 4 * (gap - 1) + k] = (peaks[:-gap, a] << 16) | (peaks[gap:, b] << 8) | gap
+        a, b = peaks[:-gap, :, None], peaks[gap:, None, :]
+        codes[:-gap, gap - 1] = np.where((a >= 0) & (b >= 0), a << 16 | b << 8 | gap, -1)
+    codes = codes.reshape(len(peaks), REACH * PEAKS * PEAKS)
     codes.sort(axis=1)
     there = codes >= 0
     return np.repeat(np.arange(len(peaks), dtype=np.int32), there.sum(axis=1)), codes[there]
@@ -117,9 +124,9 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def media_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """media_columns with the media and the fingerprints reduced to size, digest and a feature text."""
+    """media_columns with the media reduced to size and digest, and a short text, feature, beside the fingerprint's arrays."""
     feature = F.concat_ws(":", F.size("codes").cast("string"), F.hex(F.xxhash64("times", "codes")))
     return media_columns(df, id_col, text_col).select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
-        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"), "times", "codes",
     )
