@@ -6,10 +6,15 @@ through rounds of l += F(r) mod a, r += F(l) mod b, where F is a keyed SHA-256.
 format for every key, so equal values stay linked across documents and different ones stay different; layout
 (spaces, brackets, padding) is kept.  What fails validation is left as it is.
 
-Formats: payment card numbers (Luhn, first digit kept), North American telephone numbers (area and exchange 200 to
-999), other international numbers (their last seven digits), social security numbers, IPv4 addresses, dates of 1800
-to 2099 (ISO, d/m/y or m/d/y with / . -; permuted within their century), and the local part of e-mail
+Formats: payment card numbers (Luhn, first digit kept), IBANs (check digits; country and letters kept), North American
+telephone numbers (area and exchange 200 to 999, with or without punctuation), other international numbers (their last
+seven digits), social security numbers (with or without hyphens), IPv4 addresses, dates, and the local part of e-mail
 addresses (letters and digits keep their class and case).
+
+Dates of 1800 to 2099 move within their century, in any of these layouts: y-m-d, y/m/d, y.m.d, yyyymmdd (from 1900),
+d/m/y or m/d/y with / . -, d/m/yy or m/d/yy (of 2000 to 2099), 4 March 2021, March 4, 2021 (or Mar, MARCH, march).  One date
+has one pseudonym in all of them, with one exception: what reads only as m/d/y, the day being above 12, stays such a
+string, so that strings of different dates never become one.  Days and months are padded as they were.
 """
 
 from __future__ import annotations
@@ -21,16 +26,28 @@ from pyspark.sql import functions as F
 KEY = "seriesmill"
 ROUNDS = 10
 
+_MONTH = "(?i:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+
+
+def _either(pattern: str, seps: str) -> str:
+    """The pattern with each of the separators in place of S."""
+    return "(?:" + "|".join(pattern.replace("S", f"[{s}]") for s in seps) + ")"
+
+
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
+IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![0-9A-Za-z])"
 IPV4 = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9A-Za-z])"
-ISO = r"(?<![0-9A-Za-z/.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9/-])"
-DMY = r"(?<![0-9A-Za-z/.-])[0-9]{1,2}([/.-])[0-9]{1,2}\1[0-9]{4}(?![0-9A-Za-z/-])"
-SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
-NANP = r"(?<![0-9A-Za-z+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z])"
+YMD = r"(?<![0-9A-Za-z/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|" + _either("[0-9]{4}S[0-9]{1,2}S[0-9]{1,2}", "/.") + r")(?![0-9A-Za-z/-])"
+COMPACT = r"(?<![0-9A-Za-z._/-])(?:19|20)[0-9]{6}(?![0-9A-Za-z_/-])"
+SLASHED = r"(?<![0-9A-Za-z/.-])(?:" + _either("[0-9]{1,2}S[0-9]{1,2}S[0-9]{4}", "/.-") + r"|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2})(?![0-9A-Za-z/-])"
+NAMED = rf"(?<![0-9A-Za-z/.-])(?:[0-9]{{1,2}} {_MONTH} [0-9]{{4}}|{_MONTH} [0-9]{{1,2}},? [0-9]{{4}})(?![0-9A-Za-z/-])"
+SSN = r"(?<![0-9A-Za-z.-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{9})(?!\.?[0-9A-Za-z-])"
+NANP = r"(?<![0-9A-Za-z+.])(?:(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}|[2-9][0-9]{2}[2-9][0-9]{6})(?!\.?[0-9A-Za-z])"
 INTL = r"(?<![0-9A-Za-z+])\+[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}(?![0-9A-Za-z])"
 CARD = r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])"
-#: All of them; the one group that is referred to is that of DMY.
-ANY = "|".join((EMAIL, IPV4, ISO, DMY, SSN, NANP, INTL, CARD))
+ANY = "|".join((EMAIL, IBAN, IPV4, YMD, COMPACT, SLASHED, NAMED, SSN, NANP, INTL, CARD))
+#: Turns of the walk back into the m/d/y strings; more than three in five days are such, so that none is left after so many.
+WALK = 100
 
 
 def _sql_text(text: str) -> str:
@@ -121,11 +138,51 @@ def _part_like(value: str, part: str) -> str:
     return f"if(length({part}) = 2, {_pad(value, '2')}, cast({value} as string))"
 
 
+def _walked(date: str, key: str) -> str:
+    """A date whose day is above 12, moved to another such: along the permutation until one is met again."""
+    return f"aggregate(sequence(2, {WALK}), {_moved_date(date, key)}, (q, j) -> if(day(q) > 12, q, {_moved_date('q', key)}))"
+
+
 def _slashed(key: str) -> str:
     sep = "regexp_extract(x.t, '[/.-]', 0)"
-    with_day_first = f"concat_ws({sep}, {_part_like('day(n)', 'x.f[0]')}, {_part_like('month(n)', 'x.f[1]')}, {_pad('year(n)', '4')})"
-    with_month_first = f"concat_ws({sep}, {_part_like('month(n)', 'x.f[0]')}, {_part_like('day(n)', 'x.f[1]')}, {_pad('year(n)', '4')})"
-    return _let("n", _moved_date("coalesce(x.dmy, x.mdy)", key), f"if(x.dmy is not null, {with_day_first}, {with_month_first})")
+    year = f"if(length(x.f[2]) = 2, right(cast(year(n) as string), 2), {_pad('year(n)', '4')})"
+    with_day_first = f"concat_ws({sep}, {_part_like('day(n)', 'x.f[0]')}, {_part_like('month(n)', 'x.f[1]')}, {year})"
+    with_month_first = f"concat_ws({sep}, {_part_like('month(n)', 'x.f[0]')}, {_part_like('day(n)', 'x.f[1]')}, {year})"
+    return f"if(x.dmy is not null, {_let('n', _moved_date('x.dmy', key), with_day_first)}, {_let('n', _walked('x.mdy', key), with_month_first)})"
+
+
+def _ymd(key: str) -> str:
+    sep = "regexp_extract(x.t, '[/.-]', 0)"
+    parts = f"concat_ws({sep}, {_pad('year(n)', '4')}, {_part_like('month(n)', 'x.f[1]')}, {_part_like('day(n)', 'x.f[2]')})"
+    return _let("n", _moved_date("x.ymd", key), f"if(length(x.t) = 8 and x.t rlike '^[0-9]+$', date_format(n, 'yyyyMMdd'), {parts})")
+
+
+def _named(key: str) -> str:
+    name = "regexp_extract(x.t, '[A-Za-z]+', 0)"
+    full = f"date_format(n, if(length({name}) = 3 and lower({name}) <> 'may', 'MMM', 'MMMM'))"
+    cased = f"case when {name} = upper({name}) then upper({full}) when {name} = lower({name}) then lower({full}) else {full} end"
+    day = _part_like("day(n)", "regexp_extract(x.t, '([0-9]{1,2}),? ', 1)")
+    comma = "if(instr(x.t, ',') > 0, ',', '')"
+    day_first = f"concat_ws(' ', {day}, {cased}, {_pad('year(n)', '4')})"
+    month_first = f"concat({cased}, ' ', {day}, {comma}, ' ', {_pad('year(n)', '4')})"
+    return _let("n", _moved_date("x.named", key), f"if(x.t rlike '^[0-9]', {day_first}, {month_first})")
+
+
+def _mod97(text: str) -> str:
+    return f"aggregate(split({text}, ''), 0, (p, q) -> if(q rlike '[0-9]', (p * 10 + ascii(q) - 48) % 97, (p * 100 + ascii(q) - 55) % 97))"
+
+
+def _iban(key: str) -> str:
+    compact = "replace(x.t, ' ', '')"
+    digits = f"regexp_replace(substr({compact}, 5), '[^0-9]', '')"
+    n = "least(length(g), 16)"
+    sizes = f"named_struct('a', cast(pow(10, {n} div 2) as bigint), 'b', cast(pow(10, {n} - {n} div 2) as bigint))"
+    kind = f"concat('iban', substr({compact}, 1, 2), length(g), substr(g, 1, length(g) - {n}))"
+    moved = _let("ab", sizes, _feistel(f"cast(right(g, {n}) as bigint)", "ab.a", "ab.b", kind, key))
+    new = f"concat(substr(g, 1, length(g) - {n}), {_pad(moved, n)})"
+    country = f"substr({compact}, 1, 2)"
+    check = f"lpad(cast(98 - {_mod97(f'concat(y, {country}, chr(48), chr(48))')} as string), 2, '0')"
+    return _let("g", digits, _let("v2", new, _let("y", _laid_out(f"substr({compact}, 5)", "v2"), _laid_out("x.t", f"concat({check}, v2)"))))
 
 
 def _email(key: str) -> str:
@@ -155,9 +212,11 @@ def _token(key: str) -> str:
     ssn_ok = "substr(x.d, 1, 3) not in ('000', '666') and x.d < '900' and substr(x.d, 4, 2) <> '00' and right(x.d, 4) <> '0000'"
     return f"""CASE
         WHEN x.m is not null THEN {_email(key)}
+        WHEN x.t rlike '^[A-Z]{{2}}[0-9]' THEN if({_mod97("concat(substr(replace(x.t, ' ', ''), 5), substr(x.t, 1, 4))")} = 1 and x.t rlike '[0-9]{{4}}', {_iban(key)}, x.t)
         WHEN {full(IPV4)} THEN if(forall(split(x.t, '[.]'), q -> cast(q as int) <= 255), {_ipv4(key)}, x.t)
-        WHEN {full(ISO)} THEN if(year(x.iso) {century}, cast({_moved_date('x.iso', key)} as string), x.t)
-        WHEN {full(DMY)} THEN if(year(coalesce(x.dmy, x.mdy)) {century}, {_slashed(key)}, x.t)
+        WHEN {full(YMD)} OR {full(COMPACT)} THEN if(year(x.ymd) {century}, {_ymd(key)}, x.t)
+        WHEN {full(SLASHED)} THEN if(year(coalesce(x.dmy, x.mdy)) {century}, {_slashed(key)}, x.t)
+        WHEN {full(NAMED)} THEN if(year(x.named) {century}, {_named(key)}, x.t)
         WHEN {full(SSN)} THEN if({ssn_ok}, {_ssn(key)}, x.t)
         WHEN {full(NANP)} THEN {_nanp(key)}
         WHEN {full(INTL)} THEN if(length(x.d) between 8 and 15, {_intl(key)}, x.t)
@@ -168,13 +227,17 @@ def _token(key: str) -> str:
 def _fields(t: str) -> str:
     """A token with what its formats are checked by."""
     parts = f"split({t}, '[/.-]')"
-    slashed = f"({t} rlike {_sql_text('^[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{4}$')})"
+    slashed = f"({t} rlike {_sql_text('^[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}$')})"
+    year = f"if(length({parts}[2]) = 2, concat('20', {parts}[2]), {parts}[2])"
     day = "try_to_date(concat_ws('-', {y}, {m}, {d}), 'yyyy-M-d')"
+    name = f"lower(substr(regexp_extract({t}, '[A-Za-z]+', 0), 1, 3))"
+    month = f"cast((instr('janfebmaraprmayjunjulaugsepoctnovdec', {name}) + 2) div 3 as string)"
     return (
         f"named_struct('t', {t}, 'd', regexp_replace({t}, '[^0-9]', ''), 'm', if(instr({t}, '@') > 0, substring_index({t}, '@', 1), null), 'f', {parts}, "
-        f"'iso', if({t} rlike '^[0-9]{{4}}-', try_to_date({t}, 'yyyy-M-d'), null), "
-        f"'dmy', if({slashed}, {day.format(y=parts + '[2]', m=parts + '[1]', d=parts + '[0]')}, null), "
-        f"'mdy', if({slashed}, {day.format(y=parts + '[2]', m=parts + '[0]', d=parts + '[1]')}, null))"
+        f"'ymd', case when {t} rlike '^[0-9]{{4}}[/.-]' then try_to_date(translate({t}, '/.', '--'), 'yyyy-M-d') when {t} rlike '^[0-9]{{8}}$' then try_to_date({t}, 'yyyyMMdd') end, "
+        f"'dmy', if({slashed}, {day.format(y=year, m=parts + '[1]', d=parts + '[0]')}, null), "
+        f"'mdy', if({slashed}, {day.format(y=year, m=parts + '[0]', d=parts + '[1]')}, null), "
+        f"'named', if({t} rlike ' [0-9]{{4}}$' and {t} rlike '[A-Za-z]{{3}} ', {day.format(y=f'right({t}, 4)', m=month, d=f"regexp_extract({t}, '([0-9]{{1,2}}),? ', 1)")}, null))"
     )
 
 
