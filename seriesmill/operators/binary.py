@@ -104,10 +104,13 @@ def vector_scalar(samples: DataFrame, op: str, number: float, as_bool: bool = Tr
     return samples.withColumn("value", F.when(holds, 1.0).otherwise(0.0)) if as_bool else samples.where(holds)
 
 
-def vector_scalar_frame(samples: DataFrame, op: str, number: DataFrame) -> DataFrame:
-    """A vector and a one-row frame of samples (such as scalar() gives)."""
-    one = F.broadcast(number.limit(1).select(F.col("value").alias("__other")))
-    return _result(samples.crossJoin(one), op, F.col("value"), F.col("__other"), True).select(COLUMNS)
+def vector_scalar_frame(samples: DataFrame, op: str, number: DataFrame, as_bool: bool = True, swapped: bool = False) -> DataFrame:
+    """A vector and a one-row frame of samples (such as scalar() gives); ``swapped`` puts the number on the left."""
+    rows = samples.crossJoin(F.broadcast(number.select(F.col("value").alias("__other"))))  # a single row
+    a, b = F.col("value"), F.col("__other")
+    if swapped and op in COMPARISON and not as_bool:
+        return rows.where(COMPARISON[op](b, a)).select(COLUMNS)
+    return _result(rows, op, *((b, a) if swapped else (a, b)), as_bool).select(COLUMNS)
 
 
 def negate(samples: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def instant_result(samples: DataFrame) -> DataFrame:
     return out.select("series_id", "metric", "labels", "s.ts", value_text(F.col("s.value")).alias("value"))
 
 
-def matrix_result(samples: DataFrame) -> DataFrame:
-    """One row for each series with its samples in time order."""
+def matrix_result(samples: DataFrame, chunk_ms: int = 86_400_000) -> DataFrame:
+    """Rows (series_id, metric, labels, chunk, samples): each series' samples in time order, a row for each ``chunk_ms`` of time, so that no row holds a whole series."""
     packed = F.transform(F.sort_array(F.collect_list(F.struct("ts", "seq", "value"))), lambda s: F.struct(s["ts"], s["value"]))
-    return samples.groupBy("series_id").agg(F.first("metric").alias("metric"), F.first("labels").alias("labels"), packed.alias("samples"))
+    return samples.groupBy("series_id", "metric", "labels", F.floor(F.col("ts") / chunk_ms).alias("chunk")).agg(packed.alias("samples"))

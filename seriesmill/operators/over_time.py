@@ -51,12 +51,11 @@ def rate(samples: DataFrame, per_second: bool = False, skip_resets: bool = True,
 
 
 def _last_two(samples: DataFrame) -> DataFrame:
-    """Per series its last sample and the one before, from per-task pairs: no sort of whole series."""
-    two = F.max_by(F.struct("ts", "value"), order())
-    last = samples.groupBy("series_id").agg(F.max(order()).alias("o"))
-    rest = samples.join(last, "series_id").where(order() != F.col("o")).groupBy("series_id").agg(two.alias("prev"))
-    ends = samples.groupBy("series_id").agg(F.first("metric").alias("metric"), F.first("labels").alias("labels"), F.max("ts").alias("ts"), F.max_by("value", order()).alias("value"))
-    return ends.join(rest, "series_id").withColumn("seq", F.lit(0).cast("long"))
+    """Per series its last sample with the one before as ``prev``: one shuffle, to which each task sends two rows a series."""
+    latest = Window.partitionBy("series_id").orderBy(F.desc("ts"), F.desc("seq"))
+    two = samples.withColumn("__back", F.row_number().over(latest)).where("__back <= 2")
+    ends = two.withColumn("prev", F.lead(F.struct("ts", "value")).over(latest)).where("__back = 1 AND prev IS NOT NULL")
+    return ends.drop("__back").withColumn("seq", F.lit(0).cast("long"))
 
 
 def irate(samples: DataFrame, per_second: bool = False) -> DataFrame:
@@ -99,21 +98,25 @@ def changes(samples: DataFrame, end: int | None = None, slice_ms: int | None = N
     return _count_steps(samples, F.isnan("value") | (F.col("value") != F.col("prev.value")), end, slice_ms)
 
 
-def _line(samples: DataFrame) -> DataFrame:
-    """Samples with x, the time since their series' first sample (exact sums need small numbers)."""
-    first = samples.groupBy("series_id").agg(F.min("ts").alias("__first"))
-    return samples.join(first, "series_id").withColumn("x", (F.col("ts") - F.col("__first")).cast("double"))
+def _line(samples: DataFrame, origin: int) -> DataFrame:
+    """Samples with x, the time since ``origin``, such as a query's start: smaller numbers lose less in sums."""
+    return samples.withColumn("x", (F.col("ts") - F.lit(origin)).cast("double"))
 
 
-def deriv(samples: DataFrame) -> DataFrame:
+def _span() -> Column:
+    return (F.max("x") - F.min("x")).alias("span")
+
+
+def deriv(samples: DataFrame, origin: int = 0) -> DataFrame:
     """Slope of the least-squares line, at the last sample; series at a single time are dropped."""
-    return _per_series(_line(samples), F.max("ts"), F.regr_slope("value", "x"), F.max("x").alias("span"), keep=F.col("span") > 0)
+    return _per_series(_line(samples, origin), F.max("ts"), F.regr_slope("value", "x"), _span(), keep=F.col("span") > 0)
 
 
-def predict_linear(samples: DataFrame, seconds: float = 60.0, end: int | None = None) -> DataFrame:
+def predict_linear(samples: DataFrame, seconds: float = 60.0, end: int | None = None, origin: int = 0) -> DataFrame:
     """Value of the least-squares line ``seconds`` after the last sample, stamped ``end`` (or the last sample)."""
-    ahead = F.regr_intercept("value", "x") + F.regr_slope("value", "x") * (F.max("x") + F.lit(seconds * 1000.0))
-    return _per_series(_line(samples), F.max("ts") if end is None else F.lit(end), ahead, F.max("x").alias("span"), keep=F.col("span") > 0)
+    # from the means, through which the line goes: the value at x = 0 may be far off
+    ahead = F.avg("value") + F.regr_slope("value", "x") * (F.max("x") + F.lit(seconds * 1000.0) - F.avg("x"))
+    return _per_series(_line(samples, origin), F.max("ts") if end is None else F.lit(end), ahead, _span(), keep=F.col("span") > 0)
 
 
 def _recursive(samples: DataFrame, step: Callable[[tuple | None, float], tuple[tuple, float | None]]) -> DataFrame:
@@ -174,6 +177,15 @@ def smoothing_residuals(samples: DataFrame, smoothing: float = 0.3, trend: float
     return _recursive(samples, step)
 
 
+def smoothing_forecast(samples: DataFrame, smoothing: float = 0.3, trend: float = 0.1) -> DataFrame:
+    """The next value of each series by double exponential smoothing, at its last sample; a single value forecasts itself."""
+    from .rollup import _last_value
+
+    seen = _per_series(samples, F.max("ts"), _last_value(), F.count(F.lit(1)).alias("n"), keep=F.col("n") == 1)
+    ahead = holt_winters(samples, smoothing, trend)
+    return seen.unionByName(_per_series(ahead, F.max("ts"), _last_value()))
+
+
 def linear_residuals(samples: DataFrame) -> DataFrame:
     """Each value minus the line through the two before it; the first two stay as they are."""
     one, two = F.lag("value", 1).over(_by_time()), F.lag("value", 2).over(_by_time())
@@ -198,6 +210,12 @@ def absent_over_time(all_series: DataFrame, samples: DataFrame, end: int) -> Dat
     return missing.select("series_id", "metric", "labels", F.lit(end).cast("long").alias("ts"), F.lit(1.0).alias("value"), F.lit(0).cast("long").alias("seq"))
 
 
+def absent_within(samples: DataFrame, after: int, until: int, at: int) -> DataFrame:
+    """1, stamped ``at``, for every series without a sample in (after, until]: one aggregation, no join."""
+    inside = F.count(F.when((F.col("ts") > after) & (F.col("ts") <= until), 1))
+    return _per_series(samples, F.lit(at), F.lit(1.0), inside.alias("inside"), keep=F.col("inside") == 0)
+
+
 def present_over_time(samples: DataFrame, end: int | None = None, as_one: bool = False) -> DataFrame:
     """The number of samples of each series, or 1."""
     value = F.lit(1.0) if as_one else F.count(F.lit(1)).cast("double")

@@ -6,20 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import order
+from .aggregate import LARGEST
 
 #: Level: window (ms), days kept.  L0 is raw.
 LEVELS = {"L0": (0, 7), "L1": (60_000, 30), "L2": (300_000, 90), "L3": (3_600_000, 365), "L4": (86_400_000, 3650)}
 HOUR = 3_600_000
-#: Range of a query (hours) up to which a level answers.
+#: Range of a query (hours) below which a level answers.
 AUTO_BELOW = ((1, "L0"), (24, "L1"), (168, "L2"), (720, "L3"))
+#: Range of a query in whole hours (what is begun doesn't count) up to which a level answers.
 POLICIES = {
     "auto": ((1, "L0"), (24, "L1"), (168, "L2"), (720, "L3")),
     "conservative": ((1, "L0"), (24, "L1"), (168, "L2"), (720, "L3")),
     "aggressive": ((1, "L0"), (12, "L1"), (72, "L2"), (336, "L3")),
 }
 #: Functions of differences, which read one level finer than their range asks for; and those that need raw samples.
-RATE_LIKE = frozenset("rate irate increase delta idelta deriv resets changes".split())
-RAW_ONLY = frozenset("quantile quantile_over_time histogram_quantile topk bottomk count_values".split())
+RATE_LIKE = frozenset("rate irate increase delta".split())
+RAW_ONLY = frozenset("quantile histogram_quantile".split())
 FUNCTIONS = ("min", "max", "avg", "sum", "count", "last")
 
 
@@ -32,15 +34,35 @@ def level_for(start: int, end: int) -> str:
 
 
 def level_by_policy(start: int, end: int, policy: str = "auto", function: str | None = None) -> str:
-    """The level by a policy's bounds (inclusive), adapted to the function that reads it."""
-    if function in RAW_ONLY:
+    """The level by a policy's bounds, adapted to the function that reads it; the policy "raw" reads no rollup."""
+    if policy == "raw" or function in RAW_ONLY:
         return "L0"
-    if policy == "raw":
-        return "L0"
-    level = next((name for hours, name in POLICIES[policy] if end - start <= hours * HOUR), "L4")
-    if function in RATE_LIKE and level != "L0":
-        return f"L{int(level[1]) - 1}"
-    return level
+    level = next((name for hours, name in POLICIES[policy] if (end - start) // HOUR <= hours), "L4")
+    return f"L{max(0, int(level[1]) - 1)}" if function in RATE_LIKE else level
+
+
+def level_column(span_ms: Column, policy: str = "auto", function: str | None = None) -> Column:
+    """``level_by_policy`` for a column of ranges."""
+    if policy == "raw" or function in RAW_ONLY:
+        return F.lit("L0")
+    hours, finer = F.floor(span_ms / HOUR), int(function in RATE_LIKE)
+    out = F.when(F.lit(False), F.lit(""))
+    for most, name in POLICIES[policy]:
+        out = out.when(hours <= most, f"L{max(0, int(name[1]) - finer)}")
+    return out.otherwise(f"L{4 - finer}")
+
+
+def _last_value() -> Column:
+    return F.max_by("value", order())
+
+
+def _least(value: str = "value") -> Column:
+    """The least value that is a number; of nothing else the largest double, as an aggregation gives."""
+    return F.coalesce(F.min(F.when(~F.isnan(value), F.col(value))), F.lit(LARGEST))
+
+
+def _greatest(value: str = "value") -> Column:
+    return F.coalesce(F.max(F.when(~F.isnan(value), F.col(value))), F.lit(-LARGEST))
 
 
 def bucket(ts: Column | str, resolution: int) -> Column:
@@ -59,13 +81,16 @@ def downsample(samples: DataFrame, level: str = "L1", resolution: int | None = N
 
 
 def rollup(samples: DataFrame, level: str = "L1", resolution: int | None = None) -> DataFrame:
-    """(series_id, metric, labels, level, bucket, min, max, avg, sum, count, last, first_ts, last_ts)."""
+    """(series_id, metric, labels, level, bucket, min, max, avg, sum, count, last, first_ts, last_ts).
+
+    min and max pass over NaN.
+    """
     resolution = LEVELS[level][0] if resolution is None else resolution
     if not resolution:
         raise ValueError("L0 has no windows")
-    rows = samples.withColumn("bucket", bucket("ts", resolution)).groupBy("series_id", "bucket")
+    rows = samples.withColumn("bucket", bucket("ts", resolution)).groupBy("series_id", "metric", "labels", "bucket")
     return rows.agg(
-        F.first("metric").alias("metric"), F.first("labels").alias("labels"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("avg"), F.sum("value").alias("sum"),
+        _least().alias("min"), _greatest().alias("max"), F.avg("value").alias("avg"), F.sum("value").alias("sum"),
         F.count(F.lit(1)).alias("count"), F.max_by("value", order()).alias("last"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
     ).select("series_id", "metric", "labels", F.lit(level).alias("level"), "bucket", "min", "max", "avg", "sum", "count", "last", "first_ts", "last_ts")
 
@@ -73,9 +98,9 @@ def rollup(samples: DataFrame, level: str = "L1", resolution: int | None = None)
 def rollup_again(finer: DataFrame, level: str) -> DataFrame:
     """A coarser rollup from a finer one: means from sums and counts, not from means."""
     resolution = LEVELS[level][0]
-    rows = finer.withColumn("bucket", bucket("bucket", resolution)).groupBy("series_id", "bucket")
+    rows = finer.withColumn("bucket", bucket("bucket", resolution)).groupBy("series_id", "metric", "labels", "bucket")
     return rows.agg(
-        F.first("metric").alias("metric"), F.first("labels").alias("labels"), F.min("min").alias("min"), F.max("max").alias("max"), (F.sum("sum") / F.sum("count")).alias("avg"), F.sum("sum").alias("sum"),
+        _least("min").alias("min"), _greatest("max").alias("max"), (F.sum("sum") / F.sum("count")).alias("avg"), F.sum("sum").alias("sum"),
         F.sum("count").alias("count"), F.max_by("last", "last_ts").alias("last"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
     ).select("series_id", "metric", "labels", F.lit(level).alias("level"), "bucket", "min", "max", "avg", "sum", "count", "last", "first_ts", "last_ts")
 

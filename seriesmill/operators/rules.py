@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, is_dataclass
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -148,23 +148,67 @@ def from_template(severity: str, name: str, expr: str, condition: str) -> Rule:
 
 # --- queries by frequency, and pre-aggregates that answer them
 
+_CONSTANTS = "true|false|inf|nan"
 _WORDS = "by|without|on|ignoring|offset|bool|group_left|group_right|and|or|unless"
 
 
 def normalise(query: str) -> str:
-    """A query's shape: white space collapsed, durations and numbers named, matchers in order of label."""
+    """A query's shape: white space collapsed, durations named, matchers in order of label, constants in capitals."""
     text = re.sub(r"\s+", " ", query.strip())
     text = re.sub(r"\{([^}]*)\}", lambda m: "{" + ",".join(sorted(p.strip() for p in m.group(1).split(",") if p.strip())) + "}", text)
     text = re.sub(r"\[[^\]]*\]", "[DURATION]", text)
     text = re.sub(r"\boffset\s+-?\w+", "offset DURATION", text, flags=re.I)
-    return re.sub(rf"\b({_WORDS})\b", lambda m: m.group(1).lower(), text, flags=re.I)
+    text = re.sub(rf"\b({_WORDS})\b", lambda m: m.group(1).lower(), text, flags=re.I)
+    return re.sub(rf"\b({_CONSTANTS})\b", lambda m: m.group(1).upper(), text)
 
 
 def normalised(query: Column | str) -> Column:
-    """``normalise`` for a column of queries, but for the order of matchers."""
+    """``normalise`` for a column of queries."""
     col = F.col(query) if isinstance(query, str) else query
     text = F.regexp_replace(F.trim(F.regexp_replace(col, r"\s+", " ")), r"\[[^\]]*\]", "[DURATION]")
-    return F.regexp_replace(text, r"(?i)\boffset\s+-?\w+", "offset DURATION")
+    # pieces between and within braces, the latter's matchers sorted
+    between, within = F.split(text, r"\{[^}]*\}", -1), F.regexp_extract_all(text, F.lit(r"\{([^}]*)\}"), F.lit(1))
+    matchers = F.transform(within, lambda w: F.concat(F.lit("{"), F.array_join(F.array_sort(F.filter(F.transform(F.split(w, ","), lambda m: F.trim(m)), lambda m: m != "")), ","), F.lit("}")))
+    text = F.array_join(F.zip_with(between, matchers, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    text = F.regexp_replace(text, r"(?i)\boffset\s+-?\w+", "offset DURATION")
+    for word in (*_WORDS.split("|"), *_CONSTANTS.split("|")):
+        capital = word in _CONSTANTS.split("|")
+        text = F.regexp_replace(text, rf"\b{word}\b" if capital else rf"(?i)\b{word}\b", word.upper() if capital else word)
+    return text
+
+
+@dataclass(frozen=True)
+class Pattern:
+    """What a query is made of: its shape, whether it aggregates, sums, takes rates, its metrics and label conditions."""
+
+    query: str
+    aggregates: bool
+    rates: bool
+    sums: bool
+    metrics: tuple[str, ...]
+    conditions: tuple[tuple[str, str, str], ...]
+
+
+def pattern_of(query: str) -> Pattern:
+    """The pattern of a query, from its syntax tree.  A query that can't be parsed is an error."""
+    from ..plans.parser import Aggregation, Call, Selector, parse
+
+    aggregates = rates = sums = False
+    metrics: list[str] = []
+    conditions: list[tuple[str, str, str]] = []
+    todo = [parse(query)]
+    while todo:
+        e = todo.pop(0)
+        if isinstance(e, Aggregation):
+            aggregates, sums = True, sums or e.op == "sum"
+        elif isinstance(e, Call):
+            rates = rates or e.name.lower() in ("rate", "irate", "increase")
+        elif isinstance(e, Selector):
+            metrics += [e.metric] if e.metric else []
+            conditions += [(m.label, m.op, m.value) for m in e.matchers]
+        children = [getattr(e, name, None) for name in ("param", "expr", "left", "right")]
+        todo = [x for x in children if is_dataclass(x)] + list(getattr(e, "args", ())) + todo
+    return Pattern(normalise(query), aggregates, rates, sums, tuple(dict.fromkeys(metrics)), tuple(dict.fromkeys(conditions)))
 
 
 def frequencies(log: DataFrame, now: int, window_ms: int = 86_400_000, threshold: int = 20) -> DataFrame:

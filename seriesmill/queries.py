@@ -16,7 +16,8 @@ from .operators import analytics, binary, histogram, metadata, rollup, rules
 from .operators import over_time as ot
 from .operators import select as sel
 from .operators.select import Matcher
-from .plans.compile import evaluate
+from .plans.compile import evaluate, evaluate_range
+from .plans.natural import to_query
 from .sources import documents, store, text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,10 +75,8 @@ def expression(name: str, expr: str, sql: str, *labels: str, source: Query = bot
 
 
 def per_sample(name: str, expr: str, sql: str, *labels: str) -> None:
-    """A query of A..B, as its SQL is; and over all samples as NAME_whole, whose SQL lacks the condition on time."""
-    expression(name, expr, sql, *labels, start=A, end=B)
-    everywhere = sql.removesuffix(f"ts BETWEEN {A} AND {B}").removesuffix(" WHERE ").removesuffix(" AND ")
-    expression(f"{name}_whole", expr, everywhere, *labels)
+    """A function of each sample, over all samples."""
+    expression(name, expr, sql, *labels)
 
 
 # --- flagship: the daily mean of each series, summed by type
@@ -88,15 +87,15 @@ expression(
 
 # --- scans and selection
 expression("s1_series_lookup", 'events_value{event_type="click", user_id="7"}', f"WITH {BASE} SELECT event_type, user_id, ts, round(value, 6) AS value FROM s WHERE event_type = 'click' AND user_id = '7' AND ts BETWEEN {START} AND {END}", "event_type", "user_id")
-expression("s2_time_range", "events_value", f"WITH {BASE} SELECT event_type, user_id, ts, round(value, 6) AS value FROM s WHERE ts BETWEEN {A} AND {B}", "event_type", "user_id", start=A, end=B)
+expression("s2_time_range", "events_value", f"WITH {BASE} SELECT event_type, user_id, ts, round(value, 6) AS value FROM s", "event_type", "user_id", start=A, end=B)
 expression("s3_scan_rollup", "events_value", f"WITH {BASE} SELECT event_type, user_id, ts - ts % 300000 AS ts, round(avg(value), 6) AS value FROM s WHERE ts BETWEEN {A} AND {B} GROUP BY 1, 2, 3", "event_type", "user_id", start=A, end=B, rollup="auto")
 
 
 @query("s4_whole_series", f"WITH {BASE} SELECT event_type, ts, round(value, 6) AS value FROM s WHERE event_type = 'view'")
 def _(spark, d):
     rows = by_type(spark, d)
-    wanted = sel.match(rows, Matcher("event_type", "=", "view"))
-    return flat(wanted, "event_type")
+    wanted = rows.where(F.col("labels")["event_type"] == "view").select("series_id").first()
+    return flat(sel.series(rows, wanted[0] if wanted else 0), "event_type")
 
 
 @query("s7_rollup_function", f"WITH {BASE} SELECT event_type, ts - ts % 3600000 AS ts, round(arg_max(value, (ts, seq)), 6) AS value FROM s GROUP BY 1, 2")
@@ -121,7 +120,7 @@ for _name, _matcher, _where in (
     ("f5_match_not_regex", 'event_type!~"click|v.*"', "NOT regexp_full_match(event_type, 'click|v.*')"),
     ("f6_matchers", 'event_type=~"[cp].*", user_id!="3", job=""', "regexp_full_match(event_type, '[cp].*') AND user_id <> '3'"),
 ):
-    per_sample(_name, f"events_value{{{_matcher}}}", f"WITH {BASE} SELECT event_type, user_id, ts, round(value, 6) AS value FROM s WHERE {_where} AND ts BETWEEN {A} AND {B}", "event_type", "user_id")
+    per_sample(_name, f"events_value{{{_matcher}}}", f"WITH {BASE} SELECT event_type, user_id, ts, round(value, 6) AS value FROM s WHERE {_where}", "event_type", "user_id")
 
 expression("f7_matrix", 'count_over_time(events_value{event_type="click"}[36h])', f"WITH {BASE} SELECT event_type, user_id, {B}::BIGINT AS ts, round(count(*)::DOUBLE, 6) AS value FROM s WHERE event_type = 'click' AND ts > {B} - 129600000 AND ts <= {B} GROUP BY 1, 2", "event_type", "user_id", start=B, end=B)
 expression("f8_offset", "events_value offset 1d", f"WITH {BASE} SELECT event_type, user_id, ts, round(value, 6) AS value FROM s WHERE ts BETWEEN {A - DAY} AND {B - DAY}", "event_type", "user_id", start=A, end=B)
@@ -140,6 +139,25 @@ expression(
 )
 
 
+_GRID = f"g AS (SELECT unnest(range({B} - 5 * {DAY}, {B} + 1, {DAY})) AS t)"
+expression(
+    "f10_subquery_of_rates", "max_over_time(sum by (event_type) (increase(events_value[2d]))[5d:1d])",
+    f"""WITH {BASE}, {_GRID}, i AS (SELECT event_type, user_id, t, max(ts) AS ts, arg_max(value, (ts, seq)) - arg_min(value, (ts, seq)) AS value FROM g JOIN s ON ts > t - 2 * {DAY} AND ts <= t GROUP BY 1, 2, 3 HAVING max(ts) > min(ts)),
+        x AS (SELECT event_type, t, ts, sum(value) AS value FROM i GROUP BY 1, 2, 3) SELECT event_type, {B}::BIGINT AS ts, round(max(value), 6) AS value FROM x GROUP BY 1""",
+    "event_type", start=B, end=B,
+)
+expression(
+    "f10_subquery_of_means", "avg_over_time(avg_over_time(events_value[36h])[5d:1d])",
+    f"WITH {BASE}, {_GRID}, i AS (SELECT event_type, user_id, t, avg(value) AS value FROM g JOIN s ON ts > t - 129600000 AND ts <= t GROUP BY 1, 2, 3) SELECT event_type, user_id, {B}::BIGINT AS ts, round(avg(value), 6) AS value FROM i GROUP BY 1, 2",
+    "event_type", "user_id", start=B, end=B,
+)
+
+
+@query("f15_range_query", f"WITH {BASE} SELECT event_type, ts, round(sum(value), 6) AS value FROM s WHERE ts BETWEEN {START} AND {START + 30 * DAY} GROUP BY 1, 2")
+def _(spark, d):
+    return flat(evaluate_range("sum by (event_type) (events_value)", partial(both, spark, d), START, START + 30 * DAY, 60_000), "event_type")
+
+
 @query("f11_compare", f"WITH {BASE} SELECT event_type, value > 50 AS matches, count(*) AS n FROM s GROUP BY ALL")
 def _(spark, d):
     return sel.compare(both(spark, d), ">", 50.0).groupBy(F.col("labels")["event_type"].alias("event_type"), "matches").agg(F.count("*").alias("n"))
@@ -201,11 +219,36 @@ def _(spark, d):
     return flat(binary.vector_vector(rows, total, "/", on=["user_id"], group="left"), "event_type", "user_id")
 
 
-per_sample("j5_vector_scalar", 'events_value{event_type="view"} * 2 + 1', f"WITH {BASE} SELECT user_id, ts, round(value * 2 + 1, 6) AS value FROM s WHERE event_type = 'view' AND ts BETWEEN {A} AND {B}", "user_id")
-per_sample("j9_power", 'events_value{event_type="view"} ^ 2', f"WITH {BASE} SELECT user_id, ts, round(value ^ 2, 6) AS value FROM s WHERE event_type = 'view' AND ts BETWEEN {A} AND {B}", "user_id")
-per_sample("j10_filter", "events_value > 75", f"WITH {BASE} SELECT event_type, user_id, ts, round(value, 6) AS value FROM s WHERE value > 75 AND ts BETWEEN {A} AND {B}", "event_type", "user_id")
-per_sample("j10_bool", "events_value > bool 75", f"WITH {BASE} SELECT event_type, user_id, ts, CASE WHEN value > 75 THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM s WHERE ts BETWEEN {A} AND {B}", "event_type", "user_id")
-per_sample("j11_negate", "-events_value", f"WITH {BASE} SELECT event_type, user_id, ts, round(-value, 6) AS value FROM s WHERE ts BETWEEN {A} AND {B}", "event_type", "user_id")
+per_sample("j5_vector_scalar", 'events_value{event_type="view"} * 2 + 1', f"WITH {BASE} SELECT user_id, ts, round(value * 2 + 1, 6) AS value FROM s WHERE event_type = 'view'", "user_id")
+@query("j4_group_right", f"WITH {DAILY}, t AS (SELECT user_id, ts, sum(value) AS total, count(*)::VARCHAR AS kinds FROM d GROUP BY ALL) SELECT event_type, user_id, kinds, ts, round(total - value, 6) AS value FROM d JOIN t USING (user_id, ts)")
+def _(spark, d):
+    """The one side on the left, one of its labels copied to the many."""
+    rows = daily(spark, d)
+    kinds = agg.aggregate(rows, "count", by=["user_id"]).select(F.col("labels")["user_id"].alias("u"), "ts", F.col("value").cast("int").cast("string").alias("kinds"))
+    total = agg.aggregate(rows, "sum", by=["user_id"])
+    one = total.join(kinds, (F.col("labels")["user_id"] == F.col("u")) & (total["ts"] == kinds["ts"])).select(*(total[c] for c in model.COLUMNS), "kinds")
+    one = one.withColumn("labels", F.map_concat("labels", F.create_map(F.lit("kinds"), "kinds"))).select(model.COLUMNS)
+    return flat(binary.vector_vector(one, rows, "-", on=["user_id"], group="right", include=("kinds",)), "event_type", "user_id", "kinds")
+
+
+@query("j2_positional", f"WITH {DAILY}, n AS (SELECT *, dense_rank() OVER (PARTITION BY event_type ORDER BY user_id) AS k FROM d WHERE event_type IN ('click', 'view')) SELECT a.user_id, a.ts, round(a.value + b.value, 6) AS value FROM n a JOIN n b ON a.k = b.k AND a.ts = b.ts WHERE a.event_type = 'click' AND b.event_type = 'view'")
+def _(spark, d):
+    rows = daily(spark, d)
+    sides = (sel.match(rows, Matcher("event_type", "=", t)) for t in ("click", "view"))
+    return flat(binary.positional(*sides, "+"), "user_id")
+
+
+_MEAN = "scalar(avg(avg_over_time(events_value[31d] @ end())))"
+SERIES_MEAN = f"{BASE}, o AS (SELECT avg(v) AS m FROM (SELECT avg(value) AS v FROM s WHERE ts > {END - 31 * DAY} AND ts <= {END} GROUP BY event_type, user_id))"
+expression("j5_scalar_left", f"{_MEAN} * events_value", f"WITH {SERIES_MEAN} SELECT event_type, user_id, ts, round(m * value, 6) AS value FROM s, o", "event_type", "user_id")
+expression("j5_scalar_nested", f"events_value * ({_MEAN} + 1) - -{_MEAN}", f"WITH {SERIES_MEAN} SELECT event_type, user_id, ts, round(value * (m + 1) + m, 6) AS value FROM s, o", "event_type", "user_id")
+expression("j10_scalar_filter", f"events_value > {_MEAN}", f"WITH {SERIES_MEAN} SELECT event_type, user_id, ts, round(value, 6) AS value FROM s, o WHERE value > m", "event_type", "user_id")
+expression("j10_scalar_filter_left", f"{_MEAN} >= events_value", f"WITH {SERIES_MEAN} SELECT event_type, user_id, ts, round(value, 6) AS value FROM s, o WHERE m >= value", "event_type", "user_id")
+expression("j10_scalar_bool", f"events_value < bool {_MEAN}", f"WITH {SERIES_MEAN} SELECT event_type, user_id, ts, CASE WHEN value < m THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM s, o", "event_type", "user_id")
+per_sample("j9_power", 'events_value{event_type="view"} ^ 2', f"WITH {BASE} SELECT user_id, ts, round(value ^ 2, 6) AS value FROM s WHERE event_type = 'view'", "user_id")
+per_sample("j10_filter", "events_value > 75", f"WITH {BASE} SELECT event_type, user_id, ts, round(value, 6) AS value FROM s WHERE value > 75", "event_type", "user_id")
+per_sample("j10_bool", "events_value > bool 75", f"WITH {BASE} SELECT event_type, user_id, ts, CASE WHEN value > 75 THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM s", "event_type", "user_id")
+per_sample("j11_negate", "-events_value", f"WITH {BASE} SELECT event_type, user_id, ts, round(-value, 6) AS value FROM s", "event_type", "user_id")
 
 
 @query("j12_array_arithmetic", "SELECT vec_id, round(list_sum(list_transform(list_zip(embedding, embedding[2:]), lambda z: CASE WHEN z[2] IS NULL THEN 0 ELSE z[1]::DOUBLE * z[2]::DOUBLE END)), 6) AS value FROM embeddings")
@@ -304,7 +347,10 @@ expression(
 )
 
 
-@query("r11_absent_over_time", f"WITH {BASE}, k AS (SELECT DISTINCT event_type, user_id FROM s) SELECT event_type, user_id, {A}::BIGINT AS ts, 1.0::DOUBLE AS value FROM k ANTI JOIN (SELECT * FROM s WHERE ts > {A} - 86400000 AND ts <= {A}) USING (event_type, user_id)")
+expression("r11_absent_over_time", "absent_over_time(events_value[1d])", f"WITH {BASE}, k AS (SELECT DISTINCT event_type, user_id FROM s) SELECT event_type, user_id, {A}::BIGINT AS ts, 1.0::DOUBLE AS value FROM k ANTI JOIN (SELECT * FROM s WHERE ts > {A} - 86400000 AND ts <= {A}) USING (event_type, user_id)", "event_type", "user_id", start=A, end=A)
+
+
+@query("r11_absent_of_known", f"WITH {BASE}, k AS (SELECT DISTINCT event_type, user_id FROM s) SELECT event_type, user_id, {A}::BIGINT AS ts, 1.0::DOUBLE AS value FROM k ANTI JOIN (SELECT * FROM s WHERE ts > {A} - 86400000 AND ts <= {A}) USING (event_type, user_id)")
 def _(spark, d):
     rows = both(spark, d)
     return flat(ot.absent_over_time(rows, evaluate("events_value[1d]", rows, A), A), "event_type", "user_id")
@@ -345,7 +391,7 @@ def _(spark, d):
 
 # --- functions of values
 def _math(name: str, call: str, sql: str) -> None:
-    per_sample(name, call, f"WITH {BASE} SELECT event_type, user_id, ts, round({sql}, 6) AS value FROM s WHERE ts BETWEEN {A} AND {B}", "event_type", "user_id")
+    per_sample(name, call, f"WITH {BASE} SELECT event_type, user_id, ts, round({sql}, 6) AS value FROM s", "event_type", "user_id")
 
 
 for _name, _call, _sql in (
@@ -383,53 +429,43 @@ def _(spark, d):
     return flat(histogram.nearest_rank(both(spark, d)), "event_type", "user_id")
 
 
-def sorted_series(spark: SparkSession, d: str) -> DataFrame:
-    """Every series by its first value, greatest first, with its place.
-
-    Numbered by one count per partition of the sorted rows; series of equal value are ordered by their labels.
-    """
-    first = both(spark, d).groupBy("series_id").agg(F.first("metric").alias("metric"), F.first("labels").alias("labels"), F.min_by("value", model.order()).alias("value"), F.lit(0).cast("long").alias("ts"), F.lit(0).cast("long").alias("seq"))
-    rows = flat(fn.sort(first, descending=True), "event_type", "user_id", value=F.col("value"))
-    numbered = rows.rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + 1)).toDF("event_type string, user_id string, ts long, value double, at long")
-    # fn.sort orders equal values by series id
+def sorted_series(spark: SparkSession, d: str, descending: bool) -> DataFrame:
+    """Every series by its first value, with its place: fn.sort's rows numbered by one count for each of their partitions."""
+    first = both(spark, d).groupBy("series_id", "metric", "labels").agg(F.min_by("value", model.order()).alias("value"))
+    rows = fn.sort(first.withColumns({"ts": F.lit(0).cast("long"), "seq": F.lit(0).cast("long")}), descending)
+    numbered = rows.withColumn("at", F.monotonically_increasing_id())
+    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    # the place of the first row of a partition: rows of all partitions before, one row a partition
+    counts = numbered.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    placed = numbered.withColumn("p", part).withColumn("row", row).join(before, "p").withColumn("at", F.col("before") + F.col("row") + 1)
+    # fn.sort orders equal values by series id, the SQL by labels
     among = Window.partitionBy("value")
-    place = F.min("at").over(among) + F.row_number().over(among.orderBy("event_type", "user_id")) - 1
-    return numbered.select("event_type", "user_id", rounded(), place.cast("long").alias("place"))
-
-
-@query("m14_sort", f"WITH {BASE} SELECT event_type, user_id, round(arg_min(value, (ts, seq)), 6) AS value, row_number() OVER (ORDER BY arg_min(value, (ts, seq)) DESC, event_type, user_id) AS place FROM s GROUP BY 1, 2 QUALIFY place <= 20")
-def _(spark, d):
-    return sorted_series(spark, d).where("place <= 20")
+    place = F.min("at").over(among) + F.row_number().over(among.orderBy(F.col("labels")["event_type"], F.col("labels")["user_id"])) - 1
+    return placed.select(*(F.col("labels")[n].alias(n) for n in ("event_type", "user_id")), rounded(), place.cast("long").alias("place"))
 
 
-@query("m14_sort_whole", f"WITH {BASE} SELECT event_type, user_id, round(arg_min(value, (ts, seq)), 6) AS value, row_number() OVER (ORDER BY arg_min(value, (ts, seq)) DESC, event_type, user_id) AS place FROM s GROUP BY 1, 2")
-def _(spark, d):
-    return sorted_series(spark, d)
+for _name, _order in (("m14_sort", "ASC"), ("m14_sort_desc", "DESC")):
+    query(_name, f"WITH {BASE} SELECT event_type, user_id, round(arg_min(value, (ts, seq)), 6) AS value, row_number() OVER (ORDER BY arg_min(value, (ts, seq)) {_order}, event_type, user_id) AS place FROM s GROUP BY 1, 2")(partial(sorted_series, descending=_order == "DESC"))
 
 
 expression("m15_absent", 'absent(events_value{event_type="none"})', f"SELECT {A}::BIGINT AS ts, 1.0::DOUBLE AS value", start=A, end=B)
-per_sample("label_replace", 'label_replace(events_value, "kind", "$1-x", "event_type", "(c.*|v).*")', f"WITH {BASE} SELECT CASE WHEN regexp_full_match(event_type, '(c.*|v).*') THEN regexp_extract(event_type, '^(c.*|v).*$', 1) || '-x' END AS kind, event_type, user_id, ts, round(value, 6) AS value FROM s WHERE ts BETWEEN {A} AND {B}", "kind", "event_type", "user_id")
-per_sample("label_join", 'label_join(events_value, "both", "/", "event_type", "user_id")', f"WITH {BASE} SELECT event_type || '/' || user_id AS both, ts, round(value, 6) AS value FROM s WHERE ts BETWEEN {A} AND {B}", "both")
+per_sample("label_replace", 'label_replace(events_value, "kind", "$1-x", "event_type", "(c.*|v).*")', f"WITH {BASE} SELECT CASE WHEN regexp_full_match(event_type, '(c.*|v).*') THEN regexp_extract(event_type, '^(c.*|v).*$', 1) || '-x' END AS kind, event_type, user_id, ts, round(value, 6) AS value FROM s", "kind", "event_type", "user_id")
+per_sample("label_join", 'label_join(events_value, "both", "/", "event_type", "user_id")', f"WITH {BASE} SELECT event_type || '/' || user_id AS both, ts, round(value, 6) AS value FROM s", "both")
 expression("date_time", "vector(time())", f"SELECT {A}::BIGINT AS ts, {A // 1000}::DOUBLE AS value", start=A, end=A)
-per_sample("date_timestamp", "timestamp(events_value)", f"WITH {BASE} SELECT event_type, user_id, ts, round(ts / 1000.0::DOUBLE, 6) AS value FROM s WHERE ts BETWEEN {A} AND {B}", "event_type", "user_id")
+per_sample("date_timestamp", "timestamp(events_value)", f"WITH {BASE} SELECT event_type, user_id, ts, round(ts / 1000.0::DOUBLE, 6) AS value FROM s", "event_type", "user_id")
 for _name, _sql in {"day_of_month": "day(t)", "day_of_week": "dayofweek(t)", "day_of_year": "dayofyear(t)", "days_in_month": "day(last_day(t))", "hour": "hour(t)", "minute": "minute(t)", "month": "month(t)", "year": "year(t)"}.items():
-    per_sample(f"date_{_name}", f"{_name}(timestamp(events_value))", f"WITH {BASE} SELECT event_type, user_id, ts, ({_sql})::DOUBLE AS value FROM (SELECT *, make_timestamp((ts // 1000) * 1000000) AS t FROM s) WHERE ts BETWEEN {A} AND {B}", "event_type", "user_id")
+    per_sample(f"date_{_name}", f"{_name}(timestamp(events_value))", f"WITH {BASE} SELECT event_type, user_id, ts, ({_sql})::DOUBLE AS value FROM (SELECT *, make_timestamp((ts // 1000) * 1000000) AS t FROM s)", "event_type", "user_id")
 
 
 # --- sets
 def users(spark, d) -> tuple[DataFrame, DataFrame]:
-    rows = rollup.downsample(model.events(spark, d, ("user_id",)), "L4")
-    return sel.time_range(rows, START, START + 4 * DAY), sel.time_range(rows, START + 3 * DAY, START + 9 * DAY)
-
-
-def all_users(spark, d) -> tuple[DataFrame, DataFrame]:
     """All days and users, dealt to two sides that share most users: ids that end in 1 are on the right only, in 2 on the left only."""
     rows = rollup.downsample(model.events(spark, d, ("user_id",)), "L4")
     return sel.match(rows, Matcher("user_id", "!~", ".*1")), sel.match(rows, Matcher("user_id", "!~", ".*2"))
 
 
-SETS = f"{BASE}, u AS (SELECT user_id, ts - ts % {DAY} AS ts, avg(value) AS value FROM s GROUP BY ALL), l AS (SELECT * FROM u WHERE ts <= {START + 4 * DAY}), r AS (SELECT * FROM u WHERE ts BETWEEN {START + 3 * DAY} AND {START + 9 * DAY})"
-SETS_WHOLE = f"{BASE}, u AS (SELECT user_id, ts - ts % {DAY} AS ts, avg(value) AS value FROM s GROUP BY ALL), l AS (SELECT * FROM u WHERE user_id NOT LIKE '%1'), r AS (SELECT * FROM u WHERE user_id NOT LIKE '%2')"
+SETS = f"{BASE}, u AS (SELECT user_id, ts - ts % {DAY} AS ts, avg(value) AS value FROM s GROUP BY ALL), l AS (SELECT * FROM u WHERE user_id NOT LIKE '%1'), r AS (SELECT * FROM u WHERE user_id NOT LIKE '%2')"
 for _name, _fn, _sql in (
     ("u1_and", binary.and_, "SELECT * FROM l WHERE user_id IN (SELECT user_id FROM r)"),
     ("u2_or", binary.or_, "SELECT * FROM l UNION ALL SELECT * FROM r WHERE user_id NOT IN (SELECT user_id FROM l)"),
@@ -437,11 +473,10 @@ for _name, _fn, _sql in (
     ("u6_merge", binary.merge, "SELECT * FROM l UNION SELECT * FROM r"),
 ):
 
-    def _sets(spark, d, op=_fn, sides=users):
-        return flat(op(*sides(spark, d)), "user_id")
+    def _sets(spark, d, op=_fn):
+        return flat(op(*users(spark, d)), "user_id")
 
     query(_name, f"WITH {SETS} SELECT user_id, ts, round(value, 6) AS value FROM ({_sql})")(_sets)
-    query(f"{_name}_whole", f"WITH {SETS_WHOLE} SELECT user_id, ts, round(value, 6) AS value FROM ({_sql})")(partial(_sets, sides=all_users))
 
 
 @query("u1_and_by_time", f"WITH {SETS} SELECT user_id, ts, round(value, 6) AS value FROM l WHERE (user_id, ts) IN (SELECT (user_id, ts) FROM r)")
@@ -449,11 +484,6 @@ def _(spark, d):
     return flat(binary.and_(*users(spark, d), by_time=True), "user_id")
 
 
-@query("u1_and_by_time_whole", f"WITH {SETS_WHOLE} SELECT user_id, ts, round(value, 6) AS value FROM l WHERE (user_id, ts) IN (SELECT (user_id, ts) FROM r)")
-def _(spark, d):
-    return flat(binary.and_(*all_users(spark, d), by_time=True), "user_id")
-
-
 # --- what there is
 @query("l4_label_names", "SELECT unnest(['__name__', 'event_type', 'user_id']) AS name")
 def _(spark, d):
@@ -480,6 +510,18 @@ def _(spark, d):
     return metadata.metadata(both(spark, d))
 
 
+@query("l3_limit", "SELECT 'events_value' AS metric, 'gauge' AS type UNION ALL SELECT 'lineitem_l_quantity', 'gauge'")
+def _(spark, d):
+    return metadata.metadata(both(spark, d).unionByName(model.lineitem(spark, d)).unionByName(model.orders(spark, d)), limit=2)
+
+
+@query("l9_matrix_result", f"WITH {BASE} SELECT event_type, user_id, ts - ts % {DAY} AS day, count(*) AS n, round(sum(value), 6) AS total, min(ts) AS first_ts, round(arg_max(value, (ts, seq)), 6) AS last FROM s GROUP BY 1, 2, 3")
+def _(spark, d):
+    rows = metadata.matrix_result(both(spark, d))
+    total = F.aggregate("samples", F.lit(0.0), lambda a, p: a + p["value"])
+    return rows.select(*(F.col("labels")[n].alias(n) for n in ("event_type", "user_id")), (F.col("chunk") * DAY).alias("day"), F.size("samples").cast("long").alias("n"), rounded(total, name="total"), F.col("samples")[0]["ts"].alias("first_ts"), rounded(F.element_at("samples", -1)["value"], name="last"))
+
+
 @query("l9_instant_result", f"WITH {BASE} SELECT event_type, user_id, min(ts) AS ts, CASE WHEN v = floor(v) THEN printf('%.0f', v) ELSE regexp_replace(printf('%.6f', v), '\\.?0+$', '') END AS value FROM (SELECT event_type, user_id, min(ts) AS ts, min((ts, value)) AS m, m[2] AS v FROM s GROUP BY 1, 2) GROUP BY 1, 2, v")
 def _(spark, d):
     return metadata.instant_result(both(spark, d)).select(F.col("labels")["event_type"].alias("event_type"), F.col("labels")["user_id"].alias("user_id"), "ts", "value")
@@ -495,6 +537,14 @@ def _rolled(df: DataFrame) -> DataFrame:
     return df.select(*(F.col("labels")[n].alias(n) for n in ("event_type", "user_id")), "bucket", *(rounded(c, name=c) for c in ("min", "max", "avg", "sum")), "count", rounded("last", name="last"), "first_ts", "last_ts")
 
 
+@query("d2_rollup_nan", f"WITH {BASE}, v AS (SELECT *, CASE WHEN value > 40 THEN 'nan'::DOUBLE ELSE value END AS w FROM s) SELECT event_type, user_id, ts - ts % {DAY} AS bucket, coalesce(min(w) FILTER (NOT isnan(w)), 1.7976931348623157e308) AS min, coalesce(max(w) FILTER (NOT isnan(w)), -1.7976931348623157e308) AS max, count(*) AS count FROM v GROUP BY 1, 2, 3")
+def _(spark, d):
+    """min and max pass over NaN, in both kinds of rollup."""
+    rows = both(spark, d).withColumn("value", F.when(F.col("value") > 40, F.lit(float("nan"))).otherwise(F.col("value")))
+    rolled = rollup.rollup_again(rollup.rollup(rows, "L3"), "L4")
+    return rolled.select(*(F.col("labels")[n].alias(n) for n in ("event_type", "user_id")), "bucket", "min", "max", "count")
+
+
 @query("d8_rollup_of_rollup", f"WITH {BASE} SELECT event_type, user_id, ts - ts % {DAY} AS bucket, round(min(value), 6) AS min, round(max(value), 6) AS max, round(avg(value), 6) AS avg, round(sum(value), 6) AS sum, count(*) AS count, round(arg_max(value, (ts, seq)), 6) AS last, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY 1, 2, 3")
 def _(spark, d):
     return _rolled(rollup.rollup_again(rollup.rollup(both(spark, d), "L3"), "L4"))
@@ -542,6 +592,24 @@ def _(spark, d):
     return states.select(F.col("labels")["event_type"].alias("event_type"), "ts", rounded(), "active_at", "state")
 
 
+@query("t6_query_shapes", f"WITH {BASE} SELECT 'sum(x{{a=\"' || user_id || '\",b=\"' || event_type || '\"}}[DURATION]) by (c) > INF' AS query, count(*) AS n FROM s GROUP BY 1")
+def _(spark, d):
+    """White space, order of matchers, durations, keywords and constants don't tell queries apart."""
+    kind, user = F.col("labels")["event_type"], F.col("labels")["user_id"]
+    one = F.concat(F.lit('sum(x{b="'), kind, F.lit('",  a="'), user, F.lit('"}[5m])   BY (c) > inf'))
+    two = F.concat(F.lit(' sum(x{a="'), user, F.lit('", b="'), kind, F.lit('"}[2h]) by (c) > inf'))
+    log = both(spark, d).select(F.when(F.col("seq") % 2 == 0, one).otherwise(two).alias("query"))
+    return log.groupBy(rules.normalised("query").alias("query")).agg(F.count("*").alias("n"))
+
+
+@query("t6_query_patterns", "SELECT * FROM (VALUES (true, true, true, 'a', 'job=api'), (true, false, false, 'b', 'x!~y'), (false, true, false, 'c,d', ''), (false, false, false, 'e', 'k=v')) t(aggregates, rates, sums, metrics, conditions)")
+def _(spark, d):
+    texts = ('sum(rate(a{job="api"}[5m])) by (status)', 'max without (z) (b{x!~"y"})', "irate(c[1h]) / on (q) d", 'e{k="v"} offset 1d > 3')
+    found = [rules.pattern_of(t) for t in texts]
+    rows = [(p.aggregates, p.rates, p.sums, ",".join(p.metrics), ",".join(map("".join, p.conditions))) for p in found]
+    return spark.createDataFrame(rows, "aggregates boolean, rates boolean, sums boolean, metrics string, conditions string")
+
+
 @query("t6_query_frequency", f"WITH {BASE} SELECT event_type || '[DURATION]' AS query, count(*) AS n, max(ts) AS last_ts, count(*) >= 20 AS frequent FROM s WHERE ts > {B} - 86400000 AND ts <= {B} GROUP BY 1")
 def _(spark, d):
     log = both(spark, d).select(F.concat(F.col("labels")["event_type"], F.lit("["), F.col("labels")["user_id"], F.lit("m]")).alias("query"), "ts")
@@ -608,35 +676,72 @@ def _(spark, d):
     return out.select(F.col("labels")["event_type"].alias("event_type"), rounded("slope", 9, "slope"), *(rounded(c, name=c) for c in ("trend", "r2", "zero_crossing_rate", "mad", "rms", "crest", "shape")))
 
 
-@query("y8_features", f"WITH {BASE} SELECT event_type, user_id, count(*) AS count, round(avg(value), 6) AS mean, round(sqrt(avg(value * value)), 6) AS rms FROM s GROUP BY 1, 2 HAVING count(*) >= 10")
-def _(spark, d):
-    out = analytics.features(both(spark, d)).join(metadata.series(both(spark, d)).select("series_id", "labels"), "series_id")
-    return out.select(*(F.col("labels")[n].alias(n) for n in ("event_type", "user_id")), F.col("time.count").alias("count"), rounded("time.mean", name="mean"), rounded("shape.rms", name="rms"))
+STATS = "count(*) AS count, round(min(value), 6) AS min, round(max(value), 6) AS max, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_pop(value), 6) AS std, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99"
 
 
-@query("y4_summary", f"WITH {BASE}, n AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, seq) - 1 AS i FROM s) SELECT event_type, user_id, count(*) AS count, round(median(value), 6) AS median, round(coalesce(regr_slope(value, i), 0), 6) AS slope FROM n GROUP BY 1, 2 HAVING count(*) >= 10")
+@query(
+    "y4_summary",
+    f"""WITH {BASE}, n AS (SELECT *, row_number() OVER w - 1 AS i, ts - lag(ts) OVER w AS step, count(*) OVER (PARTITION BY event_type, user_id) AS c FROM s WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts, seq)),
+        a AS (SELECT event_type, user_id, {STATS}, round(coalesce(regr_slope(value, i), 0), 9) AS slope, round(regr_intercept(value, i), 6) AS intercept, round(CASE WHEN var_pop(value) = 0 THEN 1 ELSE corr(value, i) ^ 2 END, 6) AS r2, CASE WHEN regr_slope(value, i) > 0.001 THEN 'up' WHEN regr_slope(value, i) < -0.001 THEN 'down' ELSE 'stable' END AS direction FROM n WHERE c >= 10 GROUP BY 1, 2),
+        k AS (SELECT event_type, user_id, step, count(*) AS n FROM n WHERE c >= 10 AND step > 0 GROUP BY 1, 2, 3), p AS (SELECT event_type, user_id, arg_max(step, (n, -step)) AS period, round(max(n) / sum(n), 6) AS confidence, max(n) / sum(n) > 0.8 AS periodic FROM k GROUP BY 1, 2)
+        SELECT * FROM a LEFT JOIN p USING (event_type, user_id)""",
+)
 def _(spark, d):
     out = analytics.summary(both(spark, d))
-    return out.select(*(F.col("labels")[n].alias(n) for n in ("event_type", "user_id")), "count", rounded("median", name="median"), rounded("slope", name="slope"))
+    numbers = ("min", "max", "mean", "median", "std", "p25", "p75", "p95", "p99", "intercept", "r2", "confidence")
+    return out.select(*(F.col("labels")[n].alias(n) for n in ("event_type", "user_id")), "count", *(rounded(n, name=n) for n in numbers), rounded("slope", 9, "slope"), "direction", "period", "periodic")
 
 
-@query("d6_level_by_policy", "SELECT unnest(['auto', 'aggressive', 'rate']) AS policy, unnest(['L2', 'L3', 'L1']) AS level")
+@query(
+    "y8_features",
+    f"""WITH {BASE}, n AS (SELECT user_id, value, row_number() OVER w - 1 AS i, lag(value) OVER w AS b, count(*) OVER (PARTITION BY user_id) AS n, avg(value) OVER (PARTITION BY user_id) AS m, row_number() OVER (PARTITION BY user_id ORDER BY value) - 1 AS k FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, seq)),
+        t AS (SELECT user_id, count(*) AS count, round(avg(value), 6) AS mean, round(var_pop(value), 6) AS variance, round(stddev_pop(value), 6) AS std, round(avg((value - m) ^ 3) / stddev_pop(value) ^ 3, 6) AS skewness, round(avg((value - m) ^ 4) / var_pop(value) ^ 2 - 3, 6) AS kurtosis, round(min(value), 6) AS min, round(max(value), 6) AS max, round(median(value), 6) AS median,
+              round(max(value) FILTER (k = n // 4), 6) AS q1, round(max(value) FILTER (k = 3 * n // 4), 6) AS q3, round(max(value) - min(value), 6) AS range, round(sum(value), 6) AS sum,
+              round(regr_slope(value, i), 9) AS slope, round(arg_max(value, i) - arg_min(value, i), 6) AS trend, round(corr(value, i) ^ 2, 6) AS r2, round(sum(CASE WHEN (b >= 0 AND value < 0) OR (b < 0 AND value >= 0) THEN 1.0::DOUBLE ELSE 0 END) / (count(*) - 1), 6) AS zero_crossing_rate,
+              round(avg(abs(value - m)), 6) AS mad, round(sqrt(avg(value * value)), 6) AS rms, round(max(abs(value)) / sqrt(avg(value * value)), 6) AS crest, round(sqrt(avg(value * value)) / avg(abs(value - m)), 6) AS shape FROM n WHERE n >= 10 GROUP BY 1),
+        u AS (SELECT DISTINCT user_id, n FROM n WHERE n >= 10), kk AS (SELECT user_id, unnest(range(0, n // 2)) AS k FROM u WHERE n >= 32),
+        p AS (SELECT kk.user_id, kk.k, sum(value * cos(2 * pi() * ((kk.k * i) % n) / n)) ^ 2 + sum(value * sin(2 * pi() * ((kk.k * i) % n) / n)) ^ 2 AS p FROM kk JOIN n ON kk.user_id = n.user_id GROUP BY 1, 2),
+        tt AS (SELECT *, sum(p) OVER (PARTITION BY user_id) AS total FROM p), c AS (SELECT *, sum(k * p / total) OVER (PARTITION BY user_id) AS c FROM tt),
+        f AS (SELECT user_id, arg_max(k, (p, k))::DOUBLE AS dominant, round(max(c), 6) AS centroid, round(sum((k - c) ^ 2 * p / total), 6) AS spread, round(-sum(CASE WHEN p > 0 THEN p / total * ln(p / total) ELSE 0 END), 6) AS entropy, round(max(total), 2) AS power FROM c GROUP BY 1)
+        SELECT * FROM t LEFT JOIN f USING (user_id)""",
+)
 def _(spark, d):
-    span = (START, START + 100 * rollup.HOUR)
-    levels = (rollup.level_by_policy(*span), rollup.level_by_policy(*span, "aggressive"), rollup.level_by_policy(*span, "auto", "rate"))
-    return spark.createDataFrame(list(zip(("auto", "aggressive", "rate"), levels, strict=True)), "policy string, level string")
+    rows = model.events(spark, d, ("user_id",))
+    out = analytics.features(rows).join(metadata.series(rows).select("series_id", F.col("labels")["user_id"].alias("user_id")), "series_id")
+    fields = {"time": ("mean", "variance", "std", "skewness", "kurtosis", "min", "max", "median", "q1", "q3", "range", "sum"), "shape": ("trend", "r2", "zero_crossing_rate", "mad", "rms", "crest", "shape"), "frequency": ("dominant", "centroid", "spread", "entropy")}
+    numbers = (rounded(f"{part}.{name}", name=name) for part, names in fields.items() for name in names)
+    return out.select("user_id", F.col("time.count").alias("count"), *numbers, rounded("shape.slope", 9, "slope"), rounded("frequency.power", 2, "power"))
 
 
-@query("r15_smoothing_residuals", f"WITH {BASE} SELECT event_type, user_id, ts, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, seq) AS k FROM s) WHERE k <= 2")
+@query("y10_request", f"WITH {DAILY} SELECT event_type, ts, round(avg(value), 6) AS value FROM d GROUP BY 1, 2")
 def _(spark, d):
-    from pyspark.sql.window import Window
+    return flat(evaluate(to_query("What is the average events value by event type?"), daily(spark, d), START, END), "event_type")
+
+
+@query("y10_requests", """SELECT * FROM (VALUES ('average cpu usage by host', 'avg by (host) (cpu_usage)'), ('sum of requests in the last 5 minutes', 'sum_over_time(requests[5m])'), ('cpu usage for the last 5 minutes', 'cpu_usage[5m]'), ('cpu usage greater than 80%', 'cpu_usage > 80'),
+  ('memory usage less than 50%', 'memory_usage < 50'), ('rate of requests per minute for the last 1 hour', 'rate(requests[1h]) * 60000'), ('top 5 cpu usage', 'topk(5, cpu_usage)'), ('95th percentile of latency', 'quantile(0.95, latency)'), ('increase of errors in the last 2 days', 'increase(errors[2d])'), ('show memory usage', 'memory_usage')) t(request, expression)""")
+def _(spark, d):
+    requests = ("average cpu usage by host", "sum of requests in the last 5 minutes", "cpu usage for the last 5 minutes", "cpu usage greater than 80%", "memory usage less than 50%", "rate of requests per minute for the last 1 hour", "top 5 cpu usage", "95th percentile of latency", "increase of errors in the last 2 days", "show memory usage")
+    return spark.createDataFrame([(r, to_query(r)) for r in requests], "request string, expression string")
+
 
-    turn = F.row_number().over(Window.partitionBy("series_id").orderBy("ts", "seq"))
-    return flat(ot.smoothing_residuals(both(spark, d)).withColumn("k", turn).where("k <= 2"), "event_type", "user_id")
+def _levels(bounds: tuple[int, ...], finer: int = 0) -> str:
+    return "CASE " + " ".join(f"WHEN h <= {most} THEN 'L{max(0, k - finer)}'" for k, most in enumerate(bounds)) + f" ELSE 'L{4 - finer}' END"
 
 
 @query(
-    "r15_smoothing_residuals_whole",
+    "d6_level_by_policy",
+    f"""WITH {BASE}, e AS (SELECT event_type, user_id, (max(ts) - min(ts)) // 3600000 AS h FROM s GROUP BY 1, 2)
+        SELECT event_type, user_id, h AS hours, {_levels((1, 24, 168, 720))} AS auto, {_levels((1, 24, 168, 720))} AS conservative, {_levels((1, 12, 72, 336))} AS aggressive, {_levels((1, 24, 168, 720), 1)} AS rate, {_levels((1, 12, 72, 336), 1)} AS increase, 'L0' AS quantile, 'L0' AS raw FROM e""",
+)
+def _(spark, d):
+    spans = both(spark, d).groupBy("series_id", "labels").agg((F.max("ts") - F.min("ts")).alias("span"))
+    levels = {"auto": ("auto", None), "conservative": ("conservative", "sum"), "aggressive": ("aggressive", "avg"), "rate": ("auto", "rate"), "increase": ("aggressive", "increase"), "quantile": ("auto", "quantile"), "raw": ("raw", None)}
+    return spans.select(*(F.col("labels")[n].alias(n) for n in ("event_type", "user_id")), F.floor(F.col("span") / 3_600_000).cast("long").alias("hours"), *(rollup.level_column(F.col("span"), *a).alias(n) for n, a in levels.items()))
+
+
+@query(
+    "r15_smoothing_residuals",
     f"""WITH RECURSIVE {BASE}, n AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, seq) AS k FROM s),
         h AS (SELECT a.event_type, a.user_id, 2::BIGINT AS k, b.ts, b.value AS residual, a.value AS level, b.value - a.value AS trend FROM n a JOIN n b ON a.event_type = b.event_type AND a.user_id = b.user_id AND a.k = 1 AND b.k = 2
               UNION ALL
@@ -648,6 +753,18 @@ def _(spark, d):
     return flat(ot.smoothing_residuals(both(spark, d)), "event_type", "user_id")
 
 
+SMOOTHED = f"""RECURSIVE {BASE}, n AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, seq) AS k, count(*) OVER (PARTITION BY event_type, user_id) AS c FROM s),
+        h AS (SELECT a.event_type, a.user_id, 1::BIGINT AS k, a.ts, a.c, a.value AS level, b.value - a.value AS trend FROM n a JOIN n b ON a.event_type = b.event_type AND a.user_id = b.user_id AND a.k = 1 AND b.k = 2
+              UNION ALL
+              SELECT event_type, user_id, k, ts, c, l, 0.1::DOUBLE * (l - level) + 0.9::DOUBLE * trend FROM (
+                SELECT h.event_type, h.user_id, n.k, n.ts, h.c, 0.3::DOUBLE * n.value + 0.7::DOUBLE * (h.level + h.trend) AS l, h.level, h.trend FROM h JOIN n ON n.event_type = h.event_type AND n.user_id = h.user_id AND n.k = h.k + 1))"""
+
+
+@query("r15_forecast", f"WITH {SMOOTHED} SELECT event_type, user_id, ts, round(level + trend, 6) AS value FROM h WHERE k = c UNION ALL SELECT event_type, user_id, ts, round(value, 6) FROM n WHERE c = 1")
+def _(spark, d):
+    return flat(ot.smoothing_forecast(both(spark, d)), "event_type", "user_id")
+
+
 # --- formats: written and read again
 @query("i2_exposition_round_trip", f"WITH {BASE} SELECT event_type, user_id, ts, round(value, 6) AS value FROM s")
 def _(spark, d):
@@ -677,25 +794,12 @@ def _(spark, d):
     return documents.to_csv(both(spark, d)).withColumn("value", F.round("value", 6))
 
 
-@query("k8_compact", f"WITH {BASE} SELECT event_type, user_id, ts, round(arg_min(value, seq), 6) AS value FROM s GROUP BY 1, 2, 3")
-def _(spark, d):
-    rows = both(spark, d)
-    again = rows.withColumn("seq", F.col("seq") + 1_000_000_000).withColumn("value", F.col("value") + 1)
-    return flat(store.deduplicated(rows.unionByName(again)), "event_type", "user_id")
-
-
 @query("k9_retention", f"WITH {BASE} SELECT event_type, count(*) AS n FROM s WHERE ts >= {END} - 7 * {DAY} GROUP BY 1")
 def _(spark, d):
     return store.retained(both(spark, d), END, 7).groupBy(F.col("labels")["event_type"].alias("event_type")).agg(F.count("*").alias("n"))
 
 
-@query("custom_function", f"WITH {BASE} SELECT event_type, user_id, ts, round(value * value + 1, 6) AS value FROM s WHERE ts BETWEEN {A} AND {B}")
-def _(spark, d):
-    fn.register_function("square_plus", lambda v, n: v * v + n)
-    return flat(evaluate("square_plus(events_value, 1)", both(spark, d), A, B), "event_type", "user_id")
-
-
-@query("custom_function_whole", f"WITH {BASE} SELECT event_type, user_id, ts, round(value * value + 1, 6) AS value FROM s")
+@query("custom_function", f"WITH {BASE} SELECT event_type, user_id, ts, round(value * value + 1, 6) AS value FROM s")
 def _(spark, d):
     fn.register_function("square_plus", lambda v, n: v * v + n)
     return flat(evaluate("square_plus(events_value, 1)", both(spark, d), START, END), "event_type", "user_id")

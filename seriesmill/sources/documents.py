@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import time
+from concurrent.futures import Future, ThreadPoolExecutor
+from dataclasses import dataclass
+from threading import Lock
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +19,7 @@ EXPORT = (
     "time_series array<struct<metadata: struct<metric_name: string, labels: map<string,string>, unit: string, description: string>, "
     "samples: array<struct<timestamp: bigint, value: double>>>>, query string, start_time bigint, end_time bigint"
 )
+FORMATS = ("json", "csv", "parquet", "orc")
 #: Times up to here are seconds: the year 2100.
 SECONDS_BELOW = 4_102_444_800
 
@@ -98,13 +104,13 @@ def read_any(spark: SparkSession, path: str, format_: str) -> DataFrame:
     raise ValueError(f"unknown format {format_!r}")
 
 
-def to_json(df: DataFrame, query: str = "", start: int = 0, end: int = 0) -> DataFrame:
-    """One row of JSON for each series, in the form of an export document of that series.
+def to_json(df: DataFrame, query: str = "", start: int = 0, end: int = 0, chunk_ms: int = 86_400_000) -> DataFrame:
+    """One row of JSON for each series and ``chunk_ms`` of time (from the epoch), in the form of an export document.
 
-    Whole exports are written as many documents, so that no task must hold all series.
+    Whole exports are written as many documents, so that no task must hold all series, nor a row all of one.
     """
     packed = F.transform(F.sort_array(F.collect_list(F.struct("ts", "seq", "value"))), lambda s: F.struct(s["ts"].alias("timestamp"), s["value"].alias("value")))
-    rows = df.groupBy("series_id").agg(F.first("metric").alias("m"), F.first("labels").alias("l"), packed.alias("s"))
+    rows = df.groupBy(F.col("metric").alias("m"), F.col("labels").alias("l"), F.floor(F.col("ts") / chunk_ms)).agg(packed.alias("s"))
     series = F.struct(F.struct(F.col("m").alias("metric_name"), F.col("l").alias("labels"), F.lit("").alias("unit"), F.lit("").alias("description")).alias("metadata"), F.col("s").alias("samples"))
     document = F.struct(F.array(series).alias("time_series"), F.lit(query).alias("query"), F.lit(start).cast("long").alias("start_time"), F.lit(end).cast("long").alias("end_time"))
     return rows.select(F.to_json(document).alias("value"))
@@ -129,25 +135,79 @@ def export(df: DataFrame, path: str, format_: str, metric: str | None = None) ->
         raise ValueError(f"unknown format {format_!r}")
 
 
-class ExportTasks:
-    """Exports by name: run synchronously, their states kept."""
+@dataclass
+class ExportTask:
+    """An export: pending, running, completed, failed or cancelled, with its error and when (seconds) it was made and ended."""
 
-    def __init__(self):
-        self.states: dict[str, str] = {}
+    name: str
+    path: str
+    format: str
+    state: str = "pending"
+    error: str | None = None
+    created_at: float = 0.0
+    completed_at: float | None = None
 
-    def create(self, name: str, df: DataFrame, path: str, format_: str) -> str:
-        self.states[name] = "running"
+
+class ExportTasks:
+    """Exports that run in turn (``workers`` at a time) while the caller goes on."""
+
+    def __init__(self, workers: int = 1):
+        self._pool, self._lock = ThreadPoolExecutor(workers), Lock()
+        self._tasks: dict[str, tuple[ExportTask, Future]] = {}
+
+    def create(self, name: str, df: DataFrame, path: str, format_: str) -> ExportTask:
+        if format_ not in FORMATS:
+            raise ValueError(f"unknown format {format_!r}")
+        task = ExportTask(name, path, format_, created_at=time.time())
+        with self._lock:
+            if name in self._tasks:
+                raise ValueError(f"there is an export {name!r} already")
+            self._tasks[name] = task, self._pool.submit(self._run, task, df)
+        return task
+
+    def _run(self, task: ExportTask, df: DataFrame) -> None:
+        context = df.sparkSession.sparkContext
+        with self._lock:
+            if task.state != "pending":
+                return
+            task.state = "running"
+        context.addJobTag(self._tag(task.name))
         try:
-            export(df, path, format_)
-        except Exception:
-            self.states[name] = "failed"
-            raise
-        self.states[name] = "completed"
-        return name
-
-    def cancel(self, name: str) -> bool:
-        """Only what hasn't finished can be cancelled."""
-        if self.states.get(name) in ("pending", "running"):
-            self.states[name] = "cancelled"
-            return True
-        return False
+            export(df, task.path, task.format)
+            state, error = "completed", None
+        except Exception as e:  # what the job failed with is the task's result
+            state, error = "failed", str(e)[:1000]
+        finally:
+            context.clearJobTags()
+        with self._lock:
+            if task.state == "running":
+                task.state, task.error = state, error
+            task.completed_at = time.time()
+
+    def _tag(self, name: str) -> str:
+        return "export-" + "".join(c if c.isalnum() else "-" for c in name) + f"-{id(self)}"
+
+    def status(self, name: str) -> ExportTask | None:
+        return self._tasks[name][0] if name in self._tasks else None
+
+    def list(self) -> list[ExportTask]:
+        return [task for task, _ in self._tasks.values()]
+
+    def wait(self, name: str) -> ExportTask:
+        task, future = self._tasks[name]
+        if not future.cancelled():
+            future.result()
+        return task
+
+    def cancel(self, name: str, spark: SparkSession) -> bool:
+        """Stops what is pending or running, its Spark jobs too; what has ended stays as it is."""
+        if name not in self._tasks:
+            return False
+        task, future = self._tasks[name]
+        with self._lock:
+            if task.state not in ("pending", "running"):
+                return False
+            task.state = "cancelled"
+        if not future.cancel():
+            spark.sparkContext.cancelJobsWithTag(self._tag(name))
+        return True

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import samples
+from ..model import samples, series_id
 from ..operators.select import Matcher, select
 
 OPERATORS = ("=", "!=", "=~", "!~")
@@ -113,6 +113,20 @@ def encode_write_request(series: list[tuple[dict[str, str], list[tuple[int, floa
     return compressed(b"".join(_field(1, encode_series(*s)) for s in series))
 
 
+def encode_writes(df: DataFrame) -> DataFrame:
+    """Request bodies (body) that write the samples: one for each series and day."""
+    from ..operators.metadata import matrix_result
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for metric, labels, points in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out.append(encode_write_request([({**dict(labels), "__name__": metric}, [(p["ts"], p["value"]) for p in points])]))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["body"])
+
+    return matrix_result(df).select("metric", "labels", "samples").mapInArrow(rows, "body binary")
+
+
 def parse_writes(bodies: DataFrame, column: str = "body") -> tuple[DataFrame, DataFrame]:
     """Samples of a table of request bodies, and the bodies that can't be read with their error."""
 
@@ -172,14 +186,48 @@ def encode_read_request(queries: list[tuple[int, int, list[Matcher]]]) -> bytes:
 
 
 def encode_results(df: DataFrame) -> DataFrame:
-    """One encoded TimeSeries for each series of a result; a response concatenates them."""
+    """An encoded TimeSeries for each series and chunk of time of a result; a response concatenates those of each query."""
     from ..operators.metadata import matrix_result
 
-    @F.udf("binary")
-    def encoded(metric, labels, points):
-        return _field(1, encode_series({**labels, **({"__name__": metric} if metric else {})}, [(p["ts"], p["value"]) for p in points]))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for metric, labels, points in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                name = {"__name__": metric} if metric else {}
+                out.append(_field(1, encode_series({**dict(labels), **name}, [(p["ts"], p["value"]) for p in points])))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["series"])
+
+    return matrix_result(df).select("metric", "labels", "samples").mapInArrow(rows, "series binary")
+
+
+def encode_response(results: list[list[bytes]]) -> bytes:
+    """A response with one result for each query, of encoded series."""
+    return compressed(b"".join(_field(1, b"".join(series)) for series in results))
+
+
+def read_response(block: bytes) -> list[list[tuple[dict[str, str], list[tuple[int, float]]]]]:
+    """For each query of a response its series: labels, points."""
+    return [[time_series(s) for k, s in fields(result) if k == 1] for number, result in fields(decompressed(block)) if number == 1]
+
+
+def parse_responses(bodies: DataFrame, column: str = "body") -> DataFrame:
+    """(query, samples' columns) of a table of response bodies; ``query`` counts the results within a body.  What can't be read fails."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"query": pa.int32(), "metric": pa.string(), "labels": pa.map_(pa.string(), pa.string()), "ts": pa.int64(), "value": pa.float64()}
+        for batch in batches:
+            out = {name: [] for name in types}
+            for body in batch.column(0).to_pylist():
+                for k, found in enumerate(read_response(body)):
+                    for labels, points in found:
+                        metric = labels.pop("__name__", "")
+                        for t, v in points:
+                            for name, x in zip(out, (k, metric, list(labels.items()), t, v), strict=True):
+                                out[name].append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in types.items()], names=list(types))
 
-    return matrix_result(df).select(encoded("metric", "labels", "samples").alias("series"))
+    parsed = bodies.select(F.col(column)).mapInArrow(rows, "query int, metric string, labels map<string,string>, ts long, value double")
+    return parsed.select("query", series_id().alias("series_id"), "metric", "labels", "ts", "value", F.lit(0).cast("long").alias("seq"))
 
 
 def read_binary_files(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +26,27 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for ``name`` in the one that the cluster shares, named in spark.checkpoint.dir.
+
+    Without that setting, in the checkpoint folder of the program, or a temporary one if all runs in one process.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext._jsc.sc()
+    if not shared:
+        if not context.getCheckpointDir().isDefined():
+            if not context.isLocal():
+                raise ValueError("name a folder that the driver and all executors share in spark.checkpoint.dir")
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="seriesmill-"))
+        shared = context.getCheckpointDir().get()
+    return f"{shared.rstrip('/')}/seriesmill-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 class Store:
     """Samples under one path: ``samples`` partitioned by metric and day, ``rollup`` by level.
 
@@ -37,10 +61,11 @@ class Store:
     def samples_path(self) -> str:
         return f"{self.path}/samples"
 
-    def append(self, df: DataFrame) -> None:
+    def append(self, df: DataFrame, mode: str = "append", path: str | None = None) -> None:
+        """Adds samples.  A metric's day is dealt by ranges of series and time, as many as Spark's sample of the rows asks for, so that a large day is many files and a small one few."""
         rows = df.select(COLUMNS).withColumn("day", F.floor(F.col("ts") / DAY).cast("int"))
-        # one shuffle brings a day of a metric together; large ones are spread by series
-        rows.repartition("metric", "day", F.pmod("series_id", F.lit(16))).sortWithinPartitions("metric", "day", "series_id", "ts").write.mode("append").partitionBy("metric", "day").option("parquet.bloom.filter.enabled#series_id", "true").parquet(self.samples_path)
+        dealt = rows.repartitionByRange("metric", "day", "series_id", "ts").sortWithinPartitions("metric", "day", "series_id", "ts")
+        dealt.write.mode(mode).partitionBy("metric", "day").option("partitionOverwriteMode", "dynamic").option("parquet.bloom.filter.enabled#series_id", "true").parquet(path or self.samples_path)
 
     def scan(self, metric: str | None = None, matchers: tuple[Matcher, ...] = (), start: int | None = None, end: int | None = None, tier: str | None = None, now: int | None = None) -> DataFrame:
         if not _path_exists(self.spark, self.samples_path):
@@ -57,10 +82,22 @@ class Store:
             rows = rows.where(tier_of(F.col("ts"), now) == tier)
         return rows.select(COLUMNS)
 
-    def compact(self, target: str | None = None) -> None:
-        """Rewrites the samples to ``target``, one sample for each series and time: the first that was written."""
-        kept = deduplicated(self.scan())
-        Store(self.spark, target or f"{self.path}-compacted").append(kept)
+    def compact(self, least_files: int = 4) -> int:
+        """Rewrites each day of a metric that has ``least_files`` files or more, one sample for each series and time: the first in sequence.
+
+        The other days aren't read.  The new files are written beside the old ones before they take their place; the
+        number of days rewritten is returned.  One compaction at a time.
+        """
+        rows = self.spark.read.schema(_STORED).parquet(self.samples_path)
+        files = rows.select("metric", "day", F.col("_metadata.file_path").alias("file")).distinct().groupBy("metric", "day").agg(F.count(F.lit(1)).alias("n"))
+        days = files.where(F.col("n") >= least_files).select("metric", "day")
+        n = days.count()
+        if n:
+            staged = f"{self.path}/staged-{uuid.uuid4().hex}"
+            self.append(deduplicated(rows.join(days, ["metric", "day"], "left_semi").select(COLUMNS)), path=staged)
+            self.append(self.spark.read.schema(_STORED).parquet(staged).select(COLUMNS), "overwrite")
+            _delete(self.spark, staged)
+        return n
 
     def expire(self, now: int, keep_days: int, target: str) -> None:
         """Writes the samples of the last ``keep_days`` to ``target``."""

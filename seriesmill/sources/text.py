@@ -81,10 +81,17 @@ def parse_line_protocol(lines: DataFrame, column: str = "value", now: int = 0) -
     value = number(F.regexp_replace(F.regexp_extract("field", "=(.*)$", 1), "(?<=[0-9])[iu]$", ""))
     each = each.withColumn("number", value).withColumn("name", F.concat(plain(F.col("head")[0]), F.lit("_"), F.substring_index("field", "=", 1)))
     good = F.col("number").isNotNull() & (F.col("head")[0] != "")
-    ts = F.coalesce(F.floor(F.col("ns") / 1_000_000), F.lit(now))
+    ts = F.coalesce(F.expr("(ns - pmod(ns, 1000000L)) div 1000000L"), F.lit(now))
     return samples(each.where(good), F.col("name"), F.col("labels"), ts, F.col("number")), each.where(~F.coalesce(good, F.lit(False))).select("line")
 
 
+def is_text_column(body: str) -> Column:
+    """``is_text`` for a column of bodies."""
+    head = F.decode(F.substring(body, 1, 512), "iso-8859-1")
+    plain = F.regexp_replace(head, r"[^\t\n\r -~]", "")
+    return (F.length(head) == 0) | (F.length(plain) > F.length(head) * 0.9)
+
+
 def is_text(data: bytes) -> bool:
     """Whether more than nine tenths of the first 512 bytes are printable."""
     head = data[:512]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..model import SCHEMA, label_text, order
-from ..operators.rollup import LEVELS
+from ..operators.rollup import LEVELS, _greatest, _least
 from ..operators.rules import EXPIRE_S, Rule
 from ..sources.text import parse_exposition
 
@@ -34,7 +34,7 @@ def rollup_stream(samples: DataFrame, level: str = "L1", late: str = "10 minutes
     timed = samples.withColumn("time", F.timestamp_millis("ts")).withWatermark("time", late)
     window = F.window("time", f"{LEVELS[level][0]} milliseconds")
     out = timed.groupBy(window.alias("w"), "series_id", "metric", label_text().alias("series")).agg(
-        F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("avg"), F.sum("value").alias("sum"), F.count(F.lit(1)).alias("count"), F.max_by("value", order()).alias("last")
+        _least().alias("min"), _greatest().alias("max"), F.avg("value").alias("avg"), F.sum("value").alias("sum"), F.count(F.lit(1)).alias("count"), F.max_by("value", order()).alias("last")
     )
     return out.select("series_id", "metric", "series", F.lit(level).alias("level"), F.unix_millis("w.start").alias("bucket"), "min", "max", "avg", "sum", "count", "last")
 

@@ -182,6 +182,45 @@ def test_values(vector):
         evaluate("nothing(x)", x, 0)
 
 
+def test_scalars_in_expressions(vector, points):
+    x = vector(("x", {"a": "1"}, 1, 5), ("x", {"a": "2"}, 1, 3), ("y", {}, 1, 2), ("z", {}, 1, 4))
+    value = lambda q: sorted(v for _, v in points(evaluate(q, x, 1)))
+    assert value("x > scalar(y)") == [3, 5] and value("x > scalar(z)") == [5] and value("scalar(z) > x") == [3] and value("x > bool scalar(z)") == [0, 1]
+    assert value("scalar(y) * x") == value("x * scalar(y)") == [6, 10] and value("x * (scalar(y) + 1)") == [9, 15]
+    assert value("scalar(y) ^ scalar(z)") == [16] and value("10 - scalar(y)") == [8] and value("-scalar(y) + 1") == [-1] and value("scalar(y) < scalar(z)") == [1]
+    assert value("vector(scalar(y) * 2)") == [4] and value("abs(-scalar(y))") == [2] and all(map(math.isnan, value("x + scalar(x)"))) and value("x > scalar(x)") == []
+    for bad in ("sum(scalar(y))", "x and scalar(y)", "topk(scalar(y), x)"):
+        with pytest.raises(QueryError):
+            evaluate(bad, x, 1)
+
+
+def test_absence_of_each_series(vector, points):
+    x = vector(("x", {"a": "1"}, 1000, 5), ("x", {"a": "2"}, 9000, 3), ("y", {}, 1, 2))
+    got = evaluate("absent_over_time(x[1s])", x, 9500)
+    assert [(r.labels, r.ts, r.value) for r in got.collect()] == [({"a": "1"}, 9500, 1.0)]
+    # a store is asked for the series of all times
+    got = evaluate("absent_over_time(x[1s])", lambda a, b: x if a is None else x.where(F.col("ts").between(a, b)), 9500)
+    assert [r.labels for r in got.collect()] == [{"a": "1"}]
+    assert points(evaluate("absent_over_time(none[1s])", x, 9500)) == []
+
+
+def test_subqueries_by_one_plan(vector):
+    """Every instant evaluated by itself, and all together."""
+    random.seed(3)
+    rows = sorted((int(random.uniform(0, 100_000)), random.choice("abc"), random.choice("pq")) for _ in range(300))
+    x = vector(*((random.choice(("x", "y")), {"a": a, "b": b}, t, k % 17) for k, (t, a, b) in enumerate(rows)))
+    end, length, step = 90_000, 40_000, 7_000
+    for inner in ("rate(x[20s])", "sum by (a) (increase(x[30s] offset 5s))", "avg_over_time(x[15s]) * 2 + 1", "max without (b) (x)", "avg(last_over_time(x[20s])) ", "count_over_time(x[20s]) + on (a, b) count_over_time(y[20s])", "abs(-delta(x[30s])) > 3", 'label_replace(changes(x[30s]), "c", "$1", "a", "(.*)")'):
+        together = evaluate(f"({inner})[{length}ms:{step}ms]", x, end)
+        want = []
+        for t in range(end - length, end + 1, step):
+            want += [(t, sorted(r.labels.items()), round(r.value, 9)) for r in evaluate(inner, x, t).collect()]
+        got = [(r.ts, sorted(r.labels.items()), round(r.value, 9)) for r in together.collect()]
+        assert sorted(got) == sorted(want) and (want or inner == "max without (b) (x)"), inner
+        assert together._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + together._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") <= 6
+    assert evaluate("max_over_time(scalar(x)[10s:5s])", x, end).count() == 1  # planned for each step
+
+
 def test_scalars_and_absence(vector, points):
     x = line(vector, 3, 4)
     assert points(evaluate("scalar(sum(x @ 1000))", x, 5)) == [(5, 3)]
@@ -233,15 +272,23 @@ def test_rollups(vector, points):
     assert points(rollup.as_samples(fine, "nothing")) == points(rollup.as_samples(fine, "avg"))
 
 
-def test_levels():
+def test_levels(spark):
     h = 3_600_000
+    # what is begun of an hour doesn't count
+    assert [rollup.level_by_policy(0, int(x * h)) for x in (1.5, 2, 24.5, 25, 168.5, 169, 720.9, 721)] == ["L0", "L1", "L1", "L2", "L2", "L3", "L3", "L4"]
+    assert [rollup.level_by_policy(0, x * h, "auto", f) for x, f in ((24, "rate"), (1, "delta"), (1000, "increase"), (100, "deriv"), (100, "quantile_over_time"), (100, "histogram_quantile"))] == ["L0", "L0", "L3", "L2", "L2", "L0"]
+    spans = [0, h, int(1.99 * h), 2 * h, 24 * h, 25 * h - 1, 25 * h, 400 * h, 720 * h, 721 * h]
+    for policy in ("auto", "conservative", "aggressive", "raw"):
+        for function in (None, "rate", "quantile", "sum"):
+            rows = spark.createDataFrame([(x,) for x in spans], "x long").select("x", rollup.level_column(F.col("x"), policy, function).alias("l")).collect()
+            assert [r.l for r in rows] == [rollup.level_by_policy(0, r.x, policy, function) for r in rows]
     assert [rollup.level_for(0, x) for x in (h - 1, h, 24 * h, 168 * h, 720 * h)] == ["L0", "L1", "L2", "L3", "L4"]
     assert [rollup.level_by_policy(0, x * h, "conservative") for x in (1, 24, 168, 720, 721)] == ["L0", "L1", "L2", "L3", "L4"]
     assert [rollup.level_by_policy(0, x * h, "aggressive") for x in (1, 12, 72, 336, 337)] == ["L0", "L1", "L2", "L3", "L4"]
     assert rollup.level_by_policy(0, 100 * h, "auto", "rate") == "L1" and rollup.level_by_policy(0, 1000 * h, "auto", "quantile") == "L0"
 
 
-def test_rules():
+def test_rules(spark):
     document = '{"groups": [{"name": "g", "interval": "30s", "rules": [{"record": "a:b", "expr": "sum(x)", "labels": {"t": "1"}}, {"alert": "High", "expr": "x", "for": "10m", "condition": "gt 5"}]}]}'
     record, alert = rules.load(document)
     assert (record.name, record.kind, record.interval_s, record.labels) == ("a:b", "record", 30, {"t": "1"})
@@ -272,6 +319,12 @@ def test_alert_states(vector):
 
 def test_query_log(spark):
     assert rules.normalise('sum( x{b="2", a="1"}[5m] )  BY (c)') == 'sum( x{a="1",b="2"}[DURATION] ) by (c)'
+    texts = ['sum( x{b="2", a="1"}[5m] )  BY (c)', "x > inf", " true  AND\n nan", "x[1h] OFFSET 5m", 'a{x="1"} + b{z="2",y="3"}', "", "info"]
+    rows = spark.createDataFrame([(t,) for t in texts], "q string").select("q", rules.normalised("q").alias("n")).collect()
+    assert [r.n for r in rows] == [rules.normalise(r.q) for r in rows]
+    found = rules.pattern_of('sum(rate(http_requests_total{job="api"}[5m])) by (status)')
+    assert (found.aggregates, found.rates, found.sums, found.metrics, found.conditions) == (True, True, True, ("http_requests_total",), (("job", "=", "api"),))
+    assert rules.pattern_of("up").metrics == ("up",) and not rules.pattern_of("up").aggregates
     log = spark.createDataFrame([("x[5m]", 10), ("x[1h]", 20), ("y", 20), ("x[5m]", -99_999_999)], "query string, ts long")
     got = {r.query: (r.n, r.frequent) for r in rules.frequencies(log, 100, threshold=2).collect()}
     assert got == {"x[DURATION]": (2, True), "y": (1, False)}

@@ -1,4 +1,5 @@
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,9 +62,30 @@ def test_export_and_import(spark, vector, tmp_path, format_):
 
 
 def test_export_tasks(vector, tmp_path):
+    x = vector(("m", {}, 1, 1))
+    spark = x.sparkSession
     tasks = documents.ExportTasks()
-    tasks.create("a", vector(("m", {}, 1, 1)), str(tmp_path / "a"), "parquet")
-    assert tasks.states == {"a": "completed"} and not tasks.cancel("a")
+    tasks.create("a", x, str(tmp_path / "a"), "parquet")
+    done = tasks.wait("a")
+    assert (done.state, done.error) == ("completed", None) and done.completed_at >= done.created_at > 0
+    assert not tasks.cancel("a", spark) and not tasks.cancel("none", spark) and tasks.status("none") is None
+    slow = spark.range(0, 4, 1, 4).mapInArrow(lambda batches: (time.sleep(60) or b for b in batches), "id long")
+    slow = slow.selectExpr("id AS series_id", "'m' AS metric", "cast(map() AS map<string,string>) AS labels", "id AS ts", "1.0D AS value", "id AS seq")
+    tasks.create("slow", slow, str(tmp_path / "slow"), "parquet")
+    tasks.create("later", x, str(tmp_path / "later"), "csv")
+    tasks.create("bad", x.where(F.raise_error(F.lit("no")).isNull()), str(tmp_path / "bad"), "csv")
+    assert tasks.status("later").state == "pending" and tasks.cancel("later", spark)
+    while tasks.status("slow").state == "pending":
+        time.sleep(0.05)
+    time.sleep(1)
+    began = time.monotonic()
+    assert tasks.cancel("slow", spark) and not tasks.cancel("slow", spark)
+    assert "no" in tasks.wait("bad").error and time.monotonic() - began < 45
+    assert [(t.name, t.state) for t in tasks.list()] == [("a", "completed"), ("slow", "cancelled"), ("later", "cancelled"), ("bad", "failed")]
+    with pytest.raises(ValueError):
+        tasks.create("a", x, "x", "csv")
+    with pytest.raises(ValueError):
+        tasks.create("b", x, "x", "avro")
 
 
 def test_remote(spark, vector):
@@ -91,8 +113,13 @@ def test_store(spark, vector, tmp_path):
     assert sorted(r.value for r in s.scan("m", (Matcher("a", "=", "1"),), 0, 2 * day).collect()) == [1, 7]
     plan = s.scan("m", start=3 * day)._jdf.queryExecution().toString()
     assert "PartitionFilters" in plan and "day" in plan.split("PartitionFilters")[1][:200]
-    s.compact()
-    compacted = store.Store(spark, str(tmp_path / "s-compacted"))
+    files = lambda: sorted(p.relative_to(tmp_path / "s" / "samples").as_posix() for p in (tmp_path / "s" / "samples").rglob("*.parquet"))
+    before = files()
+    assert s.compact(least_files=3) == 0 and files() == before
+    # only the day with two files is rewritten
+    assert s.compact(least_files=2) == 1
+    assert [f for f in files() if "day=1/" not in f or "metric=n" in f] == [f for f in before if "day=1/" not in f or "metric=n" in f] and len(files()) == len(before) - 1
+    compacted = s
     assert sorted(r.value for r in compacted.scan().collect()) == [1, 2, 3, 4]
     compacted.expire(3 * day, 1, str(tmp_path / "kept"))
     assert sorted(r.value for r in store.Store(spark, str(tmp_path / "kept")).scan().collect()) == [2, 3]
