@@ -3,13 +3,13 @@
 The product of the sparse document-by-shingle matrix with its transpose holds the overlap of every pair.  It is
 never formed whole.  (1) Equal sets are one row.  (2) Of each row only a prefix is indexed: with its shingles in
 a fixed order, rare ones first, two rows whose overlap reaches the bound that follows from their sizes share k
-of the first n - ceil(t * n) + k.  (3) Columns with one entry go.  (4) In columns of few entries the pairs that
-pass the size bound are listed and their overlaps added up; pairs with k or more of them are counted against the
-whole rows.  (5) Columns of many entries
-(clusters of near copies) are cut into blocks; a block pair is multiplied within one task, row by row, which
-keeps links only where they join two components, so that a cluster of m rows sends back fewer than m links
-and most of its rows need no product at all.  Components are exact: every linked pair is linked in the result,
-directly or through others.
+of the first n - ceil(t * n) + k.  (3) Columns with one entry go.  (4) Each column's rows meet its first and its last
+row: overlaps are added up, pairs below the bounds discarded, the others counted against the whole rows, and what
+links is contracted to components.  A cluster of m near copies is mostly done with after some 2 m pairs.  (5) Columns
+of few entries list the pairs of rows that are still in different components, treated likewise.  (6) In columns of many
+entries only rows outside the column's largest component are multiplied with the others, in blocks of bounded rows
+and shingles; columns of equal rows are one.  Components are exact: two rows that link are in one component after
+(4), or meet in (5) or (6).
 
 The order is (count, hash), where count is known for the frequent shingles only: those that repeat within
 a task's documents, summed over the corpus, up to ``hot_entries`` of the most frequent.  That table has a fixed
@@ -35,8 +35,9 @@ from .graph import components
 HOT_ENTRIES = 500_000
 #: Columns of up to so many entries list their pairs.
 LISTED = 128
-#: Rows of a block of a longer column.
+#: Rows of a block of a longer column, and shingles of all its rows (a row of more is a block of its own size).
 BLOCK = 512
+WEIGHT = 500_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -193,43 +194,36 @@ def _first_rare(shingles: np.ndarray, length: int, hot: np.ndarray, counts: np.n
     return np.concatenate([rare, often[np.lexsort((often, n))][: length - len(rare)]])
 
 
-def block_links(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join all components of the rows of one block, by the sparse product of those rows.
+def block_links(nodes: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, asking: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between rows of different components, by the sparse product of the ``asking`` rows with all rows of a block.
 
-    A row is multiplied only while it stands outside the largest component: of any two rows that end in
-    different components, one at least was then compared with the other.
+    ``labels``: the components so far; a pair whose rows a link has joined by then needs no other.
     """
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
     values, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(m), sizes)
     order = np.argsort(column, kind="stable")
-    rows_of = row[order]
+    rows_of = np.repeat(np.arange(m), sizes)[order]
     bounds = np.concatenate(([0], np.cumsum(np.bincount(column, minlength=len(values)))))
     starts = np.concatenate(([0], np.cumsum(sizes)))
-    label = np.arange(m)
-    done = np.zeros(m, bool)
+    label = np.unique(labels, return_inverse=True)[1]
     links = []
-    while True:
-        largest = np.bincount(label, minlength=m).argmax()
-        todo = np.nonzero(~done & (label != largest))[0]
-        if not len(todo):
-            return links
-        i = todo[0]
-        done[i] = True
+    for i in np.nonzero(asking)[0]:
+        if (label == label[i]).all():
+            continue
         columns = column[starts[i] : starts[i + 1]]
         columns = columns[bounds[columns + 1] - bounds[columns] > 1]
         if not len(columns):
             continue
         overlap = np.bincount(np.concatenate([rows_of[bounds[c] : bounds[c + 1]] for c in columns]), minlength=m)
-        near = np.nonzero(100 * overlap >= percent * (sizes[i] + sizes - overlap))[0]
-        for j in near:
+        for j in np.nonzero(100 * overlap >= percent * (sizes[i] + sizes - overlap))[0]:
             if label[j] != label[i]:
                 links.append((int(nodes[i]), int(nodes[j])))
                 label[label == label[j]] = label[i]
+    return links
 
 
-def classes(docs: DataFrame, words: int, percent: int, hot_entries: int = HOT_ENTRIES, listed: int = LISTED, block: int = BLOCK) -> DataFrame:
+def classes(docs: DataFrame, words: int, percent: int, hot_entries: int = HOT_ENTRIES, listed: int = LISTED, block: int = BLOCK, weight: int = WEIGHT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, copies of its set.
 
     Two documents link when 100 * |A & B| >= percent * |A | B|; component_id is the least doc_id reachable.  A text
@@ -255,19 +249,12 @@ def classes(docs: DataFrame, words: int, percent: int, hot_entries: int = HOT_EN
         .select("fp", "node", "copies", "r.n", "r.prefix")
     )
     entries = rows.where("node IS NOT NULL").select("node", "n", F.explode("prefix").alias("token"))
-    shared = entries.groupBy("token").agg(F.count("*").alias("entries")).where("entries > 1")
-    entries = written(entries.join(shared, "token"))
-
-    few = entries.where(F.col("entries") <= listed)
-    a, b = few.select("token", F.col("node").alias("a"), F.col("n").alias("na")), few.select("token", F.col("node").alias("b"), F.col("n").alias("nb"))
-    smaller, larger = F.least("na", "nb"), F.greatest("na", "nb")
-    met = a.join(b, "token").where((F.col("a") < F.col("b")) & (smaller * 100 >= larger * percent))
+    columns = entries.groupBy("token").agg(F.count("*").alias("entries"), F.min("node").alias("first"), F.min_by("n", "node").alias("first_n"), F.max("node").alias("last"), F.max_by("n", "node").alias("last_n"), F.sum("n").alias("weight")).where("entries > 1")
+    entries = written(entries.join(columns, "token"))
     bound = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100))
-    pairs = written(met.groupBy("a", "b").agg(F.count("*").alias("both"), F.first(smaller).alias("n")).where(F.col("both") >= bound).select("a", "b"))
-    many = entries.where(F.col("entries") > listed)
 
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(many.select("node")).distinct()
-    needed = rows.select("node", "fp").join(needed, "node")
+    # whole rows of those that share enough to be in any pair
+    needed = rows.select("node", "fp").join(entries.groupBy("node", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= bound).select("node"), "node")
 
     def whole(batch: pa.RecordBatch) -> Iterator[dict]:
         nodes, sets = [], []
@@ -291,20 +278,46 @@ def classes(docs: DataFrame, words: int, percent: int, hot_entries: int = HOT_EN
                 out["b"].append(b)
         yield out
 
-    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    links = map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), counted, "a long, b long")
-
-    blocks = F.ceil(F.col("entries") / block).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks)
-    cells = many.select("token", "node", own.cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    cells = cells.select("token", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    def links_of(met: DataFrame) -> DataFrame:
+        """Of pairs (a, b, na, nb), one row for each column that both are in, those that link."""
+        smaller, larger = F.least("na", "nb"), F.greatest("na", "nb")
+        met = met.where(smaller * 100 >= larger * percent).groupBy("a", "b").agg(F.count("*").alias("both"), F.first(smaller).alias("n"))
+        pairs = met.where(F.col("both") >= bound).select("a", "b")
+        left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+        return map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), counted, "a long, b long")
+
+    # each row with its columns' first and last; those two meet once
+    first = entries.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), F.col("first_n").alias("na"), F.col("n").alias("nb"))
+    last = entries.where("node <> first AND node <> last").select(F.col("node").alias("a"), F.col("last").alias("b"), F.col("n").alias("na"), F.col("last_n").alias("nb"))
+    stars = written(links_of(first.unionByName(last)))
+    so_far = components(stars)
+    placed = written(entries.join(so_far, "node", "left").select("token", "node", "n", "entries", "weight", F.coalesce("component", "node").alias("part")))
+
+    few = placed.where(F.col("entries") <= listed)
+    a, b = few.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa")), few.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
+    listed_links = links_of(a.join(b, "token").where("a < b AND pa <> pb"))
+
+    # of a long column: the rows outside its largest component ask, and all answer; columns of equal rows are one
+    many = placed.where(F.col("entries") > listed)
+    parts = many.groupBy("token", "entries", "weight", "part").agg(F.count("*").alias("k"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("print"))
+    tokens = parts.groupBy("token", "entries", "weight").agg(F.max_by("part", "k").alias("largest"), F.max("k").alias("k"), F.sum("print").alias("print")).where("k < entries")
+    tokens = tokens.groupBy("entries", "weight", "print").agg(F.min(F.struct("token", "largest", "k")).alias("t")).select("t.*", F.ceil(F.greatest(F.col("entries") / block, F.col("weight") / weight)).cast("int").alias("blocks"))
+    dense = many.join(tokens, "token")
+    # as a share of the column's blocks: about as many askers to a block as there are rows in one
+    asks = F.greatest(F.lit(1), F.ceil(F.col("blocks") * (F.col("entries") - F.col("k")) / F.col("entries"))).cast("int")
+    dense = dense.select("token", "node", "part", "blocks", asks.alias("asks"), (F.col("part") != F.col("largest")).alias("asking"))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    asking = dense.where("asking").select("token", "node", "part", "asking", own("asks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    answering = dense.select("token", "node", "part", F.lit(False).alias("asking"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("i"), own("blocks").alias("j"))
+    cells = asking.unionByName(answering)
 
     def multiplied(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values("node")
-        return pd.DataFrame(block_links(cell["node"].to_numpy(), [np.frombuffer(s, np.int64) for s in cell["shingles"]], percent), columns=["a", "b"]).astype("int64")
+        cell = cell.sort_values(["node", "asking"], ascending=[True, False]).drop_duplicates("node")
+        links = block_links(cell["node"].to_numpy(), [np.frombuffer(s, np.int64) for s in cell["shingles"]], cell["part"].to_numpy(), cell["asking"].to_numpy(), percent)
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
-    dense = cells.join(sets, "node").groupBy("token", "i", "j").applyInPandas(multiplied, "a long, b long")
-    found = components(links.unionByName(dense))
+    dense_links = cells.join(sets, "node").groupBy("token", "i", "j").applyInPandas(multiplied, "a long, b long")
+    found = components(stars.unionByName(listed_links).unionByName(dense_links))
     named = written(rows.select("fp", "node", "copies").join(found, "node", "left").select("fp", "copies", F.coalesce("component", "node").alias("component")))
     alone = F.col("n") == 0
     return base.join(named, "fp", "left").select(
