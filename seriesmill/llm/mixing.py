@@ -3,7 +3,9 @@
 Sources share the words of the mix by weight.  A source whose share is above ``max_epochs`` times its own size
 is clamped there and the excess goes to the others by weight, until nothing is above.  Within a source, whole
 repetitions take every document; the fractional one takes documents in a seeded random order until the target
-is met to within half a document.
+is met to within half a document.  Where that order is cut is found from sums over buckets of its hash, then over
+buckets within the one of the cut, then from the rows of the last: no source is sorted, and rows with their
+texts are neither sorted nor shuffled.
 """
 
 from __future__ import annotations
@@ -14,8 +16,10 @@ from pyspark.sql.window import Window
 
 from .common import WORD, global_index, text_or_empty, written
 
-#: Buckets of the seeded order: the first hex digits of its hash.
+#: Buckets of the seeded order: so many hex digits of its hash, and as many again within a bucket.
 DIGITS = 3
+#: Sources that are sent to all executors, at most; more meet their rows in a join by source and bucket.
+SENT = 50_000
 
 
 def weights_by_rank(sources: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -47,16 +51,49 @@ def water_level(sources: DataFrame, max_epochs: int, total: int | None = None) -
         level = new
 
 
-def _mixed(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: DataFrame | None, max_epochs: int, seed: str) -> DataFrame:
-    """``df`` with a struct ``__mix`` (size, source_size, target, copies, taken); see ``mix``."""
-    sized = df.withColumns({
-        "__size": F.regexp_count(text_or_empty(F.col(f"`{text_col}`")), F.lit(WORD)).cast("long"),
-        # a key without nulls, so that null is joined like any other source
-        "__key": F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`")), F.lit("")),
+def _keyed(df: DataFrame, id_col: str, source_col: str, seed: str) -> DataFrame:
+    """``df`` with its place in the seeded order (__turn) and a key of its source without nulls (__key)."""
+    return df.withColumns({
+        "__key": F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit("")),
         "__turn": F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))),
-    }).withColumn("__bucket", F.substring("__turn", 1, DIGITS))
-    buckets = written(sized.groupBy(F.col("__key").alias("key"), F.col(f"`{source_col}`").alias("source"), F.col("__bucket").alias("bucket")).agg(F.sum("__size").alias("bucket_size")))
-    sources = buckets.groupBy("key", "source").agg(F.sum("bucket_size").alias("source_size"))
+    })
+
+
+def _size(text_col: str):
+    return F.regexp_count(text_or_empty(F.col(f"`{text_col}`")), F.lit(WORD)).cast("long")
+
+
+def _cut(sizes: DataFrame, sources: DataFrame) -> DataFrame:
+    """(key, source_size, target, whole, cut_turn, cut_size): the fractional repetition takes rows up to that turn and size.
+
+    ``sizes``: key, turn, size.  The words before a row only grow along the order, so what is taken is its beginning.
+    Rows of equal turn and size are taken alike.
+    """
+    part = lambda k: F.substring("turn", 1 + DIGITS * k, DIGITS)
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # at most 16 ** DIGITS rows a source; the last bucket that begins within the target holds the cut
+    buckets = sizes.groupBy("key", part(0).alias("bucket")).agg(F.sum("size").alias("words")).withColumn("before", before)
+    room = F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))
+    first = buckets.join(sources, "key").where(F.col("before") <= room).groupBy("key", "source_size", "target", "whole").agg(F.max("bucket").alias("bucket"), F.max("before").alias("begun"))
+    inside = sizes.withColumn("bucket", part(0)).join(first, ["key", "bucket"])
+    buckets = inside.groupBy("key", "source_size", "target", "whole", "begun", F.col("bucket").alias("outer"), part(1).alias("bucket")).agg(F.sum("size").alias("words"))
+    buckets = buckets.withColumn("before", F.col("begun") + before).where(F.col("before") <= room)
+    second = buckets.groupBy("key", "source_size", "target", "whole", "outer").agg(F.max("bucket").alias("inner"), F.max("before").alias("begun"))
+    inside = sizes.withColumn("outer", part(0)).withColumn("inner", part(1)).join(second, ["key", "outer", "inner"])
+    rows = inside.groupBy("key", "source_size", "target", "whole", "begun", "outer", "inner", "turn", "size").agg(F.sum("size").alias("words"))
+    order = Window.partitionBy("key").orderBy("turn", "size").rowsBetween(Window.unboundedPreceding, -1)
+    half_way = F.col("begun") + F.coalesce(F.sum("words").over(order), F.lit(0)) + F.col("size") / 2
+    taken = F.when(half_way <= room, F.struct("turn", "size"))
+    cut = rows.withColumn("taken", taken).groupBy("key", "source_size", "target", "whole", F.concat("outer", "inner").alias("bucket")).agg(F.max("taken").alias("cut"))
+    # none of the last bucket: its name comes before its rows and after all others
+    return cut.select("key", "source_size", "target", "whole", F.coalesce("cut.turn", "bucket").alias("cut_turn"), F.coalesce("cut.size", F.lit(-1)).alias("cut_size"))
+
+
+def _plan(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: DataFrame | None, max_epochs: int, seed: str) -> tuple[DataFrame, DataFrame]:
+    """Every row's id, source, key, turn and size (one pass over the texts), and the cut of each source; both written."""
+    keyed = _keyed(df, id_col, source_col, seed)
+    sizes = written(keyed.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.col("__key").alias("key"), F.col("__turn").alias("turn"), _size(text_col).alias("size")))
+    sources = sizes.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
     if weights is None:
         sources = written(weights_by_rank(sources))
     else:
@@ -66,20 +103,22 @@ def _mixed(df: DataFrame, id_col: str, text_col: str, source_col: str, weights:
     cap = F.col("source_size") * F.lit(float(max_epochs))
     sources = sources.withColumn("target", F.least(cap, F.lit(level) * F.col("weight")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    sources = sources.select("key", "source_size", "target", whole.alias("whole"))
-    # words of each source that stand before a bucket in the seeded order: at most 16 ** DIGITS rows a source
-    before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    plan = buckets.select("key", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("before")).join(sources, "key")
-    plan = plan.select(F.col("key").alias("__key"), F.col("bucket").alias("__bucket"), F.struct("before", "source_size", "target", "whole").alias("__plan"))
-    # the hot source is spread over its buckets, which also are the frames of the running sums
-    inside = Window.partitionBy("__key", "__bucket").orderBy("__turn", F.col(f"`{id_col}`"), "__size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    size, p = F.col("__size"), F.col("__plan")
-    half_way = p["before"] + F.sum("__size").over(inside) - size / 2
-    extra = F.when(half_way <= p["target"] - p["whole"] * p["source_size"], 1).otherwise(0)
-    copies = F.when(size > 0, F.least(p["whole"] + extra, F.lit(max_epochs))).otherwise(0).cast("long")
-    rows = sized.join(plan, ["__key", "__bucket"]).withColumn("__copies", copies)
-    mixed = F.struct(size.alias("size"), p["source_size"].alias("source_size"), p["target"].alias("target"), F.col("__copies").alias("copies"), (F.col("__copies") * size).alias("taken"))
-    return rows.select(*(F.col(f"`{c}`") for c in df.columns), mixed.alias("__mix"))
+    return sizes, written(_cut(sizes, sources.select("key", "source_size", "target", whole.alias("whole"))))
+
+
+def _with_plan(rows: DataFrame, plan: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows that have __key and __turn with their source's plan: sent to them, or if sources are many, met in shuffled buckets."""
+    plan = plan.withColumnRenamed("key", "__key")
+    if plan.count() <= SENT:
+        return rows.join(F.broadcast(plan), "__key")
+    buckets = sizes.select(F.col("key").alias("__key"), F.substring("turn", 1, DIGITS).alias("__bucket")).distinct().join(plan, "__key")
+    return rows.withColumn("__bucket", F.substring("__turn", 1, DIGITS)).join(buckets, ["__key", "__bucket"]).drop("__bucket")
+
+
+def _copies(size, max_epochs: int):
+    """How often a row is taken, by the columns of its source's plan; ``size`` is looked at only at the cut."""
+    extra = (F.col("__turn") < F.col("cut_turn")) | ((F.col("__turn") == F.col("cut_turn")) & (size <= F.col("cut_size")))
+    return F.least(F.col("whole") + F.when(extra, 1).otherwise(0), F.lit(max_epochs)).cast("long")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: DataFrame | None = None, max_epochs: int = 3, seed: str = "mix-1") -> DataFrame:
@@ -87,17 +126,25 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
     ``weights``: (source, weight); by default 1, 2, 3, ... over sources by code point.  size counts words, 0 for
     null and empty text.  A null source is a source of its own.  Empty documents take nothing; equal rows are
-    documents of their own (ties in the seeded order break by id, then size).  An empty table gives no rows.
+    taken alike.  An empty table gives no rows.
     """
-    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").alias("source"))
-    return _mixed(rows, "doc_id", "text", "source", weights, max_epochs, seed).select("doc_id", "source", "__mix.*")
+    sizes, plan = _plan(df, id_col, text_col, source_col, weights, max_epochs, seed)
+    rows = _with_plan(sizes.withColumnsRenamed({"key": "__key", "turn": "__turn"}), plan, sizes)
+    rows = rows.withColumn("copies", F.when(F.col("size") > 0, _copies(F.col("size"), max_epochs)).otherwise(0).cast("long"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def repeat(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: DataFrame | None = None, max_epochs: int = 3, seed: str = "mix-1") -> DataFrame:
-    """The mix itself: every row of ``df`` as many times as ``mix`` says, with the columns of ``df``."""
-    rows = _mixed(df, id_col, text_col, source_col, weights, max_epochs, seed)
-    copies = rows.where("__mix.copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix.copies"))))
-    return copies.select(*(F.col(f"`{c}`") for c in df.columns))
+    """The mix itself: every row of ``df`` as many times as ``mix`` says, with the columns of ``df``.  Texts aren't shuffled."""
+    sizes, plan = _plan(df, id_col, text_col, source_col, weights, max_epochs, seed)
+    columns = ("source_size", "target", "whole", "cut_turn", "cut_size")
+    plan = plan.select("key", F.struct(*columns).alias("__plan"))
+    # the table's own columns are set aside, so that none of theirs clashes
+    own = _keyed(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row")).select("__row", F.col(f"__row.`{id_col}`").alias("__id"), F.col(f"__row.`{source_col}`").alias("__source"), F.col(f"__row.`{text_col}`").alias("__text")), "__id", "__source", seed)
+    rows = _with_plan(own, plan, sizes).select("__row", "__text", "__turn", "__plan.*")
+    copies = F.when(text_or_empty("__text").rlike(WORD), _copies(_size("__text"), max_epochs)).otherwise(0)
+    copied = rows.withColumn("__copies", copies.cast("long")).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    return copied.select("__row.*")
 
 
 ORACLE = r"""

@@ -1,7 +1,10 @@
+import hashlib
 import random
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import pytest
+
 from seriesmill.llm import mixing
 
 
@@ -41,6 +44,26 @@ def test_targets_and_takes(docs):
     assert mixing.repeat(docs(texts)).columns == docs(texts).columns
 
 
+@pytest.mark.parametrize(("digits", "sent"), [(1, 0), (3, 0), (1, 50_000)])
+def test_against_the_whole_order(docs, monkeypatch, digits, sent):
+    """Each source's rows in their order, one after the other; buckets of either size and both kinds of join."""
+    monkeypatch.setattr(mixing, "DIGITS", digits)
+    monkeypatch.setattr(mixing, "SENT", sent)
+    random.seed(digits)
+    texts = [(" ".join("w" for _ in range(random.randrange(30))), random.choice("aaaaaabbc")) for _ in range(400)]
+    rows = {r.doc_id: r for r in mixing.mix(docs(texts)).collect()}
+    for source in "abc":
+        mine = sorted((hashlib.md5(f"mix-1:{i}".encode()).hexdigest(), r.size, i) for i, r in rows.items() if r.source == source)
+        size, target = rows[mine[0][2]].source_size, rows[mine[0][2]].target
+        whole, done = int(target // size), 0
+        for _, n, i in mine:
+            extra = done + n / 2 <= target - whole * size
+            assert rows[i].copies == (min(3, whole + extra) if n else 0)
+            done += n
+    repeats = Counter(r.doc_id for r in mixing.repeat(docs(texts)).collect())
+    assert repeats == Counter({i: r.copies for i, r in rows.items() if r.copies})
+
+
 def test_given_weights_and_nothing(spark, docs):
     weights = spark.createDataFrame([("a", 1.0), ("b", 0.0)], "source string, weight double")
     rows = {r.source: r for r in mixing.mix(docs([("x y", "a"), ("x y", "b")]), weights=weights).collect()}
