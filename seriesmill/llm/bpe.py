@@ -1,11 +1,12 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The distinct pre-tokens of a run of texts form one small corpus.  An inverted index leads from each token pair
-(named by the rank of its merge) to the positions where it stands.  Merges are replayed from the index in rank
-order, over all words together, and each merge touches only its two neighbouring pairs.  Words don't interact, so
-rank order is kept where it matters, within each word: a turn takes from the index every word's entries of lowest
-rank.  Results are those of a word-by-word encoder.  Encoded pre-tokens are kept in a memo of bounded bytes, so a
-frequent word is merged once.
+The distinct pre-tokens of the whole corpus are counted in a table, and merged there once.  An inverted index leads
+from each token pair (named by the rank of its merge) to the positions where it stands.  Merges are replayed from
+the index in rank order, over many words together, and each merge touches only its two neighbouring pairs.  Words
+don't interact, so rank order is kept where it matters, within each word: a turn takes from the index every word's
+entries of lowest rank.  Results are those of a word-by-word encoder.  The ids of the most frequent words, up to a
+stated number, are sent to the executors, which look them up as they encode the texts; the others, which stand in few
+places, are replayed again where they stand, so that no token is shuffled.
 """
 
 from __future__ import annotations
@@ -13,24 +14,34 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
-from .common import map_rows
-
-#: Bytes, about, of a worker's memo of encoded pre-tokens; it starts anew when full.
-MEMO = 48 << 20
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import SLICE, map_rows, most_frequent, slices, written
+
+#: Words whose ids are sent to executors, at most.
+HEAD = 200_000
+#: Different words that a task counts at a time.
+HELD = 200_000
+#: Words of the corpus's table that are replayed together.
+TOGETHER = 100_000
+#: Bytes, about, of a worker's memo of other encoded words; it starts anew when full.
+MEMO = 16 << 20
 #: Bytes, about, that an entry takes besides its word and ids.
 ENTRY = 200
 #: Characters of the texts whose pre-tokens are in memory at a time (a longer text is alone).
 RUN = 1 << 20
 #: Words of more bytes are replayed one merge at a time, so that a very long one costs n log n.
 SHORT = 48
+#: Characters of a word that is sent along, at most.
+LONG = 200
 #: The rank of a pair that has no merge.
 NONE = np.iinfo(np.int32).max
 
@@ -209,16 +220,17 @@ def _is_text(token: bytes) -> bool:
 class Codec:
     """Encodes and decodes texts with a vocabulary; one per worker."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, head: dict[str, bytes] | None = None):
         import regex
 
         self.replay = MergeReplay(ranks)
         self.split_any = regex.compile(pattern).findall
         latin = latin_pattern(pattern)
         self.split_latin = re.compile(latin).findall if latin else self.split_any
-        #: Words that are tokens need no merges.
-        self.whole = {token.decode(): np.int32(rank).tobytes() for token, rank in ranks.items() if _is_text(token)}
-        self.memo: dict[str, bytes] = dict(self.whole)
+        #: Words that are tokens need no merges; those of the head have had theirs.
+        self.memo = {token.decode(): np.int32(rank).tobytes() for token, rank in ranks.items() if _is_text(token)} | (head or {})
+        #: What was added to them since the memo began anew, and its bytes, about.
+        self.added: list[str] = []
         self.held = 0
         self.token_bytes = Spelling(self.replay.tokens)
         self.decimals = Spelling({rank: b"%d," % rank for rank in self.replay.tokens})
@@ -246,14 +258,17 @@ class Codec:
         yield from self._run(run)
 
     def _run(self, split: list[list[str]]) -> Iterator[np.ndarray]:
-        if self.held > MEMO:
-            self.memo, self.held = dict(self.whole), 0
         memo = self.memo
+        if self.held > MEMO:
+            for word in self.added:
+                del memo[word]
+            self.added, self.held = [], 0
         new = set()
         for words in split:
             new.update(filterfalse(memo.__contains__, words))
         data = list(map(str.encode, new))
         memo.update(zip(new, self.replay.encode(data), strict=True))
+        self.added += new
         self.held += ENTRY * len(data) + 2 * sum(map(len, data))
         for words in split:
             yield np.frombuffer(b"".join(map(memo.__getitem__, words)), np.int32)
@@ -270,28 +285,87 @@ class Codec:
 _KEPT: dict[tuple, Codec] = {}
 
 
-def _share(spark: SparkSession, ranks_path: str, pattern: str):
-    """The vocabulary, read by the driver and sent to the executors; a file of fixed size, checked here."""
+def _read_vocabulary(ranks_path: str) -> dict[bytes, int]:
+    """The vocabulary, read by the driver, which sends it to the executors; a file of fixed size, checked here."""
     ranks = read_ranks(ranks_path)
     if len(ranks) > 1_000_000:
         raise ValueError(f"{ranks_path} has {len(ranks)} tokens; a vocabulary of at most 1,000,000 is sent to executors")
-    return spark.sparkContext.broadcast((ranks, pattern))
+    return ranks
 
 
-def _with_codec(df: DataFrame, ranks_path: str, pattern: str, fn, schema: str) -> DataFrame:
-    sent = _share(df.sparkSession, ranks_path, pattern)
-    name = (ranks_path, pattern, df.sparkSession.sparkContext.applicationId, sent._jbroadcast.id())
+def _codec_of(sent, name: tuple) -> Codec:
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Codec(*sent.value)
+    return _KEPT[name]
+
+
+def word_table(df: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """(word, n, ids binary): every different word of the texts that isn't a token, how often it stands, its ids (int32).
+
+    ``df``: one column of texts.  Each task adds up its own words, HELD different ones at a time; each word of
+    the corpus is then merged once, many together.
+    """
+    spark = df.sparkSession
+    sent = spark.sparkContext.broadcast((ranks, pattern))
+    name = (spark.sparkContext.applicationId, sent._jbroadcast.id())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, counted = _codec_of(sent, name), Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counted), pa.string()), pa.array(list(counted.values()), pa.int64())], names=["word", "n"])
+
+        for part in (p for batch in batches for p in slices(batch)):
+            for text in part.column(0):
+                counted.update(filterfalse(codec.memo.__contains__, codec.split(text.as_py() or "")))
+                if len(counted) > HELD:
+                    yield out()
+                    counted.clear()
+        if counted:
+            yield out()
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec_of(sent, name)
+        held: list[pa.RecordBatch] = []
+
+        def out() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            ids = codec.replay.encode([w.encode() for w in table.column(0).to_pylist()])
+            held.clear()
+            return pa.RecordBatch.from_arrays([table.column(0), table.column(1), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= TOGETHER or sum(b.nbytes for b in held) >= SLICE:
+                yield out()
+        if held:
+            yield out()
+
+    counts = df.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    table = written(counts.mapInArrow(merged, "word string, n long, ids binary"))
+    sent.destroy()
+    return table
+
+
+def _with_codec(df: DataFrame, ranks_path: str, pattern: str, fn, schema: str, head: int = 0) -> DataFrame:
+    """``fn`` of a codec and a batch; ``head``: words of the corpus whose ids are worked out before and sent along.  The last column is the text."""
+    spark = df.sparkSession
+    ranks = _read_vocabulary(ranks_path)
+    frequent: dict[str, bytes] = {}
+    if head:
+        rows = most_frequent(word_table(df.select(df.columns[-1]), ranks, pattern).where("n > 1"), "n", head)
+        frequent = {r["word"]: bytes(r["ids"]) for r in rows.where(F.length("word") <= LONG).collect()}  # ``head`` rows at most, of bounded length
+    sent = spark.sparkContext.broadcast((ranks, pattern, frequent))
+    name = (spark.sparkContext.applicationId, sent._jbroadcast.id())
 
     def rows(batch: pa.RecordBatch) -> Iterator[dict]:
-        if name not in _KEPT:
-            _KEPT.clear()
-            _KEPT[name] = Codec(*sent.value)
-        yield from fn(_KEPT[name], batch)
+        yield from fn(_codec_of(sent, name), batch)
 
     return map_rows(df, rows, schema)
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """Rows (id, ids array<int>) for every row of ``df``.  Null text encodes as empty; other columns don't matter."""
 
     def rows(codec: Codec, batch: pa.RecordBatch) -> Iterator[dict]:
@@ -300,7 +374,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         for k, ids in enumerate(codec.encode_batch(texts)):
             yield {"doc_id": keys.slice(k, 1), "ids": [ids.tolist()]}
 
-    return _with_codec(df.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text"), ranks_path, pattern, rows, "doc_id long, ids array<int>")
+    return _with_codec(df.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text"), ranks_path, pattern, rows, "doc_id long, ids array<int>", head)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -313,11 +387,12 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     return _with_codec(df.selectExpr(f"`{id_col}` AS doc_id", f"`{ids_col}` AS ids"), ranks_path, pattern, rows, "doc_id long, decoded binary")
 
 
-def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """Encode every text, decode the ids, and return digests of both: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     A null text counts as empty (no tokens, digests of nothing); a null id stays null; repeated rows give
-    repeated results; an empty table gives none.  No shuffle: each task encodes the rows it reads.
+    repeated results; an empty table gives none.  The table is read twice: its words are counted and merged, and
+    ``head`` of them sent along, before each task encodes the rows it reads; tokens aren't shuffled.
     """
 
     def rows(codec: Codec, batch: pa.RecordBatch) -> Iterator[dict]:
@@ -330,4 +405,4 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
         yield {"doc_id": batch.column(0), "n_tokens": n, "ids_sha256": ids_hash, "decoded_sha256": decoded_hash}
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _with_codec(df.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text"), ranks_path, pattern, rows, schema)
+    return _with_codec(df.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text"), ranks_path, pattern, rows, schema, head)
