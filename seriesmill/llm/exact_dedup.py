@@ -74,11 +74,16 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             sizes.append(sum(p["n_bytes"] for p in parts))
         yield {"doc_id": batch.column(0), "fp": fps, "n_bytes": sizes, "text_sha256": batch.column(2)}
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # one piece at a time: a text is never held more than once, nor copied for each of its pieces
+        for batch in batches:
+            for k in range(batch.num_rows):
+                data = memoryview(batch.column(2)[k].as_buffer())
+                for part, at in enumerate(range(0, len(data), huge)):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([part], pa.int32()), pa.array([bytes(data[at : at + huge])], pa.binary())], names=["doc_id", "row", "part", "data"])
+
     long = rows.where(F.octet_length("data") > huge).select("doc_id", F.sha2("data", 256).alias("row"), "data")
-    starts = F.sequence(F.lit(0), ((F.octet_length("data") - 1) / huge).cast("int"))
-    parts = long.select("doc_id", "row", "data", F.explode(starts).alias("part")).select(
-        "doc_id", "row", "part", F.expr(f"substring(data, part * {huge} + 1, {huge})").alias("data")
-    )
+    parts = long.mapInArrow(cut, "doc_id long, row string, part int, data binary")
     hashed = map_rows(parts.repartition(F.col("row"), F.col("part")), piece, "doc_id long, row string, part int, fp string, n_bytes long")
     # one list per huge text, as long as its pieces are many; equal rows of one id share a list
     lists = hashed.dropDuplicates(["doc_id", "row", "part"]).groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("part", "fp", "n_bytes"))).alias("parts"))
@@ -89,7 +94,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return small.unionByName(map_rows(lists.select("doc_id", "parts", "row"), joined, "doc_id long, fp string, n_bytes long, text_sha256 string"))
 
 
-def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prime: int = PRIME, huge: int = HUGE, compare_chars: int = 1 << 16) -> DataFrame:
+def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prime: int = PRIME, huge: int = HUGE, compare_bytes: int = 1 << 16) -> DataFrame:
     """One row per row of ``df``: doc_id, keep_id (largest id among equal texts), group_size (rows), kept, text_sha256.
 
     Null text equals empty text; texts differ by any byte.  Rows that repeat an id with the same text are
@@ -105,7 +110,9 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = df.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(F.col(f"`{text_col}`")).alias("text"))
     texts = texts.join(suspects, texts["doc_id"].eqNullSafe(suspects["doc_id"]) & (F.octet_length("text") == suspects["n_bytes"])).select(texts["doc_id"], "text", "fp", "n_bytes")
     # streaming comparison: for each place in a group's texts, one pass keeps the least and the greatest chunk
-    chunks = texts.select("fp", "n_bytes", F.posexplode(F.expr(f"transform(sequence(0, cast((length(text) - 1) / {compare_chars} as int)), k -> substring(text, k * {compare_chars} + 1, {compare_chars}))")).alias("part", "chunk"))
+    # bytes, as a piece of them is found at once, and one of characters by counting from the beginning
+    pieces = f"transform(sequence(0, cast((octet_length(d) - 1) / {compare_bytes} as int)), k -> substring(d, k * {compare_bytes} + 1, {compare_bytes}))"
+    chunks = texts.select("fp", "n_bytes", F.encode("text", "utf-8").alias("d")).select("fp", "n_bytes", F.posexplode(F.expr(pieces)).alias("part", "chunk"))
     unequal = chunks.groupBy("fp", "n_bytes", "part").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).where("a <> b").select("fp", "n_bytes").distinct()
     unequal = written(unequal)
     if not unequal.isEmpty():

@@ -15,7 +15,7 @@ def test_fingerprints_compose():
         assert dedup.fingerprint(a + b) == dedup.combine(dedup.fingerprint(a), dedup.fingerprint(b), len(b)) == whole
 
 
-@pytest.mark.parametrize("settings", [{}, {"prime": 7, "compare_chars": 3}, {"huge": 4}, {"huge": 3, "prime": 5, "compare_chars": 2}])
+@pytest.mark.parametrize("settings", [{}, {"prime": 7, "compare_bytes": 3}, {"huge": 4}, {"huge": 3, "prime": 5, "compare_bytes": 2}])
 def test_against_a_dictionary(docs, odd, settings):
     random.seed(7)
     texts = [*odd, *odd, *("".join(random.choice("ab\n é") for _ in range(random.randrange(7))) for _ in range(120))]
