@@ -3,9 +3,10 @@
 The product of the sparse document-by-shingle matrix with its transpose holds the overlap of every pair.  It is
 never formed whole.  (1) Equal sets are one row.  (2) Of each row only a prefix is indexed: with its shingles in
 a fixed order, rare ones first, two rows whose overlap reaches the bound that follows from their sizes share k
-of the first n - ceil(t * n) + k.  (3) Columns with one entry go.  (4) Each column's rows meet its first and its last
-row: overlaps are added up, pairs below the bounds discarded, the others counted against the whole rows, and what
-links is contracted to components.  A cluster of m near copies is mostly done with after some 2 m pairs.  (5) Columns
+of the first n - ceil(t * n) + k.  (3) Columns with one entry go.  (4) In columns of more than a few entries each row
+meets the first and the last one: overlaps are added up, pairs below the bounds discarded, the pair of each row that
+shares most columns is counted against the whole rows, and what links is contracted to components.  A cluster of m
+near copies is mostly done with after m pairs.  (5) Columns
 of few entries list the pairs of rows that are still in different components, treated likewise.  (6) In columns of many
 entries only rows outside the column's largest component are multiplied with the others, in blocks of bounded rows
 and shingles; columns of equal rows are one.  Components are exact: two rows that link are in one component after
@@ -33,6 +34,8 @@ from .graph import components
 
 #: Shingles with a known count, at most: 8 MB to each executor.
 HOT_ENTRIES = 500_000
+#: Rows of columns of more entries than this meet one of the column's ends first.
+STARRED = 8
 #: Columns of up to so many entries list their pairs.
 LISTED = 128
 #: Rows of a block of a longer column, and shingles of all its rows (a row of more is a block of its own size).
@@ -223,7 +226,7 @@ def block_links(nodes: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, a
     return links
 
 
-def classes(docs: DataFrame, words: int, percent: int, hot_entries: int = HOT_ENTRIES, listed: int = LISTED, block: int = BLOCK, weight: int = WEIGHT) -> DataFrame:
+def classes(docs: DataFrame, words: int, percent: int, hot_entries: int = HOT_ENTRIES, starred: int = STARRED, listed: int = LISTED, block: int = BLOCK, weight: int = WEIGHT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, copies of its set.
 
     Two documents link when 100 * |A & B| >= percent * |A | B|; component_id is the least doc_id reachable.  A text
@@ -251,10 +254,6 @@ def classes(docs: DataFrame, words: int, percent: int, hot_entries: int = HOT_EN
     entries = rows.where("node IS NOT NULL").select("node", "n", F.explode("prefix").alias("token"))
     columns = entries.groupBy("token").agg(F.count("*").alias("entries"), F.min("node").alias("first"), F.min_by("n", "node").alias("first_n"), F.max("node").alias("last"), F.max_by("n", "node").alias("last_n"), F.sum("n").alias("weight")).where("entries > 1")
     entries = written(entries.join(columns, "token"))
-    bound = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100))
-
-    # whole rows of those that share enough to be in any pair
-    needed = rows.select("node", "fp").join(entries.groupBy("node", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= bound).select("node"), "node")
 
     def whole(batch: pa.RecordBatch) -> Iterator[dict]:
         nodes, sets = [], []
@@ -265,8 +264,11 @@ def classes(docs: DataFrame, words: int, percent: int, hot_entries: int = HOT_EN
                 sets.append(s.tobytes())
         yield {"node": nodes, "shingles": sets}
 
-    texts = docs.join(needed, docs["doc_id"] == needed["node"]).select("node", "text", "fp")
-    sets = written(map_rows(texts, whole, "node long, shingles binary"))  # a repeated row gives a repeated set, which links alike
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """(node, shingles) of the nodes; a repeated row gives a repeated set, which links alike."""
+        needed = rows.select("node", "fp").join(nodes.distinct(), "node")
+        texts = docs.join(needed, docs["doc_id"] == needed["node"]).select("node", "text", "fp")
+        return written(map_rows(texts, whole, "node long, shingles binary"))
 
     def counted(batch: pa.RecordBatch) -> Iterator[dict]:
         out: dict[str, list] = {"a": [], "b": []}
@@ -278,24 +280,32 @@ def classes(docs: DataFrame, words: int, percent: int, hot_entries: int = HOT_EN
                 out["b"].append(b)
         yield out
 
-    def links_of(met: DataFrame) -> DataFrame:
-        """Of pairs (a, b, na, nb), one row for each column that both are in, those that link."""
+    def added_up(met: DataFrame) -> DataFrame:
+        """Of pairs (a, b, na, nb), one row for each column that both are in, those that may link, with the columns they share."""
         smaller, larger = F.least("na", "nb"), F.greatest("na", "nb")
         met = met.where(smaller * 100 >= larger * percent).groupBy("a", "b").agg(F.count("*").alias("both"), F.first(smaller).alias("n"))
-        pairs = met.where(F.col("both") >= bound).select("a", "b")
+        return met.where(F.col("both") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100))).select("a", "b", "both")
+
+    def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         return map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), counted, "a long, b long")
 
-    # each row with its columns' first and last; those two meet once
-    first = entries.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), F.col("first_n").alias("na"), F.col("n").alias("nb"))
-    last = entries.where("node <> first AND node <> last").select(F.col("node").alias("a"), F.col("last").alias("b"), F.col("n").alias("na"), F.col("last_n").alias("nb"))
-    stars = written(links_of(first.unionByName(last)))
-    so_far = components(stars)
+    def ends_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+
+    # in columns of more entries, each row (b) with the first or last row (a) that it shares most columns with
+    long = entries.where(F.col("entries") > starred)
+    first = long.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), F.col("first_n").alias("na"), F.col("n").alias("nb"))
+    last = long.where("node <> first AND node <> last").select(F.col("last").alias("a"), F.col("node").alias("b"), F.col("last_n").alias("na"), F.col("n").alias("nb"))
+    stars = written(added_up(first.unionByName(last)).groupBy("b").agg(F.max_by("a", "both").alias("a")).select("a", "b"))
+    star_sets = sets_of(ends_of(stars))
+    star_links = written(links_of(stars, star_sets))
+    so_far = components(star_links)
     placed = written(entries.join(so_far, "node", "left").select("token", "node", "n", "entries", "weight", F.coalesce("component", "node").alias("part")))
 
     few = placed.where(F.col("entries") <= listed)
     a, b = few.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa")), few.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-    listed_links = links_of(a.join(b, "token").where("a < b AND pa <> pb"))
+    pairs = written(added_up(a.join(b, "token").where("a < b AND pa <> pb")).select("a", "b"))
 
     # of a long column: the rows outside its largest component ask, and all answer; columns of equal rows are one
     many = placed.where(F.col("entries") > listed)
@@ -305,7 +315,7 @@ def classes(docs: DataFrame, words: int, percent: int, hot_entries: int = HOT_EN
     dense = many.join(tokens, "token")
     # as a share of the column's blocks: about as many askers to a block as there are rows in one
     asks = F.greatest(F.lit(1), F.ceil(F.col("blocks") * (F.col("entries") - F.col("k")) / F.col("entries"))).cast("int")
-    dense = dense.select("token", "node", "part", "blocks", asks.alias("asks"), (F.col("part") != F.col("largest")).alias("asking"))
+    dense = written(dense.select("token", "node", "part", "blocks", asks.alias("asks"), (F.col("part") != F.col("largest")).alias("asking")))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     asking = dense.where("asking").select("token", "node", "part", "asking", own("asks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
     answering = dense.select("token", "node", "part", F.lit(False).alias("asking"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("i"), own("blocks").alias("j"))
@@ -316,8 +326,10 @@ def classes(docs: DataFrame, words: int, percent: int, hot_entries: int = HOT_EN
         links = block_links(cell["node"].to_numpy(), [np.frombuffer(s, np.int64) for s in cell["shingles"]], cell["part"].to_numpy(), cell["asking"].to_numpy(), percent)
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
+    more = ends_of(pairs).unionByName(dense.select("node")).distinct().join(star_sets.select("node"), "node", "left_anti")
+    sets = star_sets.unionByName(sets_of(more))
     dense_links = cells.join(sets, "node").groupBy("token", "i", "j").applyInPandas(multiplied, "a long, b long")
-    found = components(stars.unionByName(listed_links).unionByName(dense_links))
+    found = components(star_links.unionByName(links_of(pairs, sets)).unionByName(dense_links))
     named = written(rows.select("fp", "node", "copies").join(found, "node", "left").select("fp", "copies", F.coalesce("component", "node").alias("component")))
     alone = F.col("n") == 0
     return base.join(named, "fp", "left").select(

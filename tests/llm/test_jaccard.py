@@ -51,7 +51,7 @@ def test_shingles():
     assert (window == whole).all()
 
 
-@pytest.mark.parametrize(("words", "percent", "settings"), [(3, 90, {}), (5, 80, {"listed": 3, "block": 4}), (2, 60, {"hot_entries": 5, "listed": 10, "block": 6}), (2, 60, {"listed": 2, "block": 3, "weight": 40}), (1, 50, {"listed": 1, "block": 2})])
+@pytest.mark.parametrize(("words", "percent", "settings"), [(3, 90, {}), (5, 80, {"starred": 1, "listed": 3, "block": 4}), (2, 60, {"hot_entries": 5, "listed": 10, "block": 6}), (2, 60, {"starred": 2, "listed": 2, "block": 3, "weight": 40}), (1, 50, {"starred": 1, "listed": 1, "block": 2})])
 def test_against_all_pairs(docs, odd, words, percent, settings):
     texts = [*corpus(words), *odd, *odd]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(docs(texts), words, percent, **settings).collect()}
