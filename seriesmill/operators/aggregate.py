@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..model import label_text, no_labels
+from .quantiles import quantiles
 
 NAN = float("nan")
 #: min of nothing but NaN, max of nothing but NaN.
@@ -58,7 +59,8 @@ def aggregate(samples: DataFrame, op: str, by: list[str] | None = None, without:
     """sum, avg, min, max, count, stddev, stdvar, group or quantile of each group at each time.
 
     ``collapse_time`` aggregates all samples of a group into one, stamped ``start``.  Sums and the like are
-    pre-aggregated before the one shuffle, so that a large group is no burden.
+    pre-aggregated before the one shuffle, so that a large group is no burden.  A quantile over all times is found from
+    counts of values; one at each time takes a group's values of that time, one for each series, together.
     """
     if op == "quantile":
         q = 0.5 if arg is None else arg
@@ -70,6 +72,11 @@ def aggregate(samples: DataFrame, op: str, by: list[str] | None = None, without:
     else:
         raise ValueError(f"unknown aggregation {op!r}")
     keyed = _keyed(samples, by, without)
+    if collapse_time and op == "quantile":
+        named = keyed.select("metric", label_text().alias("key"), "labels", "value")
+        groups = named.groupBy("metric", "key").agg(F.any_value("labels").alias("labels"))
+        found = quantiles(named, ["metric", "key"], {"value": q})
+        return _as_samples(groups.join(found, ["metric", "key"]).withColumn("ts", F.lit(start).cast("long")))
     if collapse_time:
         out = keyed.groupBy("metric", "labels").agg(what.alias("value")).withColumn("ts", F.lit(start).cast("long"))
     else:
@@ -114,10 +121,27 @@ def count_values(samples: DataFrame, label: str, by: list[str] | None = None, wi
 RUNNING = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
 
 
-def running(samples: DataFrame, op: str) -> DataFrame:
-    """Cumulative sum, mean, min or max of each series, in time order."""
-    window = Window.partitionBy("series_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return samples.withColumn("value", RUNNING[op]("value").over(window))
+def running(samples: DataFrame, op: str, slice_ms: int | None = None) -> DataFrame:
+    """Cumulative sum, mean, min or max of each series, in time order.
+
+    ``slice_ms`` cuts series that are too long for one task into slices of time: what stood before a slice is one row.
+    """
+    so_far = Window.unboundedPreceding, Window.currentRow
+    if slice_ms is None:
+        return samples.withColumn("value", RUNNING[op]("value").over(Window.partitionBy("series_id").orderBy("ts", "seq").rowsBetween(*so_far)))
+    cut = samples.withColumn("__slice", F.floor(F.col("ts") / slice_ms))
+    inside = Window.partitionBy("series_id", "__slice").orderBy("ts", "seq").rowsBetween(*so_far)
+    slices = Window.partitionBy("series_id").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    # sums and counts go on by adding, extremes by themselves
+    parts = {"sum": F.sum("value"), "n": F.count("value"), "min": F.min("value"), "max": F.max("value")}
+    more = {"sum": F.sum, "n": F.sum, "min": F.min, "max": F.max}
+    totals = cut.groupBy("series_id", "__slice").agg(*(p.alias(f"__{k}") for k, p in parts.items()))
+    totals = totals.select("series_id", "__slice", *(more[k](f"__{k}").over(slices).alias(f"__{k}") for k in parts))
+    rows = cut.withColumns({"__own": RUNNING["sum" if op == "avg" else op]("value").over(inside), "__own_n": F.count("value").over(inside)}).join(totals, ["series_id", "__slice"])
+    sum_, n = F.col("__own") + F.coalesce("__sum", F.lit(0.0)), F.col("__own_n") + F.coalesce("__n", F.lit(0))
+    # least and greatest pass over the null of a first slice
+    value = {"sum": sum_, "avg": sum_ / n, "min": F.least("__own", "__min"), "max": F.greatest("__own", "__max")}[op]
+    return rows.withColumn("value", value).select(samples.columns)
 
 
 def array_aggregate(values: Column, op: str) -> Column:

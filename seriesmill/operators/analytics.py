@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .quantiles import at_places, quantiles
+
 #: Samples a summary needs, and how many it looks at.
 LEAST, MOST = 10, 10_000
 
@@ -19,9 +21,9 @@ def _names(*more):
 
 def basic_stats(samples: DataFrame) -> DataFrame:
     """count, min, max, mean, median, std (population), p25, p75, p95, p99 of each series."""
-    p = F.percentile("value", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.95, 0.99))))
-    out = samples.groupBy("series_id").agg(*_names(F.count(F.lit(1)).alias("count"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), p.alias("p")))
-    return out.select("series_id", "metric", "labels", "count", "min", "max", "mean", F.col("p")[1].alias("median"), "std", F.col("p")[0].alias("p25"), F.col("p")[2].alias("p75"), F.col("p")[3].alias("p95"), F.col("p")[4].alias("p99"))
+    out = samples.groupBy("series_id", "metric", "labels").agg(F.count(F.lit(1)).alias("count"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    found = quantiles(samples, ["series_id"], {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99})
+    return out.join(found, "series_id").select("series_id", "metric", "labels", "count", "min", "max", "mean", "median", "std", "p25", "p75", "p95", "p99")
 
 
 def _numbered(samples: DataFrame) -> DataFrame:
@@ -71,15 +73,13 @@ def summary(samples: DataFrame, least: int = LEAST, most: int = MOST) -> DataFra
 
 def time_features(samples: DataFrame) -> DataFrame:
     """Moments, extremes and quartiles (of places n div 4 and 3n div 4) of each series."""
-    ordered = Window.partitionBy("series_id").orderBy("value")
-    n = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
-    ranked = samples.withColumn("__k", F.row_number().over(ordered) - 1).withColumn("__n", n)
-    at = lambda share: F.max(F.when(F.col("__k") == F.floor(F.col("__n") * share / 4), F.col("value")))
-    out = ranked.groupBy("series_id").agg(*_names(
+    out = samples.groupBy("series_id", "metric", "labels").agg(
         F.avg("value").alias("mean"), F.var_pop("value").alias("variance"), F.stddev_pop("value").alias("std"), F.skewness("value").alias("skewness"), F.kurtosis("value").alias("kurtosis"),
-        F.min("value").alias("min"), F.max("value").alias("max"), F.percentile("value", 0.5).alias("median"), at(1).alias("q1"), at(3).alias("q3"),
-        F.sum("value").alias("sum"), F.count(F.lit(1)).alias("count"),
-    ))
+        F.min("value").alias("min"), F.max("value").alias("max"), F.sum("value").alias("sum"), F.count(F.lit(1)).alias("count"),
+    )
+    places = {"q1": lambda n: F.floor(n / 4), "q3": lambda n: F.floor(n * 3 / 4), "low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.ceil((n - 1) / 2)}
+    found = at_places(samples, ["series_id"], places).select("series_id", "q1", "q3", ((F.col("low") + F.col("high")) / 2).alias("median"))
+    out = out.join(found, "series_id")
     zero = lambda c: F.coalesce(F.when(F.col("std") == 0, 0.0).otherwise(F.col(c)), F.lit(0.0)).alias(c)
     return out.select("series_id", "metric", "labels", "mean", "variance", "std", zero("skewness"), zero("kurtosis"), "min", "max", "median", "q1", "q3", (F.col("max") - F.col("min")).alias("range"), "sum", "count")
 

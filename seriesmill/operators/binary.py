@@ -59,13 +59,11 @@ def vector_vector(left: DataFrame, right: DataFrame, op: str, on: list[str] | No
     else:
         many, one = left, right
     key = match_key(on, ignoring)
+    if group is None:
+        return _one_to_one(left, right, op, key, as_bool)
     single = one.groupBy(key.alias("__key"), "ts").agg(F.first("value").alias("__other"), F.first("labels").alias("__labels"), F.count(F.lit(1)).alias("__n"))
     one_checked = F.when(F.col("__n") > 1, F.raise_error(F.lit("several series match on the side that must have one"))).otherwise(F.col("__other"))
     rows = many.withColumn("__key", key)
-    if group is None:
-        check = rows.groupBy("__key", "ts").agg(F.count(F.lit(1)).alias("__m"))
-        rows = rows.join(check, ["__key", "ts"])
-        one_checked = F.when(F.col("__m") > 1, F.raise_error(F.lit("several series match; group_left or group_right is needed"))).otherwise(one_checked)
     rows = rows.join(single, ["__key", "ts"]).withColumn("__other", one_checked.cast("double"))
     a, b = F.col("value"), F.col("__other")
     if group == "right":
@@ -75,19 +73,36 @@ def vector_vector(left: DataFrame, right: DataFrame, op: str, on: list[str] | No
         names = list(include)
         extra = F.map_filter("__labels", lambda k, _: k.isin(names))
         out = out.withColumn("labels", F.map_concat(F.map_filter("labels", lambda k, _: ~k.isin(names)), extra))
+    return _named(out, op, as_bool)
+
+
+def _named(out: DataFrame, op: str, as_bool: bool) -> DataFrame:
     keeps_name = op in COMPARISON and not as_bool
     out = out if keeps_name else out.withColumn("metric", F.lit(""))
     return out.withColumn("series_id", F.xxhash64("metric", label_text())).select(COLUMNS)
 
 
+def _one_to_one(left: DataFrame, right: DataFrame, op: str, key: Column, as_bool: bool) -> DataFrame:
+    """Both sides brought together by one shuffle on key and time, counted and paired in one pass."""
+    rows = left.select(key.alias("__key"), "ts", F.struct("metric", "labels", "value", "seq").alias("l"), F.lit(None).cast("double").alias("r"), F.lit(True).alias("is_left"))
+    rows = rows.unionByName(right.select(key.alias("__key"), "ts", F.lit(None).cast(rows.schema["l"].dataType).alias("l"), F.col("value").alias("r"), F.lit(False).alias("is_left")))
+    met = rows.groupBy("__key", "ts").agg(F.first("l", True).alias("l"), F.first("r", True).alias("r"), F.count_if("is_left").alias("m"), F.count_if(~F.col("is_left")).alias("n")).where("m > 0 AND n > 0")
+    checked = (
+        F.when(F.col("m") > 1, F.raise_error(F.lit("several series match; group_left or group_right is needed")))
+        .when(F.col("n") > 1, F.raise_error(F.lit("several series match on the side that must have one"))).otherwise(F.col("r")).cast("double")
+    )
+    paired = met.select("ts", "l.metric", "l.labels", "l.value", "l.seq", checked.alias("__other"))
+    return _named(_result(paired, op, F.col("value"), F.col("__other"), as_bool), op, as_bool)
+
+
 def positional(left: DataFrame, right: DataFrame, op: str) -> DataFrame:
     """The n-th series of one side with the n-th of the other (by label text), at equal times; off unless called."""
 
     def numbered(df: DataFrame) -> DataFrame:
-        from pyspark.sql.window import Window
+        from .places import numbered as with_place
 
-        names = df.groupBy("series_id").agg(F.first("metric").alias("m"), label_text(F.first("labels")).alias("t"))
-        return df.join(names.select("series_id", F.row_number().over(Window.orderBy("m", "t")).alias("__n")), "series_id")
+        names = df.groupBy("series_id", F.col("metric").alias("m"), label_text().alias("t")).agg(F.lit(1))
+        return df.join(with_place(names.select("series_id", "m", "t"), F.col("m"), F.col("t"), name="__n").select("series_id", "__n"), "series_id")
 
     other = numbered(right).select("__n", "ts", F.col("value").alias("__other"))
     return _result(numbered(left).join(other, ["__n", "ts"]), op, F.col("value"), F.col("__other"), True).select(COLUMNS)

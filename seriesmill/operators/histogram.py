@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..model import label_text
+from ..model import COLUMNS, label_text
+from .quantiles import at_places
 
 
 def histogram_quantile(samples: DataFrame, q: float) -> DataFrame:
@@ -42,8 +43,6 @@ def histogram_quantile(samples: DataFrame, q: float) -> DataFrame:
 
 def nearest_rank(samples: DataFrame, q: float = 0.99, end: int | None = None) -> DataFrame:
     """Per series the value at place floor(q * (n - 1)) of its sorted values."""
-    ordered = Window.partitionBy("series_id").orderBy("value")
-    n = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
-    rows = samples.withColumn("__k", F.row_number().over(ordered) - 1).withColumn("__n", n).withColumn("__last", F.max("ts").over(Window.partitionBy("series_id")))
-    hit = rows.where(F.col("__k") == F.floor((F.col("__n") - 1) * F.lit(q)))
-    return hit.withColumn("ts", F.col("__last") if end is None else F.lit(end).cast("long")).drop("__k", "__n", "__last")
+    names = samples.groupBy("series_id", "metric", "labels").agg((F.max("ts") if end is None else F.lit(end).cast("long")).alias("ts"))
+    found = at_places(samples, ["series_id"], {"value": lambda n: F.floor((n - 1) * F.lit(float(q)))})
+    return names.join(found, "series_id").withColumn("seq", F.lit(0).cast("long")).select(COLUMNS)

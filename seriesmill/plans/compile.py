@@ -34,8 +34,10 @@ class Context:
     rollup: str = "off"
     per_second: bool = False
     lookback_ms: int = 0
-    #: Length of the slices that series too long for one task are cut into.
+    #: Length of the slices that series too long for one task are cut into; by default a 64th of what a query reads, if that is long.
     slice_ms: int | None = None
+    #: The same for smoothing, whose slices give the last digits otherwise: for longer queries only.
+    smooth_ms: int | None = None
     default_step_ms: int = 60_000
     #: Samples of all times, from which the series that exist are known; by default ``samples``.
     known: Callable[[], DataFrame] | None = None
@@ -83,10 +85,19 @@ def evaluate(query: str | Expr, samples: DataFrame | Callable[[int, int], DataFr
         last = start if end is None else end
         known = partial(samples, None, None)
         samples = samples(*(bounds(tree, start, last, options.get("lookback_ms", 0)) or (start, last)))
-    c = Context(samples, start, start if end is None else end, known=known, **options)
+    last = start if end is None else end
+    reads = bounds(tree, start, last, options.get("lookback_ms", 0)) or (start, last)
+    given = options.pop("slice_ms", None)
+    options |= {"slice_ms": given or slice_for(*reads), "smooth_ms": given or slice_for(*reads, whole_ms=60 * 86_400_000)}
+    c = Context(samples, start, last, known=known, **options)
     return _as_vector(_value(tree, c), c)
 
 
+def slice_for(start: int, end: int, whole_ms: int = 2 * 86_400_000, slices: int = 64) -> int | None:
+    """The length of time that a series' samples are taken together for, in a query that reads [start, end]; None: all of them."""
+    return max(3_600_000, (end - start) // slices) if end - start > whole_ms else None
+
+
 def evaluate_range(query: str | Expr, samples: DataFrame | Callable[[int, int], DataFrame], start: int, end: int, step: int, **options) -> DataFrame:
     """``evaluate`` for a range query, whose bounds and step are checked first."""
     check_range_query(start, end, step)
@@ -312,8 +323,8 @@ def _call(e: Call, c: Context) -> Value:
     plain = {
         "rate": lambda: over_time.rate(x, c.per_second, slice_ms=c.slice_ms), "irate": lambda: over_time.irate(x, c.per_second), "increase": lambda: over_time.increase(x),
         "delta": lambda: over_time.delta(x), "idelta": lambda: over_time.idelta(x), "resets": lambda: over_time.resets(x, c.end, c.slice_ms), "changes": lambda: over_time.changes(x, c.end, c.slice_ms),
-        "deriv": lambda: over_time.deriv(x, c.start), "predict_linear": lambda: over_time.predict_linear(x, *(numbers or [60.0]), end=c.end, origin=c.start), "holt_winters": lambda: over_time.holt_winters(x, *numbers),
-        "double_exponential_smoothing": lambda: over_time.holt_winters(x, *numbers), "present_over_time": lambda: over_time.present_over_time(x, c.end),
+        "deriv": lambda: over_time.deriv(x, c.start), "predict_linear": lambda: over_time.predict_linear(x, *(numbers or [60.0]), end=c.end, origin=c.start), "holt_winters": lambda: over_time.holt_winters(x, *numbers, slice_ms=c.smooth_ms),
+        "double_exponential_smoothing": lambda: over_time.holt_winters(x, *numbers, slice_ms=c.smooth_ms), "present_over_time": lambda: over_time.present_over_time(x, c.end),
         "absent": lambda: fn.absent(x, c.start), "scalar": lambda: Scalar(fn.scalar(x, c.start)), "timestamp": lambda: fn.timestamp(x), "sort": lambda: fn.sort(x), "sort_desc": lambda: fn.sort(x, True),
     }
     if name not in plain:

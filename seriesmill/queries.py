@@ -312,7 +312,7 @@ def _(spark, d):
 for _op in ("sum", "avg", "min", "max"):
 
     def _running(spark, d, op=_op):
-        return flat(agg.running(both(spark, d), op), "event_type", "user_id")
+        return flat(agg.running(both(spark, d), op, slice_ms=3 * DAY), "event_type", "user_id")
 
     query(f"g19_running_{_op}", f"WITH {BASE} SELECT event_type, user_id, ts, round({_op}(value) OVER (PARTITION BY event_type, user_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING), 6) AS value FROM s")(_running)
 
@@ -381,12 +381,12 @@ def _(spark, d):
 
 @query("r16_linear_residuals", f"WITH {BASE} SELECT event_type, user_id, ts, round(coalesce(value - (2 * lag(value) OVER w - lag(value, 2) OVER w), value), 6) AS value FROM s WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts, seq)")
 def _(spark, d):
-    return flat(ot.linear_residuals(both(spark, d)), "event_type", "user_id")
+    return flat(ot.linear_residuals(both(spark, d), 3 * DAY), "event_type", "user_id")
 
 
 @query("r16_undo_residuals", f"WITH {BASE} SELECT event_type, user_id, ts, round(value, 4) AS value FROM s")
 def _(spark, d):
-    return flat(ot.undo_linear_residuals(ot.linear_residuals(both(spark, d))), "event_type", "user_id", value=rounded(digits=4))
+    return flat(ot.undo_linear_residuals(ot.linear_residuals(both(spark, d), 3 * DAY), 3 * DAY), "event_type", "user_id", value=rounded(digits=4))
 
 
 # --- functions of values
@@ -432,8 +432,9 @@ def _(spark, d):
 def sorted_series(spark: SparkSession, d: str, descending: bool) -> DataFrame:
     """Every series by its first value, with its place: fn.sort's rows numbered by one count for each of their partitions."""
     first = both(spark, d).groupBy("series_id", "metric", "labels").agg(F.min_by("value", model.order()).alias("value"))
-    rows = fn.sort(first.withColumns({"ts": F.lit(0).cast("long"), "seq": F.lit(0).cast("long")}), descending)
-    numbered = rows.withColumn("at", F.monotonically_increasing_id())
+    path = store.scratch(spark, "sorted")
+    fn.sort(first.withColumns({"ts": F.lit(0).cast("long"), "seq": F.lit(0).cast("long")}), descending).withColumn("at", F.monotonically_increasing_id()).write.parquet(path)
+    numbered = spark.read.parquet(path)
     part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
     # the place of the first row of a partition: rows of all partitions before, one row a partition
     counts = numbered.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"))
@@ -695,7 +696,7 @@ def _(spark, d):
 @query(
     "y8_features",
     f"""WITH {BASE}, n AS (SELECT user_id, value, row_number() OVER w - 1 AS i, lag(value) OVER w AS b, count(*) OVER (PARTITION BY user_id) AS n, avg(value) OVER (PARTITION BY user_id) AS m, row_number() OVER (PARTITION BY user_id ORDER BY value) - 1 AS k FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, seq)),
-        t AS (SELECT user_id, count(*) AS count, round(avg(value), 6) AS mean, round(var_pop(value), 6) AS variance, round(stddev_pop(value), 6) AS std, round(avg((value - m) ^ 3) / stddev_pop(value) ^ 3, 6) AS skewness, round(avg((value - m) ^ 4) / var_pop(value) ^ 2 - 3, 6) AS kurtosis, round(min(value), 6) AS min, round(max(value), 6) AS max, round(median(value), 6) AS median,
+        t AS (SELECT user_id, count(*) AS count, round(avg(value), 9) AS mean, round(var_pop(value), 6) AS variance, round(stddev_pop(value), 6) AS std, round(avg((value - m) ^ 3) / stddev_pop(value) ^ 3, 6) AS skewness, round(avg((value - m) ^ 4) / var_pop(value) ^ 2 - 3, 6) AS kurtosis, round(min(value), 6) AS min, round(max(value), 6) AS max, round(median(value), 6) AS median,
               round(max(value) FILTER (k = n // 4), 6) AS q1, round(max(value) FILTER (k = 3 * n // 4), 6) AS q3, round(max(value) - min(value), 6) AS range, round(sum(value), 6) AS sum,
               round(regr_slope(value, i), 9) AS slope, round(arg_max(value, i) - arg_min(value, i), 6) AS trend, round(corr(value, i) ^ 2, 6) AS r2, round(sum(CASE WHEN (b >= 0 AND value < 0) OR (b < 0 AND value >= 0) THEN 1.0::DOUBLE ELSE 0 END) / (count(*) - 1), 6) AS zero_crossing_rate,
               round(avg(abs(value - m)), 6) AS mad, round(sqrt(avg(value * value)), 6) AS rms, round(max(abs(value)) / sqrt(avg(value * value)), 6) AS crest, round(sqrt(avg(value * value)) / avg(abs(value - m)), 6) AS shape FROM n WHERE n >= 10 GROUP BY 1),
@@ -708,9 +709,9 @@ def _(spark, d):
 def _(spark, d):
     rows = model.events(spark, d, ("user_id",))
     out = analytics.features(rows).join(metadata.series(rows).select("series_id", F.col("labels")["user_id"].alias("user_id")), "series_id")
-    fields = {"time": ("mean", "variance", "std", "skewness", "kurtosis", "min", "max", "median", "q1", "q3", "range", "sum"), "shape": ("trend", "r2", "zero_crossing_rate", "mad", "rms", "crest", "shape"), "frequency": ("dominant", "centroid", "spread", "entropy")}
+    fields = {"time": ("variance", "std", "skewness", "kurtosis", "min", "max", "median", "q1", "q3", "range", "sum"), "shape": ("trend", "r2", "zero_crossing_rate", "mad", "rms", "crest", "shape"), "frequency": ("dominant", "centroid", "spread", "entropy")}
     numbers = (rounded(f"{part}.{name}", name=name) for part, names in fields.items() for name in names)
-    return out.select("user_id", F.col("time.count").alias("count"), *numbers, rounded("shape.slope", 9, "slope"), rounded("frequency.power", 2, "power"))
+    return out.select("user_id", F.col("time.count").alias("count"), *numbers, rounded("time.mean", 9, "mean"), rounded("shape.slope", 9, "slope"), rounded("frequency.power", 2, "power"))
 
 
 @query("y10_request", f"WITH {DAILY} SELECT event_type, ts, round(avg(value), 6) AS value FROM d GROUP BY 1, 2")
@@ -760,6 +761,20 @@ SMOOTHED = f"""RECURSIVE {BASE}, n AS (SELECT *, row_number() OVER (PARTITION BY
                 SELECT h.event_type, h.user_id, n.k, n.ts, h.c, 0.3::DOUBLE * n.value + 0.7::DOUBLE * (h.level + h.trend) AS l, h.level, h.trend FROM h JOIN n ON n.event_type = h.event_type AND n.user_id = h.user_id AND n.k = h.k + 1))"""
 
 
+THIRDS = SMOOTHED.replace("0.3::DOUBLE", "(1.0::DOUBLE / 3)").replace("0.7::DOUBLE", "(2.0::DOUBLE / 3)").replace("0.1::DOUBLE", "(1.0::DOUBLE / 7)").replace("0.9::DOUBLE", "(6.0::DOUBLE / 7)")
+
+
+@query("r10_holt_winters_sliced", f"WITH {THIRDS} SELECT event_type, user_id, ts, round(level + trend, 6) AS value FROM h WHERE k > 1")
+def _(spark, d):
+    """Slices of a day side by side."""
+    return flat(ot.holt_winters(both(spark, d), 1 / 3, 1 / 7, slice_ms=DAY), "event_type", "user_id")
+
+
+@query("r15_residuals_sliced", ORACLES["r15_smoothing_residuals"].replace("0.3::DOUBLE", "(1.0::DOUBLE / 3)").replace("0.7::DOUBLE", "(2.0::DOUBLE / 3)").replace("0.1::DOUBLE", "(1.0::DOUBLE / 7)").replace("0.9::DOUBLE", "(6.0::DOUBLE / 7)"))
+def _(spark, d):
+    return flat(ot.smoothing_residuals(both(spark, d), 1 / 3, 1 / 7, slice_ms=DAY), "event_type", "user_id")
+
+
 @query("r15_forecast", f"WITH {SMOOTHED} SELECT event_type, user_id, ts, round(level + trend, 6) AS value FROM h WHERE k = c UNION ALL SELECT event_type, user_id, ts, round(value, 6) FROM n WHERE c = 1")
 def _(spark, d):
     return flat(ot.smoothing_forecast(both(spark, d)), "event_type", "user_id")

@@ -391,3 +391,45 @@ def test_empty(vector, counter):
     for f in (ot.rate, ot.irate, ot.increase, ot.resets, ot.holt_winters, analytics.basic_stats, analytics.features, metadata.label_names):
         assert f(none).count() == 0
     assert agg.aggregate(none, "sum").count() == 0 and metadata.stats(none).first().samples == 0
+
+
+def test_slices_change_nothing(vector):
+    """Every function of a series' order, by slices of several lengths and whole."""
+    random.seed(11)
+    rows = [("x", {"i": str(k % 3)}, int(random.uniform(0, 50_000)), random.choice((1, 2.5, -3, 7, 7))) for k in range(150)] + [("x", {"i": "one"}, 5, 4), ("x", {"i": "two"}, 5, 4), ("x", {"i": "two"}, 49_000, 6)]
+    x = vector(*rows)
+
+    def values(df):
+        return sorted((r.series_id, r.ts, r.seq, round(r.value, 6)) for r in df.collect())
+
+    undone = lambda df, s: ot.undo_linear_residuals(ot.linear_residuals(df, s), s)
+    functions = [lambda df, s: ot.rate(df, slice_ms=s), lambda df, s: ot.resets(df, slice_ms=s), lambda df, s: ot.changes(df, slice_ms=s), ot.linear_residuals, undone]
+    functions += [lambda df, s, op=op: agg.running(df, op, s) for op in agg.RUNNING]
+    functions += [lambda df, s, f=f: f(df, 1 / 3, 1 / 7, s) for f in (ot.holt_winters, ot.smoothing_residuals, ot.smoothing_forecast)]
+    for f in functions:
+        want = values(f(x, None))
+        for slice_ms in (700, 20_000):
+            assert values(f(x, slice_ms)) == want
+    assert values(undone(x, 700)) == values(x)
+
+
+def test_quantiles_of_any_values(spark):
+    """Against Spark's exact percentile, and places against sorted lists."""
+    from seriesmill.operators.quantiles import at_places, quantiles
+
+    random.seed(12)
+    pools = {
+        "normal": [random.gauss(0, 1) for _ in range(500)], "equal": [7.0] * 200, "few": [random.choice((1.0, -1.0, 0.0, 2.5)) for _ in range(300)], "one": [3.0], "two": [5.0, -5.0],
+        "close": [1 + k * 1e-12 for k in range(300)], "wide": [random.choice((-1, 1)) * 10 ** random.uniform(-300, 300) for _ in range(400)], "ends": [math.inf, -math.inf, 0.0, 1.0, 1.0, math.nan],
+    }
+    rows = spark.createDataFrame([(k, v) for k, vs in pools.items() for v in vs] + [("one", None)], "k string, value double")
+    places = {"first": lambda n: n * 0, "middle": lambda n: F.floor(n / 2), "last": lambda n: n - 1}
+    for r in at_places(rows, ["k"], places).collect():
+        vs = sorted(pools[r.k], key=lambda v: (math.isnan(v), v))
+        got, want = (r["first"], r.middle, r["last"]), (vs[0], vs[len(vs) // 2], vs[-1])
+        assert r.n == len(vs) and all(a == b or a != a and b != b for a, b in zip(got, want)), r
+    shares = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.987, "e": 1.0}
+    want = {r.k: r.p for r in rows.where("k <> 'ends'").groupBy("k").agg(F.percentile("value", F.array(*map(F.lit, shares.values()))).alias("p")).collect()}
+    for r in quantiles(rows.where("k <> 'ends'"), ["k"], shares).collect():
+        assert all(math.isclose(r[name], x, rel_tol=1e-9, abs_tol=1e-300) for name, x in zip(shares, want[r.k])), (r, want[r.k])
+    assert quantiles(rows.where("false"), ["k"], shares).count() == 0
