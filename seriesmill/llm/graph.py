@@ -14,7 +14,8 @@ def components(links: DataFrame) -> DataFrame:
     In each round every node points to the neighbour (or itself) that comes first in a random order drawn for
     the round, and links are renamed along the pointers; the links left shrink by a constant share, whatever the
     shape (chains, stars).  Each round is written to the shared folder.  A node's links never meet in
-    one task: minima are pre-aggregated.
+    one task: minima are pre-aggregated.  Links with a null end, of a node with itself, and repeated ones don't matter;
+    a node that has no other link has no row.  An empty table gives none.
     """
     edges = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     steps = []

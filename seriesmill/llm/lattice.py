@@ -78,7 +78,8 @@ class Pieces:
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) of all texts; n counts rows that aren't held out.  Columns: text, held_out.
 
-    Each task adds up its own words first, HELD different ones at a time.
+    Each task adds up its own words first, HELD different ones at a time.  Null and empty texts have no words;
+    repeated rows count each; a word of held-out rows only has n = 0; an empty table gives no rows.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
