@@ -47,6 +47,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/seriesmill-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession) -> None:
+    """Deletes all scratch folders of this application; results that read them must be stored before."""
+    _delete(spark, scratch(spark, "x").rsplit("/", 1)[0])
+
+
 class Store:
     """Samples under one path: ``samples`` partitioned by metric and day, ``rollup`` by level.
 
