@@ -1,11 +1,9 @@
 import hashlib
 import random
-from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
-import regex
 import tiktoken
 
 from seriesmill.llm import bpe
@@ -77,19 +75,6 @@ def test_table(spark, docs, odd, reference):
     assert bpe.round_trip(docs([]), BPE_RANKS, PATTERN).count() == 0
 
 
-def test_words_of_the_corpus(spark, docs, ranks, reference, monkeypatch):
-    monkeypatch.setattr(bpe, "HELD", 50)
-    monkeypatch.setattr(bpe, "TOGETHER", 40)
-    texts = [*random_texts(150), "zonkwit zonkwit qqqqx", None, "zonkwit"]
-    table = {r.word: (r.n, np.frombuffer(r.ids, np.int32).tolist()) for r in bpe.word_table(docs(texts).repartition(3).select("text"), ranks, PATTERN).collect()}
-    counted = Counter(w for t in texts for w in regex.findall(PATTERN, t or "") if w.encode() not in ranks)
-    assert table == {w: (n, reference.encode_ordinary(w)) for w, n in counted.items()} and table[" zonkwit"][0] == 1 and table["zonkwit"][0] == 2
-    for head in (0, 20, 100_000):
-        got = {r.doc_id: r.ids for r in bpe.encode(docs(texts), BPE_RANKS, PATTERN, head=head).collect()}
-        assert got == {i: reference.encode_ordinary(t or "") for i, t in enumerate(texts)}
-    assert bpe.word_table(docs([]).select("text"), ranks, PATTERN).count() == 0
-
-
 def test_files_are_checked(tmp_path):
     (tmp_path / "v").write_text("YQ== 0\n")
     with pytest.raises(ValueError):
