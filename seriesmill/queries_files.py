@@ -219,7 +219,7 @@ def _(spark, d):
     """The entry with the best score among those of equal shape names the table that answers."""
     rows = both(spark, d)
     asked = "sum  BY (event_type) (events_value)"
-    tables = {"wrong": rows.limit(0), "right": agg.aggregate(rows, "sum", by=["event_type"]), "other": rows}
+    tables = {"wrong": rows.where("false"), "right": agg.aggregate(rows, "sum", by=["event_type"]), "other": rows}
     registry = [
         {"query": "sum by (event_type) (events_value)", "table": "wrong", "auto": False, "frequency": 1.0, "last_ts": 0},
         {"query": "sum by (event_type)  (events_value)", "table": "right", "auto": True, "frequency": 30.0, "last_ts": END - 60_000},
