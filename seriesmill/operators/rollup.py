@@ -96,9 +96,13 @@ def rollup(samples: DataFrame, level: str = "L1", resolution: int | None = None)
 
 
 def rollup_again(finer: DataFrame, level: str) -> DataFrame:
-    """A coarser rollup from a finer one: means from sums and counts, not from means."""
+    """A coarser rollup from a finer one: means from sums and counts, not from means.
+
+    A finer window without numbers has its min above its max; the two say nothing, and would hide an infinite value.
+    """
     resolution = LEVELS[level][0]
-    rows = finer.withColumn("bucket", bucket("bucket", resolution)).groupBy("series_id", "metric", "labels", "bucket")
+    known = {c: F.when(F.col("min") > F.col("max"), F.lit(None)).otherwise(F.col(c)) for c in ("min", "max")}
+    rows = finer.withColumns({"bucket": bucket("bucket", resolution), **known}).groupBy("series_id", "metric", "labels", "bucket")
     return rows.agg(
         _least("min").alias("min"), _greatest("max").alias("max"), (F.sum("sum") / F.sum("count")).alias("avg"), F.sum("sum").alias("sum"),
         F.sum("count").alias("count"), F.max_by("last", "last_ts").alias("last"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),

@@ -50,6 +50,16 @@ def test_against_sql(spark, duck, name):
     assert sorted(names) == columns and got == want
 
 
+def test_rollup_of_infinite_values_against_sql(spark, tmp_path, monkeypatch):
+    """An hour without numbers doesn't hide that its day has nothing else than -inf."""
+    duck = pytest.importorskip("duckdb").connect()
+    values = "CASE event_id % 4 WHEN 0 THEN '-inf'::DOUBLE WHEN 1 THEN 'nan'::DOUBLE WHEN 2 THEN NULL ELSE value END"
+    duck.execute(f"COPY (SELECT * REPLACE (user_id % 3 AS user_id, {values} AS value) FROM '{DATA}/events.parquet' WHERE event_id % 3 = 0) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    monkeypatch.setitem(globals(), "DATA", tmp_path)
+    test_against_sql(spark, duck, "d2_rollup_nan")
+
+
 def test_every_residual_is_returned(spark, duck):
     rows = queries.QUERIES["r15_smoothing_residuals"](spark, str(DATA)).count()
     assert rows == duck.execute("SELECT count(*) FROM events").fetchone()[0] == len(duck.execute(queries.ORACLES["r15_smoothing_residuals"]).fetchall())

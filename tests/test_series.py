@@ -272,6 +272,14 @@ def test_rollups(vector, points):
     assert points(rollup.as_samples(fine, "nothing")) == points(rollup.as_samples(fine, "avg"))
 
 
+def test_rollup_of_windows_without_numbers(vector):
+    values = {"low": (math.nan, -math.inf), "high": (math.nan, math.inf), "both": (-math.inf, math.nan, math.inf), "none": (math.nan, math.nan), "ends": (math.nan, 1.7976931348623157e308, math.inf), "some": (math.nan, 3.0)}
+    x = vector(*((name, {}, 60_000 * k, v) for name, vs in values.items() for k, v in enumerate(vs)))
+    once, again = ({r.metric: (r.min, r.max, r["count"]) for r in df.collect()} for df in (rollup.rollup(x, "L2"), rollup.rollup_again(rollup.rollup(x, "L1"), "L2")))
+    assert again == once and again["low"] == (-math.inf, -math.inf, 2) and again["high"] == (math.inf, math.inf, 2) and again["some"] == (3, 3, 2)
+    assert again["none"] == (1.7976931348623157e308, -1.7976931348623157e308, 2)
+
+
 def test_levels(spark):
     h = 3_600_000
     # what is begun of an hour doesn't count
